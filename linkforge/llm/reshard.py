@@ -165,7 +165,7 @@ def rewrite(spark: SparkSession, layout: dict[int, str], shards: int, new_path:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    placed, flow = reshard(rows.drop("old_shard").withColumn("_old", rows["old_shard"]), shards, F.col("_old"), old_shards, key, text)
+    placed, flow = reshard(rows.withColumnRenamed("old_shard", "_old"), shards, F.col("_old"), old_shards, key, text)
     touched = affected(flow) | {i for i in layout if i >= shards}
     if touched:
         moved = placed.where(F.col("old_shard").isin(sorted(touched & set(layout))))
