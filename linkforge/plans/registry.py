@@ -2,10 +2,359 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from linkforge.functions import contact, identifiers
+from linkforge.operators import analytics, graph, resolution, search
+from linkforge.plans import views as v
+from linkforge.session import ship, table
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- report search -------------------------------------------------------------------------------
+
+FACETS = ["operation", "threat", "status", "marking", "source_types"]
+SEARCH = search.Criteria(filters={"threat": ["en", "fr"], "status": ["AUTHORISED", "DRAFT"]}, text="the on", date_to="2024-11-30", sort=("n_chars", -1))
+_BASE = f"WITH r AS ({v.REPORTS_SQL}), b AS (SELECT * FROM r WHERE date_key <= '20241130' AND contains(lower(haystack), 'the') AND contains(lower(haystack), 'on'))"
+_T, _S = "threat IN ('en', 'fr')", "status IN ('AUTHORISED', 'DRAFT')"
+
+
+@_query(f"""{_BASE}, f AS (
+  SELECT 'operation' AS facet, operation AS value FROM b WHERE {_T} AND {_S}
+  UNION ALL SELECT 'threat', threat FROM b WHERE {_S}
+  UNION ALL SELECT 'status', status FROM b WHERE {_T}
+  UNION ALL SELECT 'marking', marking FROM b WHERE {_T} AND {_S}
+  UNION ALL SELECT 'source_types', unnest(list_distinct(source_types)) FROM b WHERE {_T} AND {_S})
+SELECT facet, value, count(*) AS cnt, (facet = 'threat' AND value IN ('en', 'fr')) OR (facet = 'status' AND value IN ('AUTHORISED', 'DRAFT')) AS selected
+FROM f WHERE value IS NOT NULL AND value <> '' GROUP BY facet, value""")
+def facet_counts_excl_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.facet_counts(v.reports(spark, sf_dir), FACETS, SEARCH)
+
+
+@_query(f"WITH r AS ({v.REPORTS_SQL}) SELECT urn FROM r WHERE list_has_any(source_types, ['lang-de', 'src3'])")
+def facet_multivalue_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.matched(v.reports(spark, sf_dir), FACETS, search.Criteria(filters={"source_types": ["lang-de", "src3"], "unknown": ["x"], "status": []})).select("urn")
+
+
+@_query(f"WITH r AS ({v.REPORTS_SQL}) SELECT urn FROM r WHERE contains(lower(haystack), 'ther') AND contains(lower(haystack), 'ing')")
+def text_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.matched(v.reports(spark, sf_dir), FACETS, search.Criteria(text=" Ther ING ")).select("urn")
+
+
+@_query(f"WITH r AS ({v.REPORTS_SQL}) SELECT urn, 'to' AS bound FROM r WHERE date_key <= '20240315' UNION ALL SELECT urn, 'from' FROM r WHERE date_key >= '20240910'")
+def date_range_quirk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = v.reports(spark, sf_dir)
+    upper = search.matched(r, FACETS, search.Criteria(date_to="2024-03-15")).select("urn", F.lit("to").alias("bound"))
+    return upper.unionByName(search.matched(r, FACETS, search.Criteria(date_from="2024-09-10")).select("urn", F.lit("from").alias("bound")))
+
+
+@_query(f"{_BASE} SELECT operation, count(*) AS cnt, max(CASE marking WHEN 'OFFICIAL' THEN 1 WHEN 'OFFICIAL-SENSITIVE' THEN 2 END)::INT AS highest FROM b WHERE {_T} AND {_S} GROUP BY operation")
+def matched_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.when(F.col("marking") == "OFFICIAL", 1).when(F.col("marking") == "OFFICIAL-SENSITIVE", 2)
+    return search.matched(v.reports(spark, sf_dir), FACETS, SEARCH).groupBy("operation").agg(F.count("*").alias("cnt"), F.max(rank).alias("highest"))
+
+
+@_query(f"{_BASE} SELECT urn, n_chars FROM b WHERE {_T} AND {_S} ORDER BY n_chars DESC, urn LIMIT 50 OFFSET 50")
+def paged_sorted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of fifty: the page is the feature."""
+    c = search.Criteria(**{**SEARCH.__dict__, "page": 2})
+    return search.page(search.matched(v.reports(spark, sf_dir), FACETS, c), c, "urn").select("urn", "n_chars")
+
+
+# --- scalars -------------------------------------------------------------------------------------
+
+_MAIL = "CASE c_custkey % 4 WHEN 0 THEN '  User.' || c_custkey || '+tag@GMail.com' WHEN 1 THEN 'a.b' || c_custkey || '+x@Mail.example.ORG ' WHEN 2 THEN 'no at ' || c_custkey ELSE 'q.r' || c_custkey || '@googlemail.com' END"
+_PHONE = "CASE c_custkey % 6 WHEN 0 THEN '07700 900' || lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '0') WHEN 1 THEN '+34 (612) 345-' || lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '0') WHEN 2 THEN '0044 7700 900' || lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '0') WHEN 3 THEN CAST(c_custkey AS VARCHAR(20)) WHEN 4 THEN '447700900' || lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '0') ELSE '+353 87 123 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR(9)), 4, '0') END"
+
+
+def _raw(spark: SparkSession, sf_dir: str, expr: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(expr).alias("raw"))
+
+
+@_query(f"""WITH r AS (SELECT c_custkey, lower(trim({_MAIL})) AS s FROM customer),
+p AS (SELECT c_custkey, s, split_part(split_part(s, '@', 1), '+', 1) AS u, split_part(s, '@', 2) AS d, regexp_full_match(s, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') AS ok FROM r)
+SELECT c_custkey, CASE WHEN NOT ok THEN NULL WHEN d IN ('gmail.com', 'googlemail.com') THEN replace(u, '.', '') || '@gmail.com' ELSE u || '@' || d END AS email FROM p""")
+def email_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _MAIL).select("c_custkey", contact.email_canonical(F.col("raw")).alias("email"))
+
+
+@_query(f"""WITH r AS (SELECT c_custkey, {_PHONE} AS raw FROM customer),
+s AS (SELECT c_custkey, regexp_replace(regexp_replace(trim(raw), '[\\s(). -]+', '', 'g'), '^00', '+') AS o FROM r),
+d AS (SELECT c_custkey, o, regexp_replace(o, '[^0-9]', '', 'g') AS n FROM s),
+e AS (SELECT c_custkey, CASE WHEN starts_with(o, '+') THEN '+' || n WHEN regexp_full_match(n, '07[0-9]{{9}}|0[12][0-9]{{8,9}}|0[89][0-9]{{8,9}}') THEN '+44' || substr(n, 2) WHEN length(n) BETWEEN 9 AND 15 THEN n END AS x FROM d),
+f AS (SELECT c_custkey, CASE WHEN length(replace(x, '+', '')) BETWEEN 8 AND 15 THEN x END AS e164 FROM e),
+g AS (SELECT c_custkey, e164, CASE WHEN starts_with(e164, '+353') THEN '353' WHEN starts_with(e164, '+44') THEN '44' WHEN starts_with(e164, '+34') THEN '34' END AS cc FROM f)
+SELECT c_custkey, e164, cc, coalesce((cc = '44' AND length(e164) = 13) OR (cc = '34' AND length(e164) = 12) OR (cc = '353' AND length(e164) = 13), false) AS valid FROM g""")
+def phone_e164(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _PHONE).select("c_custkey", contact.phone_e164(F.col("raw")).alias("p")).select("c_custkey", "p.e164", "p.cc", "p.valid")
+
+
+@_query(f"""WITH r AS (SELECT c_custkey, {_PHONE} AS raw FROM customer), d AS (SELECT c_custkey, raw, regexp_replace(raw, '[^0-9]', '', 'g') AS n FROM r)
+SELECT c_custkey, CASE WHEN starts_with(raw, '+') AND starts_with(n, '44') THEN '0' || substr(n, 3) WHEN starts_with(raw, '+') THEN '00' || n WHEN starts_with(n, '0044') THEN '0' || substr(n, 5)
+ WHEN starts_with(n, '00') THEN n WHEN starts_with(n, '44') AND length(n) >= 11 THEN '0' || substr(n, 3) WHEN starts_with(n, '0') THEN n ELSE '0' || n END AS phone FROM d""")
+def phone_national(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _PHONE).select("c_custkey", contact.phone_national(F.col("raw")).alias("phone"))
+
+
+_NAME = "CASE c_custkey % 3 WHEN 0 THEN '  Müller-Lüdenscheid   Limited' WHEN 1 THEN 'ACME ' || c_custkey || ' Public Limited  Company' ELSE c_name || ' Incorporated' END"
+
+
+@_query(f"""SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents({_NAME})), '[^a-z\\s''-]', ' ', 'g'), '[\\s''-]+', ' ', 'g')), '\\bpublic limited company\\b', 'plc', 'g'), '\\blimited\\b', 'ltd', 'g'), '\\bincorporated\\b', 'inc', 'g') AS name FROM customer""")
+def canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _NAME).select("c_custkey", contact.canonical_name(F.col("raw")).alias("name"))
+
+
+_PAD = "lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR(9)), 6, '0')"
+_FAMILIES = {
+    "nino": (f"substr('QABGCEZZDT', CAST(c_custkey % 9 AS INT) + 1, 2) || ' ' || {_PAD} || ' c'", identifiers.nino, identifiers.nino_valid),
+    "sort_code": (f"CASE WHEN c_custkey % 5 = 0 THEN '12-3' ELSE substr({_PAD}, 1, 2) || '-' || substr({_PAD}, 3, 2) || '-' || substr({_PAD}, 5, 2) END", identifiers.sort_code, identifiers.sort_code_valid),
+    "vrm": (f"CASE c_custkey % 3 WHEN 0 THEN 'ab' || substr({_PAD}, 1, 2) || ' cde' WHEN 1 THEN 'VRM A' || c_custkey || 'BCD' ELSE 'toolong' || c_custkey END", identifiers.vrm, identifiers.vrm_format_valid),
+    "vin": (f"CASE c_custkey % 2 WHEN 0 THEN 'wvwzzz1jz3w' || {_PAD} ELSE 'OIQ' || {_PAD} || 'AAAAAAAA' END", identifiers.vin, identifiers.vin_valid),
+    "company": (f"CASE c_custkey % 4 WHEN 0 THEN '12' || {_PAD} WHEN 1 THEN 'sc' || {_PAD} WHEN 2 THEN 'XX' || {_PAD} ELSE 'R1' || {_PAD} END", identifiers.alnum, identifiers.company_valid),
+    "vat": (f"'GB 1' || {_PAD} || substr({_PAD}, 1, 2)", identifiers.sort_code, identifiers.vat_valid),
+    "card": (f"'4539 14' || {_PAD} || substr({_PAD}, 3, 4)", identifiers.sort_code, identifiers.luhn),
+    "iban": (f"'GB82 WEST 1234 56' || CASE WHEN c_custkey % 3 = 0 THEN '98 7654 32' ELSE {_PAD} || '32' END", identifiers.alnum, identifiers.iban_valid),
+    "postcode": (f"CASE c_custkey % 3 WHEN 0 THEN 'sw1a 1aa' WHEN 1 THEN 'M' || CAST(c_custkey % 99 AS VARCHAR(9)) || '2bb' ELSE {_PAD} END", identifiers.postcode, identifiers.postcode_valid),
+}
+
+
+@_query()
+def identifier_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family's canonical form and check over raw forms made of the customers' keys; the vectors are in the tests."""
+    parts = [_raw(spark, sf_dir, expr).select("c_custkey", F.lit(k).alias("family"), canonical(F.col("raw")).alias("canonical"), valid(F.col("raw")).alias("valid")) for k, (expr, canonical, valid) in _FAMILIES.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_D = lambda k: f"CAST(substr(n, {k}, 1) AS INT)"
+
+
+@_query(f"""WITH r AS (SELECT c_custkey, regexp_replace({_FAMILIES['vat'][0]}, '[^0-9]', '', 'g') AS n FROM customer),
+s AS (SELECT c_custkey, {" + ".join(f"{9 - i} * {_D(i)}" for i in range(1, 8)).replace("9 - i", "")} + CAST(substr(n, 8, 2) AS INT) AS t FROM r)
+SELECT c_custkey, t % 97 = 0 OR (t + 55) % 97 = 0 AS valid FROM s""")
+def vat_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _FAMILIES["vat"][0]).select("c_custkey", identifiers.vat_valid(F.col("raw")).alias("valid"))
+
+
+@_query(f"""WITH r AS (SELECT c_custkey, regexp_replace({_FAMILIES['card'][0]}, '[^0-9]', '', 'g') AS n FROM customer),
+s AS (SELECT c_custkey, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(n[i] AS INT) WHEN CAST(n[i] AS INT) > 4 THEN 2 * CAST(n[i] AS INT) - 9 ELSE 2 * CAST(n[i] AS INT) END)) AS t FROM r)
+SELECT c_custkey, t % 10 = 0 AS valid FROM s""")
+def luhn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _FAMILIES["card"][0]).select("c_custkey", identifiers.luhn(F.col("raw")).alias("valid"))
+
+
+# --- analytics and graph -------------------------------------------------------------------------
+
+
+@_query(f"SELECT type, count(*) AS cnt FROM ({v.ENTITIES_SQL}) GROUP BY type")
+def entity_type_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.entities(spark, sf_dir).groupBy("type").agg(F.count("*").alias("cnt"))
+
+
+@_query(f"SELECT type, count(*) AS cnt, count(day) AS dated FROM ({v.LINKS_SQL}) GROUP BY type")
+def link_type_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.links(spark, sf_dir).groupBy("type").agg(F.count("*").alias("cnt"), F.count("day").alias("dated"))
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, and events a year on, so that months between them are empty."""
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return o.unionByName(table(spark, sf_dir, "events").select(F.add_months(F.to_date("ts"), 12).alias("day")))
+
+
+_MONTHS = """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT CAST(CAST(ts AS DATE) + INTERVAL 12 MONTH AS DATE) FROM events),
+c AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS cnt FROM d GROUP BY 1),
+s AS (SELECT CAST(unnest(generate_series((SELECT min(month) FROM c)::TIMESTAMP, (SELECT max(month) FROM c)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month)
+SELECT s.month, coalesce(c.cnt, 0) AS cnt FROM s LEFT JOIN c USING (month)"""
+
+
+@_query(_MONTHS)
+def activity_month_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.month_activity(_dated(spark, sf_dir), "day")
+
+
+@_query(f"SELECT * FROM ({_MONTHS}) ORDER BY cnt DESC, month LIMIT 1")
+def peak_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.peak(analytics.month_activity(_dated(spark, sf_dir), "day"))
+
+
+@_query(f"""WITH v AS (SELECT id FROM ({v.ENTITIES_SQL})), e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({v.LINKS_SQL}) WHERE src <> dst),
+n AS (SELECT a AS id FROM e UNION ALL SELECT b FROM e) SELECT v.id, count(n.id) AS degree FROM v LEFT JOIN n ON n.id = v.id GROUP BY v.id""")
+def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degree(v.entities(spark, sf_dir), v.links(spark, sf_dir))
+
+
+@_query(f"SELECT id FROM ({v.ENTITIES_SQL}) WHERE id NOT IN (SELECT src FROM ({v.LINKS_SQL}) UNION SELECT dst FROM ({v.LINKS_SQL}))")
+def orphan_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.orphans(v.entities(spark, sf_dir), v.links(spark, sf_dir)).select("id")
+
+
+@_query(f"""WITH g AS (SELECT id FROM ({v.ENTITIES_SQL}) WHERE nk IN (3, 7)), l AS (SELECT * FROM ({v.LINKS_SQL}) WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g))
+SELECT type AS kind, count(*) AS cnt FROM l GROUP BY type UNION ALL SELECT 'entity', count(*) FROM ({v.ENTITIES_SQL}) WHERE id NOT IN (SELECT id FROM g)""")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ent = v.entities(spark, sf_dir)
+    left, lk = graph.cascade(ent, v.links(spark, sf_dir), ent.where("nk in (3, 7)").select("id"))
+    return lk.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("cnt")).unionByName(left.agg(F.count("*").alias("cnt")).select(F.lit("entity").alias("kind"), "cnt"))
+
+
+@_query("SELECT 'C:' || o_custkey AS src, 'S:' || l_suppkey AS dst, 'TRANSACTED_WITH' AS type, min(l_orderkey * 10 + l_linenumber) AS ord FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey")
+def link_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    raw = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.concat(F.lit("C:"), "o_custkey").alias("src"), F.concat(F.lit("S:"), "l_suppkey").alias("dst"), F.lit("TRANSACTED_WITH").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return graph.dedupe_links(raw, v.entities(spark, sf_dir))
+
+
+@_query(f"""WITH RECURSIVE {v.PLACES_SQL}, w(id, level) AS (SELECT 'R:1', 0 UNION SELECT adj.b, w.level + 1 FROM w JOIN adj ON adj.a = w.id WHERE w.level < 4)
+SELECT v.id, coalesce(min(w.level), 99)::INT AS level FROM v LEFT JOIN w ON w.id = v.id GROUP BY v.id""")
+def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bfs_levels(*v.places_graph(spark, sf_dir), "R:1")
+
+
+@_query(f"""WITH RECURSIVE {v.PLACES_SQL}, w(id, path) AS (SELECT 'S:1', ['S:1'] UNION SELECT adj.b, list_append(w.path, adj.b) FROM w JOIN adj ON adj.a = w.id WHERE len(w.path) < 4 AND NOT list_contains(w.path, adj.b)),
+best AS (SELECT path FROM w WHERE id = (SELECT 'R:' || n_regionkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey = 1) ORDER BY len(path), path LIMIT 1)
+SELECT (unnest(range(len(path))))::INT AS pos, unnest(path) AS id FROM best""")
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    region = s.where("s_suppkey = 1").join(n, s["s_nationkey"] == n["n_nationkey"]).first()["n_regionkey"]
+    return graph.shortest_path(*v.places_graph(spark, sf_dir), "S:1", f"R:{region}")
+
+
+# --- resolution ----------------------------------------------------------------------------------
+
+_PEOPLE = """SELECT 'E' || doc_id AS id, 'IR' || (doc_id % 97) AS urn, CASE doc_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'organisation' WHEN 2 THEN 'vehicle' ELSE 'location' END AS type,
+ substr(text, 1, 6) AS label, CAST(1950 + n_chars % 50 AS VARCHAR(9)) AS dob, CASE WHEN n_chars % 3 = 0 THEN 'AB ' || (n_chars % 211) END AS code FROM documents"""
+_SIGS = f"""p AS ({_PEOPLE}), q AS (SELECT *, nullif(trim(regexp_replace(lower(label), '\\s+', ' ', 'g')), '') AS nm, lower(replace(code, ' ', '')) AS k FROM p),
+sig AS (SELECT id, type, 'name+dob' AS rule, nm || '|' || dob AS sig FROM q WHERE type = 'person' AND nm IS NOT NULL
+ UNION ALL SELECT id, type, 'nino', k FROM q WHERE type = 'person' AND k IS NOT NULL
+ UNION ALL SELECT id, type, 'companyNumber', k FROM q WHERE type = 'organisation' AND k IS NOT NULL
+ UNION ALL SELECT id, type, 'name', nm FROM q WHERE type = 'organisation' AND nm IS NOT NULL
+ UNION ALL SELECT id, type, 'vrm', k FROM q WHERE type = 'vehicle' AND k IS NOT NULL
+ UNION ALL SELECT id, type, 'postcode', k FROM q WHERE type = 'location' AND k IS NOT NULL
+ UNION ALL SELECT id, type, 'type+label', nm FROM q WHERE type IN ('vehicle', 'location') AND k IS NULL AND nm IS NOT NULL)"""
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("lf_documents")
+    rows = spark.sql(_PEOPLE.replace("FROM documents", "FROM lf_documents"))
+    key = F.when(F.col("type") == "person", "nino").when(F.col("type") == "organisation", "companyNumber").when(F.col("type") == "vehicle", "vrm").otherwise("postcode")
+    return rows.withColumn("attrs", F.create_map(F.lit("dob"), F.col("dob"), key, F.col("code"))).drop("dob", "code")
+
+
+@_query(f"WITH {_SIGS} SELECT * FROM sig")
+def signature_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.signatures(_people(spark, sf_dir))
+
+
+@_query(f"WITH {_SIGS}, r AS (SELECT DISTINCT urn, sig.type, rule, sig FROM sig JOIN p USING (id)) SELECT b.urn, count(*) AS shared FROM r a JOIN r b ON a.type = b.type AND a.rule = b.rule AND a.sig = b.sig WHERE a.urn = 'IR5' AND b.urn <> 'IR5' GROUP BY b.urn")
+def signature_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _people(spark, sf_dir)
+    return resolution.overlaps(resolution.signatures(people), people.select("id", "urn"), "IR5")
+
+
+_WATCH = [("W1", "organisation", "companyNumber", "ab7"), ("W1", "person", "nino", "ab9"), ("W2", "vehicle", "vrm", "ab30"), ("W3", "person", "nino", "none")]
+
+
+@_query(f"WITH {_SIGS}, w(watch_id, type, rule, sig) AS (VALUES {', '.join(map(str, _WATCH))}) SELECT w.watch_id, count(DISTINCT sig.id) AS hits FROM w LEFT JOIN sig ON sig.type = w.type AND sig.rule = w.rule AND sig.sig = w.sig GROUP BY w.watch_id")
+def watchlist_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    watch = spark.createDataFrame(_WATCH, "watch_id string, type string, rule string, sig string")
+    return resolution.watch_hits(watch, resolution.signatures(_people(spark, sf_dir)))
+
+
+@_query()
+def master_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked against union-find in the tests: SQL's recursion over these chains is too slow."""
+    return resolution.masters(_people(spark, sf_dir))
+
+
+# --- places --------------------------------------------------------------------------------------
+
+_PLACE = "SELECT c_custkey, (c_custkey * 37 % 18000) / 100.0 - 90 AS lat, (c_custkey * 101 % 36000) / 100.0 - 180 AS lon FROM customer"
+_HAV = "2 * 6371.0088 * atan2(sqrt(h), sqrt(1 - h))"
+_H = "pow(sin(radians(lat - 51.5) / 2), 2) + cos(radians(51.5)) * cos(radians(lat)) * pow(sin(radians(lon + 0.12) / 2), 2)"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", ((c * 37 % 18000) / 100.0 - 90).alias("lat"), ((c * 101 % 36000) / 100.0 - 180).alias("lon"))
+
+
+@_query(f"WITH p AS ({_PLACE}), q AS (SELECT c_custkey, {_H} AS h FROM p) SELECT c_custkey, round({_HAV}, 6) AS km FROM q WHERE {_HAV} <= 2500")
+def haversine_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.within(_places(spark, sf_dir), 51.5, -0.12, 2500).select("c_custkey", F.round("km", 6).alias("km"))
+
+
+@_query(f"""WITH p AS ({_PLACE}), b AS (SELECT c_custkey, (degrees(atan2(sin(radians(lon + 0.12)) * cos(radians(lat)), cos(radians(51.5)) * sin(radians(lat)) - sin(radians(51.5)) * cos(radians(lat)) * cos(radians(lon + 0.12)))) + 360) AS x FROM p),
+c AS (SELECT c_custkey, CASE WHEN x >= 360 THEN x - 360 ELSE x END AS deg FROM b)
+SELECT c_custkey, round(deg, 4) AS deg, {analytics.COMPASS}[CAST(floor(deg / 22.5 + 0.5) AS INT) % 16 + 1] AS point FROM c""")
+def bearing_compass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deg = analytics.bearing(F.lit(51.5), F.lit(-0.12), F.col("lat"), F.col("lon"))
+    return _places(spark, sf_dir).select("c_custkey", deg.alias("x")).select("c_custkey", F.round("x", 4).alias("deg"), analytics.compass(F.col("x")).alias("point"))
+
+
+# --- text twins and records ----------------------------------------------------------------------
+
+_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}"}
+
+
+def _found(kind: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = F.regexp_extract_all("text", F.lit(_PATTERNS[kind]), F.lit(0))
+        out = table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("value"))
+        return out.where(identifiers.ip_valid(F.col("value"))) if kind == "ip" else out
+
+    query.__name__ = f"extract_{kind}s"
+    check = " WHERE list_aggregate(list_transform(string_split(value, '.'), lambda o: CAST(o AS INT)), 'max') <= 255" if kind == "ip" else ""
+    _query(f"SELECT * FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERNS[kind]}')) AS value FROM documents){check}")(query)
+
+
+for _k in _PATTERNS:
+    _found(_k)
+
+
+@_query("""SELECT o_orderkey, 'E' || lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR(9)), 4, '0') AS ref FROM orders""")
+def sequence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded running references, by owner."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("E"), F.lpad(n.cast("string"), 4, "0")).alias("ref"))
+
+
+@_query("""SELECT u.user_id, count(DISTINCT e.event_type) AS done, CASE count(DISTINCT CASE WHEN e.event_type IN ('click', 'view', 'purchase') THEN e.event_type END) WHEN 0 THEN 'red' WHEN 3 THEN 'green' ELSE 'amber' END AS rag
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN events e USING (user_id) GROUP BY u.user_id""")
+def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many systems cover each subject, and whether all of the core ones do."""
+    core = F.array(*map(F.lit, ("click", "view", "purchase")))
+    done = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
+    n = F.size(F.array_intersect("s", core))
+    return done.select("user_id", F.size("s").cast("long").alias("done"), F.when(n == 0, "red").when(n == 3, "green").otherwise("amber").alias("rag"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
