@@ -21,6 +21,7 @@ nothing and get no component unless a copy with a key exists. Repeated rows stay
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.text import lists, raw, shingles, slices, words
+from linkforge.llm.text import lists, mix, raw, shingles, slices, words
 from linkforge.operators.components import connected_components
 from linkforge.session import settled
 
 _U = np.uint64
 #: Rows of the hashed count table that travel together, and members that one task's trie holds.
 CHUNK, TRIE = 4096, 256
+#: Bits of the bitmap of ids whose sets are wanted.
+FILTER_BITS = 25
 
 
 def sets_of(batch: pa.RecordBatch, text: str, n: int) -> list[np.ndarray]:
@@ -137,18 +140,62 @@ def trie_links(query: np.ndarray, members: list[np.ndarray], num: int, den: int,
     return out
 
 
+def _places(ids: pa.Array) -> np.ndarray:
+    """Each id's bit in the filter of wanted ids; -1 for null."""
+    if pa.types.is_integer(ids.type):
+        h = mix(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    else:
+        h = np.array([zlib.crc32(str(x).encode()) for x in ids.to_pylist()], np.uint64)
+    place = (h & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
+    place[ids.is_null().to_numpy(zero_copy_only=False)] = -1
+    return place
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits in which every id's bit is set: of one size for any input. More ids mean more
+    documents that pass in vain, never a wanted one that doesn't."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            place = _places(batch.column(0))
+            flags[place[place >= 0]] = True
+        packed = np.packbits(flags).reshape(-1, CHUNK)
+        for c in np.flatnonzero(packed.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int32()), pa.array([packed[c].tobytes()], pa.binary())], names=["chunk", "flags"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[c] = held.get(c, 0) | np.frombuffer(x, np.uint8)
+        for c, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "flags"])
+
+    kind = "chunk int, flags binary"
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in ids.mapInArrow(mark, kind).repartition("chunk").mapInArrow(merge, kind).collect():  # 2**FILTER_BITS bits at most
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["flags"], np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, as (src, dst). Each a's partners lie in tries of at most TRIE members."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(ids)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            for part in slices(batch, "text"):
+            place = _places(batch.column(0))
+            some = batch.filter(pa.array((place >= 0) & flags[place]))
+            for part in slices(some, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets_of(part, "text", n)], pa.binary())], names=["id", "shingles"])
 
     kind = docs.schema[key].dataType.simpleString()
-    wanted = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    sets = settled(wanted.mapInArrow(build, f"id {kind}, shingles binary").dropDuplicates(["id"]), "sets")
+    # Texts aren't shuffled: each task keeps those that the bitmap lets pass. A set too many joins with nothing.
+    wanted = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    sets = settled(wanted.mapInArrow(build, f"id {kind}, shingles binary"), "sets")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / TRIE).alias("blocks"))
     dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     members = dealt.join(sets, dealt["b"] == sets["id"]).select("a", "block", F.lit(1).alias("side"), "b", "shingles")
