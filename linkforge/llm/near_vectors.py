@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +57,12 @@ class MultiIndex:
 
     @classmethod
     def fit(cls, x: np.ndarray, k: int, least: float, recall: float) -> MultiIndex:
-        """least: the cosine of a link. A link's difference is at most sqrt(2 - 2 least) long; its part along a
-        border's normal is near normal with that length over sqrt(dim), and reach takes in the target recall of it."""
+        """least: the cosine of a link. A link's difference is at most sqrt(2 - 2 least) long, and its part along a
+        border's normal near normal with a deviation of that over sqrt(dim). A link is missed if its parts along the
+        normals of both halves together pass reach, so the length of two such parts (a Rayleigh variable) sets it."""
         half = x.shape[1] // 2
         part = np.sqrt(2 - 2 * least) / np.sqrt(max(1, x.shape[1]))
-        reach = part * NormalDist().inv_cdf(0.5 + recall / 2) * np.sqrt(2)
+        reach = part * np.sqrt(-2 * np.log(max(1e-300, 1 - recall)))
         return cls(codebook(x[:, :half], k), codebook(x[:, half:], k), float(min(reach, np.sqrt(2 - 2 * least))))
 
     def borders(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ class _Forest:
         return a != b
 
 
-def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 0.9999, cells: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 0.999, cells: int | None = None) -> DataFrame:
     """One row per row of df: (key, n_links, component_id, kept)."""
     spark = df.sparkSession
     id_kind, label_kind = df.schema[key].dataType.simpleString(), df.schema[label].dataType.simpleString()
@@ -149,9 +149,16 @@ def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vec
     k = cells or int(min(512, max(4, 2 ** round(np.log2(max(1.0, rows / 200)) / 2))))
     shared = spark.sparkContext.broadcast(MultiIndex.fit(x, k, least, recall))
 
-    def vectors(column: pa.Array) -> np.ndarray:
+    # Vectors travel in the precision that they came in, and are compared in double.
+    stored = np.float32 if "float" in df.schema[vector].dataType.simpleString() else np.float64
+
+    def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         flat = column.flatten() if isinstance(column, pa.ListArray) else column.combine_chunks().flatten()
         v = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return v.astype(stored), unit(v)
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        v = v.astype(float)
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +166,13 @@ def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vec
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                v = vectors(part.column(1))
+                plain, v = vectors(part.column(1))
                 home, who, cell = index.visits(v)
                 # A pair meets once: the vector whose home cell has the lower number visits the other's.
                 keep = cell >= home[who]
                 who, cell = who[keep], cell[keep]
                 own = cell == home[who]
-                data = [r.tobytes() for r in v]
+                data = [r.tobytes() for r in plain]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(who)), pa.array(cell, pa.int32()), pa.array(own), part.column(2).take(pa.array(who)), part.column(3).take(pa.array(who)), pa.array([data[i] for i in who], pa.binary())],
                     names=["label", "cell", "own", "rep", "m", "u"],
@@ -187,7 +194,7 @@ def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vec
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
             side, own, rep, m = (batch.column(i).to_pylist() for i in (3, 4, 5, 6))
-            u = [np.frombuffer(b.as_buffer(), float) for b in batch.column(7)]
+            u = unit(np.frombuffer(b"".join(batch.column(7).to_pylist()), stored).reshape(-1, dim)) if batch.num_rows else np.zeros((0, dim))
             out_id, out_n, src, dst = [], [], [], []
             i, n = 0, len(keys)
             while i < n:
@@ -198,9 +205,9 @@ def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vec
                     now, base, forest, home = keys[i], [], _Forest(), np.zeros((0, dim))
                 if side[i] == 0:
                     base += [(rep[t], m[t]) for t in range(i, j)]
-                    home = np.concatenate((home, np.array(u[i:j])))
+                    home = np.concatenate((home, u[i:j]))
                 elif len(base):
-                    hit = np.array(u[i:j]) @ home.T >= least
+                    hit = u[i:j] @ home.T >= least
                     g, h = np.nonzero(hit)
                     base_rep, base_m = np.array([b[0] for b in base], object), np.array([b[1] for b in base])
                     g_rep, g_m, g_own = np.array(rep[i:j], object), np.array(m[i:j]), np.array(own[i:j])
