@@ -333,6 +333,22 @@ def test_gradients_of_the_recurrent_network():
             assert abs((up - down) / 2e-2 - gf[k]) < 2e-3 + 0.05 * abs(gf[k])
 
 
+def test_pooling_counts_distinct_windows_and_letters_once():
+    net, w = lang_gru.Network.new(["a", "b", "c"], seed=3), lang_gru.WINDOW
+    line = "ab 12, cd. ".encode() * w
+    texts = [line[:w] * 50 + "ein Wort é 7".encode(), b"", b"123 456", b"xyz" * 200, b"short one"]
+    off = np.cumsum([0, *map(len, texts)])
+    got = net.pooled(np.frombuffer(b"".join(texts), np.uint8), off, rows=3)
+    for t, row in zip(texts, got):
+        total, n = np.zeros(3), 0
+        for cut in {t[i : i + w] for i in range(0, len(t), w)}:
+            x = np.frombuffer(cut, np.uint8)[None]
+            keep = [c >= 128 or chr(c).isalpha() for c in cut]
+            total += net.positions(x, np.array([len(cut)]))[keep, 0].sum(0)
+            n += sum(keep)
+        assert np.allclose(row, total / max(n, 1), atol=1e-5)
+
+
 def test_language_held_out_accuracy(spark):
     from linkforge.llm import queries
 
