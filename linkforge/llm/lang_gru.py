@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkforge.llm.sampling import least_hashes
 from linkforge.llm.text import raw, slices
 
 #: Cells of each direction, bytes in a window, labelled snippets that the fit takes at most, and their characters.
@@ -219,8 +220,9 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     h = F.xxhash64(F.lit(3), F.col(key))
     at = F.pmod(h, F.greatest(F.char_length(text) - SNIPPET, F.lit(1))) + 1
-    some = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(h.alias("h"), F.col(text).substr(at.cast("int"), F.lit(SNIPPET)).alias("t"), F.col(lang).alias("y"))
-    found = some.orderBy("h", "t").limit(rows).collect()  # rows snippets at most
+    known = docs.where(F.col(lang).isNotNull() & ~held_out(key))
+    some = known.where(F.col(text).isNotNull()).select(h.alias("h"), F.col(text).substr(at.cast("int"), F.lit(SNIPPET)).alias("t"), F.col(lang).alias("y"))
+    found = least_hashes(some, known, rows, "t").collect()  # rows snippets at most
     return [r["t"] for r in found], [r["y"] for r in found]
 
 

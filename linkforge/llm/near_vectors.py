@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.operators.components import connected_components
+from linkforge.llm.sampling import least_hashes
 from linkforge.session import settled
 
 #: Vectors that the codebooks are fitted to at most, and home vectors in a chunk.
@@ -143,7 +144,7 @@ def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vec
     usable = usable.where(F.size("v") == dim)
     whole = settled(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "vectors")
 
-    picked = whole.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).collect()  # a bounded sample
+    picked = least_hashes(whole.select("v", F.xxhash64("rep").alias("h")), whole, SAMPLE).collect()  # a bounded sample
     x = np.array([r["v"] for r in picked])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     k = cells or int(min(512, max(4, 2 ** round(np.log2(max(1.0, rows / 200)) / 2))))

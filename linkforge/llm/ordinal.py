@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkforge.llm.sampling import least_hashes
 from linkforge.llm.text import raw, shingles, slices, words
 
 #: The hashed table's size, the labelled rows and bytes of text that the fit may take at most, and the least rows a feature must be in.
@@ -96,7 +97,8 @@ def sample(labelled: DataFrame, key: str, text: str, grade: str, rows: int = SAM
     share = size // rows
     longest = max(1, share * 8)
     fit_rows = labelled.where(F.col(grade).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= longest))
-    picked = fit_rows.select(F.xxhash64(F.lit(11), F.col(key)).alias("h"), F.col(text).alias("t"), F.col(grade).cast("int").alias("g")).orderBy("h", "t").limit(rows)
+    hashed = fit_rows.select(F.xxhash64(F.lit(11), F.col(key)).alias("h"), F.col(text).alias("t"), F.col(grade).cast("int").alias("g"))
+    picked = least_hashes(hashed, fit_rows, rows, "t")
     texts, grades, total = [], [], 0
     for r in picked.toLocalIterator():
         total += len(r["t"].encode())

@@ -360,6 +360,17 @@ def test_language_held_out_accuracy(spark):
     assert sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
 
 
+def test_bounded_sample_is_that_of_a_plain_limit(spark):
+    from linkforge.llm.sampling import least_hashes
+
+    df = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    for rows in (1, 500, 30_000):
+        want = [r["id"] for r in df.orderBy("h").limit(rows).collect()]
+        assert [r["id"] for r in least_hashes(df, df, rows, "id").collect()] == want
+    none = df.limit(0)
+    assert least_hashes(none, none, 5).count() == 0
+
+
 def test_language_on_odd_rows(docs, empty):
     texts, langs = lang_gru.sample(docs)
     assert set(langs) <= {"en"}
