@@ -55,7 +55,8 @@ class Model:
 
 def fit(texts: list[str | None], grades: np.ndarray, levels: int, epochs: int = 60, l2: float = 0.02, seed: int = 0) -> Model:
     """Fit by gradient steps with per-weight rates (Adagrad), all rows at once. Grades: 0 to levels - 1."""
-    feats = features(*raw(pa.array(texts, pa.large_string()))) if texts else []
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["t"])
+    feats = [f.astype(np.int32) for part in slices(batch, "t") for f in features(*raw(part.column(0)))]
     size = 1 << BITS
     seen = np.zeros(size, np.int64)
     for f in feats:
@@ -67,7 +68,7 @@ def fit(texts: list[str | None], grades: np.ndarray, levels: int, epochs: int =
         return Model(w, cut)
     first, steps = cut[0], np.log(np.maximum(np.diff(cut), 1e-3))
     cols = np.concatenate(feats)
-    rows = np.repeat(np.arange(n), [len(f) for f in feats])
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in feats])
     above = (grades[:, None] > np.arange(levels - 1)[None, :]).astype(float)
     # Rare grades weigh as much as common ones.
     count = np.bincount(grades, minlength=levels)
