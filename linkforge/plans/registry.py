@@ -11,6 +11,7 @@ from linkforge.functions import contact, identifiers
 from linkforge.operators import analytics, graph, resolution, search
 from linkforge.plans import views as v
 from linkforge.session import ship, table
+from linkforge.streaming import activity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -352,6 +353,41 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("user_id", F.size("s").cast("long").alias("done"), F.when(n == 0, "red").when(n == 3, "green").otherwise("amber").alias("rag"))
 
 
+# --- summaries, tidied text, streams -------------------------------------------------------------
+
+
+@_query(f"""SELECT 'entities' AS what, count(*) AS cnt FROM ({v.ENTITIES_SQL}) UNION ALL SELECT 'links', count(*) FROM ({v.LINKS_SQL})
+UNION ALL SELECT 'dated_links', count(day) FROM ({v.LINKS_SQL}) UNION ALL SELECT 'events', count(*) FROM events""")
+def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = {"entities": v.entities(spark, sf_dir).agg(F.count("*").alias("cnt")), "events": table(spark, sf_dir, "events").agg(F.count("*").alias("cnt"))}
+    both = v.links(spark, sf_dir).agg(F.count("*").alias("links"), F.count("day").alias("dated_links"))
+    out = both.select(F.expr("stack(2, 'links', links, 'dated_links', dated_links) as (what, cnt)"))
+    for name, df in counts.items():
+        out = out.unionByName(df.select(F.lit(name).alias("what"), "cnt"))
+    return out
+
+
+@_query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM documents")
+def tidy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", contact.tidy(F.col("text")).alias("text"))
+
+
+@_query("SELECT CAST(ts AS DATE) AS day, event_type AS label, min(event_id) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undated events go; of those with one day and label the first stays."""
+    e = table(spark, sf_dir, "events").where("ts is not null")
+    return e.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("label")).agg(F.min("event_id").alias("event_id"))
+
+
+@_query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS cnt FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files, counted by day and type."""
+    kind = table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(kind).parquet(f"{sf_dir}/events*.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counts = activity.windowed_counts(arriving.where("ts is not null"), "ts", "event_type")
+    return activity.drained(counts, "activity").select(F.to_date("start").alias("day"), "event_type", "cnt")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -105,3 +105,32 @@ def test_entry_and_registry(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sheet_and_case_folder(spark, tmp_path):
+    from linkforge.sources import sheets
+
+    (tmp_path / "c.csv").write_text('Name,Mobile\n"Ann ""A"" B",07700\n , \nBo,\n')
+    assert {r["Name"] for r in sheets.read_sheet(spark, f"file://{tmp_path}/c.csv").collect()} == {'Ann "A" B', "Bo"}
+    folder = tmp_path / "case" / "entities"
+    folder.mkdir(parents=True)
+    for name, body in (("a.json", '{"id": "1"}'), ("bad.json", '{"id": '), ("_skip.json", '{"id": "2"}')):
+        (folder / name).write_text(body)
+    assert [r["id"] for r in sheets.read_case_folder(spark, f"file://{tmp_path}/case", "id string").collect()] == ["1"]
+
+
+@pytest.mark.parametrize("name", ["case_summary", "tidy_text", "event_dedup", "stream_activity"])
+def test_query_equals_its_sql(spark, small, name):
+    import duckdb
+
+    from linkforge.plans import registry
+
+    con = duckdb.connect()
+    for t in ("region nation customer supplier part orders lineitem events documents").split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got = registry.queries()[name](spark, small)
+    rel = con.sql(registry.oracle_sql()[name])
+    cols = sorted(rel.columns)
+    assert sorted(got.columns) == cols
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*cols).collect())
