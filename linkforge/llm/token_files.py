@@ -16,18 +16,22 @@ task leaves none behind, and any file system that Spark reaches will do.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkforge.llm.bpe import _alphabet
+
 MAGIC = b"LFTK"
 _HEAD = struct.Struct("<4sIIIIIQQ")
 #: Ids a block, and ids after which a file ends (a longer document makes a longer file).
@@ -99,19 +103,26 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-class WordCache:
-    """The tokenizers library's ids by white-space-separated word.
+class WordCache(dict):
+    """The tokenizers library's ids by white-space-separated word; a word not yet known is worked out when asked for.
 
     The tokenizer splits at white space and drops it, lower-cases character by character and
-    composes no character with a space, so a text's ids are its words' ids in a row. New
-    words go to the library together. Two things reach past a word: the lower case of a
-    capital sigma depends on what stands beside it, and str.split() takes four control
-    characters for white space. Texts with either go to the library whole.
+    composes no character with a space, so a text's ids are its words' ids in a row. Two things
+    reach past a word: the lower case of a capital sigma depends on what stands beside it, and
+    str.split() takes four control characters for white space. Texts with either go to the
+    library whole.
+
+    Words of printable ASCII and Latin-1 letters are cut by the tokenizer file's own split
+    pattern, and only the pieces go to the library's model: composition leaves such words as they
+    are, and pieces such as a word without its full stop recur where words don't. All other
+    words, and those with an added token, take the library's whole path.
     """
 
     whole = re.compile("[\u03a3\x1c-\x1f]").search
+    simple = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,23 +130,50 @@ class WordCache:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
+        plan = json.loads(self.library.to_str())
+        self.added = re.compile("|".join(re.escape(t["content"].lower()) for t in plan["added_tokens"]) or "(?!)").search
+        self.model = self.library.model
+        self.cut = _pieces(plan)
+        #: The byte-level alphabet: the library spells each byte of a piece as one character.
+        self.letters = {b: c for c, b in _alphabet().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        low = word.lower()
+        if self.cut is None or self.simple(word) is None or self.added(low):
+            found = np.array(self.library.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        else:
+            pieces = self.cut(low)
+            found = self._piece(low) if pieces == [word] else b"".join(map(self.__getitem__, pieces))
+        self[word] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        split = [t.split() if self.whole(t) is None else [] for t in texts]
-        known = self.known
-        fresh = list(set().union(*split).difference(known)) if split else []
-        for at in range(0, len(fresh), 20_000):
-            words = fresh[at : at + 20_000]
-            for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4") for ws in split]
-        for i, t in enumerate(texts):
-            if self.whole(t) is not None:
-                out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4")
-        return out
+        return [
+            np.frombuffer(b"".join(map(self.__getitem__, t.split())), "<u4")
+            if self.whole(t) is None
+            else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4")
+            for t in texts
+        ]
+
+
+def _pieces(plan: dict) -> Callable[[str], list[str]] | None:
+    """The tokenizer file's split of a lower-case word, if its steps are those that WordCache relies on; else None."""
+    normal = [n["type"] for n in (plan["normalizer"] or {}).get("normalizers", [])]
+    steps = (plan["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, spell = steps
+    if split["behavior"] != "Removed" or not split["invert"] or spell["add_prefix_space"] or spell["use_regex"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"]).findall
 
 
 @cache

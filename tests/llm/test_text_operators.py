@@ -393,3 +393,16 @@ def test_empty_tables(spark, empty, tmp_path):
     out = f"file://{tmp_path}/none"
     token_files.write(empty, out, public_tokenizers.path("word_bpe_49k.json"), 1)
     assert token_files.read_documents(spark, out).count() == 0
+
+
+def test_word_cache_equals_the_library():
+    """Every way a word takes: pieces, composed and combining marks, capital sigma, control characters, added tokens."""
+    import random
+
+    words = token_files.WordCache(public_tokenizers.path("word_bpe_49k.json"))
+    assert words.cut is not None
+    r, signs = random.Random(1), "abcXYZ's'tll'd09.,!?<|>_-éÉÖøßÿÀ×÷ µªºſİıΣσς́ \x85\x1c中文Ⅻ² \n\t"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    texts += ["a<|endoftext|>b", "x<|ENDOFTEXT|>y <|startoftext|>", *(f"a{chr(k)}b {chr(k)}'S {chr(k)}" for k in range(0x600))]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert ids.tolist() == words.library.encode(text, add_special_tokens=False).ids, repr(text)
