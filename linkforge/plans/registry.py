@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.functions import contact, identifiers
-from linkforge.operators import analytics, graph, resolution, search
+from linkforge.functions import contact, dates, identifiers, names
+from linkforge.operators import analytics, graph, mutation, resolution, search, spans
 from linkforge.plans import views as v
 from linkforge.session import ship, table
 from linkforge.streaming import activity
@@ -388,6 +388,139 @@ def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.drained(counts, "activity").select(F.to_date("start").alias("day"), "event_type", "cnt")
 
 
+# --- dates, amounts, names -----------------------------------------------------------------------
+
+_DAY = "lpad(CAST(c_custkey % 31 + 1 AS VARCHAR(9)), 2, '0')"
+_MON = "lpad(CAST(c_custkey % 13 + 1 AS VARCHAR(9)), 2, '0')"
+_YEAR = "CAST(1950 + c_custkey % 80 AS VARCHAR(9))"
+_DATE = f"CASE c_custkey % 6 WHEN 0 THEN {_YEAR} || '-' || {_MON} || '-' || {_DAY} WHEN 1 THEN {_DAY} || '/' || {_MON} || '/' || {_YEAR} WHEN 2 THEN {_DAY} || '.' || {_MON} || '.' || substr({_YEAR}, 3, 2) WHEN 3 THEN {_DAY} || ' march ' || {_YEAR} WHEN 4 THEN 'February ' || {_DAY} || ', ' || {_YEAR} ELSE 'soon' END"
+
+
+@_query(f"""WITH r AS (SELECT c_custkey, {_DATE} AS raw FROM customer),
+p AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN try_strptime(raw, '%Y-%m-%d') WHEN 1 THEN try_strptime(raw, '%d/%m/%Y')
+ WHEN 2 THEN try_strptime(substr(raw, 1, 6) || CASE WHEN CAST(substr(raw, 7, 2) AS INT) <= 30 THEN '20' ELSE '19' END || substr(raw, 7, 2), '%d.%m.%Y')
+ WHEN 3 THEN try_strptime(replace(raw, 'march', '03'), '%d %m %Y') WHEN 4 THEN try_strptime(raw, '%B %d, %Y') END AS t FROM r)
+SELECT c_custkey, CAST(t AS DATE) AS day,
+ c_custkey % 6 IN (1, 2) AND c_custkey % 31 + 1 <= 12 AND c_custkey % 13 + 1 <= 12 AND c_custkey % 31 <> c_custkey % 13 AS swappable FROM p""")
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _DATE).select("c_custkey", dates.parse_date(F.col("raw")).alias("day"), dates.day_month_swappable(F.col("raw")).alias("swappable"))
+
+
+_SUM = "CASE c_custkey % 5 WHEN 0 THEN 'GBP ' || CAST(c_custkey AS VARCHAR(9)) || '.50' WHEN 1 THEN '-$' || CAST(c_custkey AS VARCHAR(9)) WHEN 2 THEN '(1,' || lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '0') || ' eur)' WHEN 3 THEN 'minus £' || CAST(c_custkey AS VARCHAR(9)) || '.25' ELSE 'nothing' END"
+
+
+@_query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'GBP' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'GBP' END AS code,
+CAST(CASE c_custkey % 5 WHEN 0 THEN c_custkey + 0.5 WHEN 1 THEN -c_custkey WHEN 2 THEN -1000 - c_custkey % 1000 WHEN 3 THEN -c_custkey - 0.25 END AS DOUBLE) AS amount FROM customer""")
+def written_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = dates.parse_amount(F.col("raw"))
+    return _raw(spark, sf_dir, _SUM).select("c_custkey", p.alias("p")).select("c_custkey", "p.code", F.col("p.amount").cast("double").alias("amount"))
+
+
+_NAMED = "SELECT p_partkey, p_name AS a, p_type AS b FROM part"
+
+
+@_query(f"""WITH n AS ({_NAMED}), j AS (SELECT p_partkey, a, b, jaro_similarity(a, b) AS j FROM n)
+SELECT p_partkey, round(j + (1 - j) * 0.1 * CASE WHEN left(a, 4) = left(b, 4) THEN 4 WHEN left(a, 3) = left(b, 3) THEN 3 WHEN left(a, 2) = left(b, 2) THEN 2 WHEN left(a, 1) = left(b, 1) THEN 1 ELSE 0 END, 6) AS score FROM j""")
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(names.name_similarity("p_name", "p_type"), 6).alias("score"))
+
+
+# --- records: upserts, merges, differences -------------------------------------------------------
+
+_AMENDED = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 5 < 2"
+
+
+def _amended(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    status, cust = F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey"))
+    return o, o.where("o_orderkey % 5 < 2").select("o_orderkey", status.alias("o_orderstatus"), cust.alias("o_custkey"))
+
+
+@_query(f"SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({_AMENDED})) UNION ALL {_AMENDED}")
+def record_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutation.upsert(*_amended(spark, sf_dir), "o_orderkey")
+
+
+@_query(f"""WITH n AS ({_AMENDED}), j AS (SELECT o.o_orderkey, o.o_orderstatus AS s, o.o_custkey AS c, n.o_orderstatus AS s2, n.o_custkey AS c2 FROM orders o LEFT JOIN n USING (o_orderkey) WHERE o.o_orderkey % 5 < 2)
+SELECT o_orderkey, 'o_orderstatus' AS field, s AS before, s2 AS after FROM j WHERE s IS DISTINCT FROM s2
+UNION ALL SELECT o_orderkey, 'o_custkey', CAST(c AS VARCHAR), CAST(c2 AS VARCHAR) FROM j WHERE c IS DISTINCT FROM c2""")
+def record_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _amended(spark, sf_dir)
+    return mutation.field_diff(old.where("o_orderkey % 5 < 2"), new, "o_orderkey", ["o_orderstatus", "o_custkey"])
+
+
+_MASTERS = f"SELECT id, CASE WHEN nk IS NULL OR id LIKE 'N:%' THEN id ELSE 'MTR-' || nk END AS master_id FROM ({v.ENTITIES_SQL})"
+
+
+def _masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("nk").isNull() | F.col("id").startswith("N:")
+    return v.entities(spark, sf_dir).select("id", F.when(own, F.col("id")).otherwise(F.concat(F.lit("MTR-"), "nk")).alias("master_id"))
+
+
+@_query(f"WITH m AS ({_MASTERS}) SELECT DISTINCT a.master_id AS src, b.master_id AS dst, l.type FROM ({v.LINKS_SQL}) l JOIN m a ON a.id = l.src JOIN m b ON b.id = l.dst WHERE a.master_id <> b.master_id")
+def links_to_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutation.remap_links(v.links(spark, sf_dir), _masters(spark, sf_dir))
+
+
+@_query(f"""WITH m AS ({_MASTERS}), a AS (SELECT 'C:' || c_custkey AS id, unnest(['segment', 'phone']) AS key, unnest([CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END, 'n' || c_custkey]) AS value FROM customer)
+SELECT master_id, key, arg_min(value, id) AS value FROM a JOIN m USING (id) WHERE value <> '' GROUP BY master_id, key""")
+def master_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    pair = lambda k, x: F.struct(F.lit(k).alias("key"), x.alias("value"))
+    both = F.array(pair("segment", F.when(key % 2 == 0, F.col("c_mktsegment")).otherwise("")), pair("phone", F.concat(F.lit("n"), key)))
+    return mutation.merge_attributes(c.select(F.concat(F.lit("C:"), key).alias("id"), F.inline(both)), _masters(spark, sf_dir))
+
+
+@_query(f"""WITH m AS (SELECT id, CASE WHEN id LIKE 'S:%' AND CAST(substr(id, 3) AS INT) % 2 = 0 THEN 'S:' || (CAST(substr(id, 3) AS INT) - 1) ELSE id END AS t FROM ({v.ENTITIES_SQL}))
+SELECT DISTINCT a.t AS src, b.t AS dst, l.type FROM ({v.LINKS_SQL}) l JOIN m a ON a.id = l.src JOIN m b ON b.id = l.dst WHERE a.t <> b.t""")
+def merged_entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second supplier merged into the one before it."""
+    key = F.col("s_suppkey")
+    pairs = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("S:"), (key - 1).cast("string")).alias("keep"), F.concat(F.lit("S:"), key.cast("string")).alias("drop"))
+    return mutation.merge_entities(v.entities(spark, sf_dir), v.links(spark, sf_dir), pairs)[1]
+
+
+# --- positions, grouping sets, brokers -----------------------------------------------------------
+
+
+@_query("""SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearest FROM events""")
+def nearest_click_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans.nearest_before(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "click", "event_id")
+    return rows.select("event_id", "nearest")
+
+
+_SPANS = "SELECT l_orderkey AS g, CAST(l_linenumber * 7 % 20 AS INT) AS s, CAST(l_linenumber * 7 % 20 + l_quantity % 9 + 1 AS INT) AS e, l_linenumber % 2 AS side FROM lineitem"
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = F.col("l_linenumber") * 7 % 20
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), n.cast("int").alias("s"), (n + F.col("l_quantity") % 9 + 1).cast("int").alias("e"), (F.col("l_linenumber") % 2).alias("side"))
+    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")
+
+
+@_query(f"WITH r AS ({_SPANS}) SELECT i.g, i.s, i.e, o.s AS outer_s, o.e AS outer_e FROM r i JOIN r o ON i.g = o.g AND o.s <= i.s AND i.e <= o.e WHERE i.side = 0 AND o.side = 1")
+def spans_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.contained(*_spans(spark, sf_dir), "g")
+
+
+@_query(f"WITH r AS ({_SPANS}) SELECT g, s, e FROM r i WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM r o WHERE o.side = 1 AND o.g = i.g AND i.s < o.e AND o.s < i.e)")
+def spans_unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.free_of(*_spans(spark, sf_dir), "g")
+
+
+@_query(f"SELECT type, day IS NOT NULL AS dated, count(*) AS cnt FROM ({v.LINKS_SQL}) GROUP BY GROUPING SETS ((type), (2))".replace("(2)", "(day IS NOT NULL)"))
+def chart_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by type, and by whether they are dated, in one pass."""
+    rows = v.links(spark, sf_dir).select("type", F.col("day").isNotNull().alias("dated"))
+    return rows.groupingSets([[F.col("type")], [F.col("dated")]], "type", "dated").agg(F.count("*").alias("cnt"))
+
+
+@_query()
+def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betweenness of nations, regions and suppliers; a tree's closed form and a small graph are in the tests."""
+    return graph.betweenness(*v.places_graph(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
