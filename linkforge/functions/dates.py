@@ -5,39 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkforge.functions.contact import tidy
+
 #: Two-digit years up to this one belong to this century.
 PIVOT = 30
-# Currency signs.
-SIGNS = {"£": "GBP", "$": "USD", "€": "EUR"}
+# Months by name; the first three letters of a name, and sept, also stand for it.
+MONTHS = "january february march april may june july august september october november december".split()
+# Currencies known by their code, and the currency that a sign stands for.
+CODES = "GBP EUR USD JPY CHF AUD CAD CNY HKD SGD NZD SEK NOK DKK PLN RUB INR AED SAR TRY ZAR BRL MXN NGN PKR THB KRW".split()
+SIGNS = {"£": "GBP", "€": "EUR", "$": "USD", "¥": "JPY", "₽": "RUB", "₹": "INR", "₺": "TRY", "₦": "NGN", "₩": "KRW", "฿": "THB"}
+
+_NUMERIC = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})$"
+
+
+def _month(name: Column) -> Column:
+    known = {m: i for i, m in enumerate(MONTHS, 1)}
+    known |= {m[:3]: i for m, i in known.items()} | {"sept": 9}
+    return F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.lower(name)].cast("string")
 
 
 def parse_date(c: Column) -> Column:
-    """2024-03-12, 12/3/2024, 12/3/24, 12 March 2024, March 12, 2024; days that no calendar has give null."""
-    s = F.trim(c)
-    dmy = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2}|\d{4})$"
-    day, month, year = (F.regexp_extract(s, dmy, i) for i in (1, 2, 3))
-    century = F.when(F.length(year) == 4, "").when(year.try_cast("int") <= PIVOT, "20").otherwise("19")
-    worded = F.initcap(F.regexp_replace(s, ",", ""))
+    """2024-03-12, 12/3/2024, 12.3.24, 12 March 2024, 12th Mar 24, March 12, 2024; days that no calendar has give null."""
+    s = tidy(c)
+
+    def read(shape: str, year: int, month: int, day: int, named: bool = False) -> Column:
+        part = lambda i: F.regexp_extract(s, shape, i)
+        y = part(year)
+        full = F.when(F.length(y) > 2, F.lpad(y, 4, "0")).otherwise(F.concat(F.when(y.try_cast("int") <= PIVOT, "20").otherwise("19"), y))
+        # concat gives null for a month of no name.
+        text = F.concat(full, F.lit("-"), _month(part(month)) if named else part(month), F.lit("-"), part(day))
+        return F.when(s.rlike(shape), F.try_to_date(text, "yyyy-M-d"))
+
     return F.coalesce(
-        F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(s, "yyyy-MM-dd")),
-        F.when(s.rlike(dmy), F.try_to_date(F.concat_ws("/", day, month, F.concat(century, year)), "d/M/yyyy")),
-        F.when(worded.rlike(r"^\d{1,2} [A-Z][a-z]+ \d{4}$"), F.try_to_date(worded, "d MMMM yyyy")),
-        F.when(worded.rlike(r"^[A-Z][a-z]+ \d{1,2} \d{4}$"), F.try_to_date(worded, "MMMM d yyyy")),
+        read(r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})$", 1, 2, 3),
+        read(_NUMERIC, 3, 2, 1),
+        read(r"^(\d{1,2})(?:st|nd|rd|th)? ([A-Za-z]+)\.? (\d{2,4})$", 3, 2, 1, named=True),
+        read(r"^([A-Za-z]+)\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{2,4})$", 3, 1, 2, named=True),
     )
 
 
 def day_month_swappable(c: Column) -> Column:
     """Whether day and month of a numeric date could change places and give another date."""
-    a, b = (F.regexp_extract(F.trim(c), r"^(\d{1,2})[/.\-](\d{1,2})[/.\-]\d{2,4}$", i).try_cast("int") for i in (1, 2))
+    a, b = (F.regexp_extract(tidy(c), _NUMERIC, i).try_cast("int") for i in (1, 2))
     return F.coalesce((a <= 12) & (b <= 12) & (a != b), F.lit(False))
 
 
 def parse_amount(c: Column) -> Column:
-    """A struct code, amount: the code by letters or sign, the amount negative after a minus or in brackets."""
-    s = F.trim(c)
-    code = F.nullif(F.regexp_extract(F.upper(s), r"\b([A-Z]{3})\b", 1), F.lit(""))
+    """A struct code, amount. A known code goes before a sign; a leading minus, brackets or the word minus make it negative."""
+    s = tidy(c)
+    code = F.upper(F.regexp_extract(s, r"\b([A-Za-z]{3})\b", 1))
+    code = F.when(code.isin(CODES), code)
     for sign, name in SIGNS.items():
         code = F.coalesce(code, F.when(F.contains(s, F.lit(sign)), name))
-    size = F.replace(F.regexp_extract(s, r"(\d[\d,]*(\.\d+)?)", 1), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
-    below = s.rlike(r"^-|[()]|(?i)\bminus\b")
+    number = F.replace(F.regexp_extract(s, r"\d[\d,]*(?:\.\d+)?|\.\d+", 0), F.lit(","), F.lit(""))
+    size = number.try_cast("decimal(28,4)")
+    below = s.rlike(r"^-|\([^)]*\)|(?i)\bminus\b")
     return F.when(size.isNotNull(), F.struct(code.alias("code"), F.when(below, -size).otherwise(size).alias("amount")))
+
+
+def amount_text(c: Column) -> Column:
+    """GBP 1500 or GBP -250.50; what names no known currency stays as it is."""
+    p = parse_amount(c)
+    cents = F.round(p["amount"], 2).cast("decimal(26,2)")
+    short = F.when(cents % 1 == 0, cents.cast("decimal(26,0)").cast("string")).otherwise(cents.cast("string"))
+    return F.when(p["code"].isNotNull(), F.concat_ws(" ", p["code"], short)).otherwise(tidy(c))

@@ -416,6 +416,11 @@ def written_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir, _SUM).select("c_custkey", p.alias("p")).select("c_custkey", "p.code", F.col("p.amount").cast("double").alias("amount"))
 
 
+@_query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'GBP ' || c_custkey || '.50' WHEN 1 THEN 'USD -' || c_custkey WHEN 2 THEN 'EUR -' || (1000 + c_custkey % 1000) WHEN 3 THEN 'GBP -' || c_custkey || '.25' ELSE 'nothing' END AS amount FROM customer""")
+def amount_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _SUM).select("c_custkey", dates.amount_text(F.col("raw")).alias("amount"))
+
+
 _NAMED = "SELECT p_partkey, p_name AS a, p_type AS b FROM part"
 
 

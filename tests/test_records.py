@@ -21,6 +21,9 @@ from linkforge.operators import graph, mutation, spans
         ("4 SEPTEMBER 1983", (1983, 9, 4)),
         ("March 12, 2024", (2024, 3, 12)),
         ("12 Smarch 2024", None),
+        ("12th Mar. 24", (2024, 3, 12)),
+        ("Sept 3rd 1999", (1999, 9, 3)),
+        ("2024/3/1", (2024, 3, 1)),
         ("", None),
         (None, None),
     ],
@@ -31,9 +34,11 @@ def test_parse_date(spark, raw, want):
 
 
 def test_parse_amount(spark):
-    raws = ["£1,234.50", "(12 usd)", "minus €3", "GBP -250.50", "-$7", "none", None]
+    raws = ["£1,234.50", "(12 usd)", "minus €3", "GBP 250.50", "-$7", "none", "the 5", None]
     got = [r["p"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "i int, raw string").orderBy("i").select(dates.parse_amount(F.col("raw")).alias("p")).collect()]
-    assert [g and (g["code"], float(g["amount"])) for g in got] == [("GBP", 1234.5), ("USD", -12.0), ("EUR", -3.0), ("GBP", 250.5), ("USD", -7.0), None, None]
+    assert [g and (g["code"], float(g["amount"])) for g in got] == [("GBP", 1234.5), ("USD", -12.0), ("EUR", -3.0), ("GBP", 250.5), ("USD", -7.0), None, (None, 5.0), None]
+    want = ["GBP 1234.50", "USD -12", "EUR -3", "GBP 250.50", "USD -7", "none", "the 5", None]
+    assert [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "i int, raw string").orderBy("i").select(dates.amount_text(F.col("raw"))).collect()] == want
 
 
 def test_name_similarity(spark):
