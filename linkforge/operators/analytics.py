@@ -48,3 +48,17 @@ def within(df: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     box = F.col("lat").between(lat - d, lat + d)
     far = haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
     return df.where(box).withColumn("km", far).where(F.col("km") <= km)
+
+
+def worst_item(items: DataFrame, key: str, source: str, intel: str, order: str) -> DataFrame:
+    """(key, source, intel) of each report's worst graded item: ten times the source's grade plus the letter's rank, the first of equals."""
+    rank = F.col(source) * 10 + F.instr(F.lit("ABCDE"), F.col(intel))
+    graded = items.where(F.col(source).isNotNull() & F.col(intel).isNotNull())
+    worst = graded.groupBy(key).agg(F.max_by(F.struct(source, intel), F.struct(rank, -F.col(order))).alias("w"))
+    return worst.select(key, f"w.{source}", f"w.{intel}")
+
+
+def coverage(done: DataFrame, subject: str, system: str, systems: list[str]) -> DataFrame:
+    """One row a subject with a 0 or 1 for each of the systems named."""
+    flags = [F.max((F.col(system) == s).cast("int")).alias(s) for s in systems]
+    return done.groupBy(subject).agg(*flags).na.fill(0, systems)

@@ -513,7 +513,7 @@ def spans_unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.free_of(*_spans(spark, sf_dir), "g")
 
 
-@_query(f"SELECT type, day IS NOT NULL AS dated, count(*) AS cnt FROM ({v.LINKS_SQL}) GROUP BY GROUPING SETS ((type), (2))".replace("(2)", "(day IS NOT NULL)"))
+@_query(f"SELECT type, day IS NOT NULL AS dated, count(*) AS cnt FROM ({v.LINKS_SQL}) GROUP BY GROUPING SETS ((type), (day IS NOT NULL))")
 def chart_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by type, and by whether they are dated, in one pass."""
     rows = v.links(spark, sf_dir).select("type", F.col("day").isNotNull().alias("dated"))
@@ -526,6 +526,26 @@ def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.betweenness(*v.places_graph(spark, sf_dir))
 
 
+@_query("""SELECT l_orderkey, arg_max(src, [src * 10 + rk, -l_linenumber])::INT AS source, arg_max(substr('ABCDE', rk, 1), [src * 10 + rk, -l_linenumber]) AS intel
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_suppkey % 3 + 1 AS INT) AS src, CAST(l_partkey % 5 + 1 AS INT) AS rk FROM lineitem) GROUP BY l_orderkey""")
+def report_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = F.substring(F.lit("ABCDE"), (F.col("l_partkey") % 5 + 1).cast("int"), F.lit(1))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3 + 1).cast("int").alias("source"), letter.alias("intel"))
+    return analytics.worst_item(items, "l_orderkey", "source", "intel", "l_linenumber")
+
+
+@_query("SELECT user_id, max((event_type = 'click')::INT) AS click, max((event_type = 'view')::INT) AS view, max((event_type = 'purchase')::INT) AS purchase FROM events GROUP BY user_id")
+def coverage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.coverage(table(spark, sf_dir, "events"), "user_id", "event_type", ["click", "view", "purchase"])
+
+
+@_query(f"""WITH l AS (SELECT src, dst, coalesce(CAST(day AS VARCHAR), '') AS ord FROM ({v.LINKS_SQL})), e AS (SELECT src AS id, dst AS other, ord FROM l UNION ALL SELECT dst, src, ord FROM l)
+SELECT e.id, v.type, arg_min(e.other, [e.ord, e.other]) AS other FROM e JOIN ({v.ENTITIES_SQL}) v ON v.id = e.other GROUP BY e.id, v.type""")
+def first_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = v.links(spark, sf_dir).withColumn("ord", F.coalesce(F.col("day").cast("string"), F.lit("")))
+    return graph.first_linked(v.entities(spark, sf_dir), dated)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
