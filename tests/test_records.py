@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkforge.functions import dates, names
-from linkforge.operators import graph, mutation, spans
+from linkforge.operators import analytics, graph, mutation, spans
 
 
 @pytest.mark.parametrize(
@@ -84,3 +84,17 @@ def test_betweenness(spark, edges, want):
     v = spark.createDataFrame([(i,) for i in "abcdef"], "id string")
     links = spark.createDataFrame([tuple(e) for e in edges], "src string, dst string")
     assert {r["id"]: r["score"] for r in graph.betweenness(v, links).collect()} == want
+
+
+def test_worst_item_and_coverage(spark):
+    items = spark.createDataFrame([("r", 1, 2, "B"), ("r", 2, 3, "A"), ("r", 3, 3, "A"), ("s", 1, None, "E"), ("t", 1, 1, "E"), ("t", 2, 1, "C")], "urn string, seq int, source int, intel string")
+    assert {tuple(r) for r in analytics.worst_item(items, "urn", "source", "intel", "seq").collect()} == {("r", 3, "A"), ("t", 1, "E")}
+    done = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "z"), ("b", None)], "who string, system string")
+    assert {tuple(r) for r in analytics.coverage(done, "who", "system", ["x", "y"]).collect()} == {("a", 1, 0), ("b", 0, 0)}
+
+
+def test_first_linked(spark):
+    v = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q"), ("d", "q")], "id string, type string")
+    links = spark.createDataFrame([("a", "d", 2), ("c", "a", 1), ("a", "a", 0), ("b", "a", 3), ("b", "z", 1)], "src string, dst string, ord int")
+    got = {tuple(r) for r in graph.first_linked(v, links).collect()}
+    assert got == {("a", "q", "c"), ("a", "p", "b"), ("b", "p", "a"), ("c", "p", "a"), ("d", "p", "a")}
