@@ -3,8 +3,10 @@
 Each half of the unit vectors has a codebook of its own; a pair of codes is a cell of the product
 grid. A vector visits cells in the order of a multi-sequence traversal: for each half the
 codes stand by how far the border of their region lies from the vector, and a heap walks the
-pairs from the nearest on. It stops where a link would have to cross borders farther than the
-target recall asks for. What it meets in the cells is verified by cosine in double precision.
+pairs from the nearest on. It stops where a link would have to cross borders farther than it is
+long, so every link is met, however the vectors are spread. What it meets in the cells is verified
+by cosine in double precision. The number of codes sets the cost alone: the one is taken whose
+visits and comparisons, tried on the sample, cost least.
 
 Only vectors with the same label, not null, are compared. Vectors that are null, zero, or hold
 null or non-finite components link with nothing, and neither do those of another length than
@@ -17,6 +19,7 @@ pairs.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +34,8 @@ from linkforge.session import settled
 
 #: Vectors that the codebooks are fitted to at most, and home vectors in a chunk.
 SAMPLE, CHUNK = 8192, 1024
+#: Vectors of the sample that try a number of codes, and the comparisons that one visit costs as much as.
+PROBES, VISIT = 64, 400
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -58,13 +63,34 @@ class MultiIndex:
 
     @classmethod
     def fit(cls, x: np.ndarray, k: int, least: float, recall: float) -> MultiIndex:
-        """least: the cosine of a link. A link's difference is at most sqrt(2 - 2 least) long, and its part along a
-        border's normal near normal with a deviation of that over sqrt(dim). A link is missed if its parts along the
-        normals of both halves together pass reach, so the length of two such parts (a Rayleigh variable) sets it."""
+        """least: the cosine of a link. A link's difference is at most sqrt(2 - 2 least) long, and so are its parts along
+        the normals of borders in both halves together: that reach misses none. A recall under 1 takes the difference
+        to be spread evenly over all dimensions, which holds for isotropic vectors only; the two parts' length is then a
+        Rayleigh variable with a deviation of the difference over sqrt(dim)."""
         half = x.shape[1] // 2
-        part = np.sqrt(2 - 2 * least) / np.sqrt(max(1, x.shape[1]))
-        reach = part * np.sqrt(-2 * np.log(max(1e-300, 1 - recall)))
-        return cls(codebook(x[:, :half], k), codebook(x[:, half:], k), float(min(reach, np.sqrt(2 - 2 * least))))
+        reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6  # rounding
+        if recall < 1:
+            reach = min(reach, reach / np.sqrt(max(1, x.shape[1])) * np.sqrt(-2 * np.log(1 - recall)))
+        return cls(codebook(x[:, :half], k), codebook(x[:, half:], k), float(reach))
+
+    @classmethod
+    def cheapest(cls, x: np.ndarray, most: int, least: float, recall: float, rows: float) -> MultiIndex:
+        """The index of 4, 8, .. most codes at which a vector's visits and comparisons with rows others cost least."""
+        tried = [cls.fit(x, k, least, recall) for k in (2**i for i in range(2, most.bit_length()))]
+        return min(tried, key=lambda index: index.cost(x, rows))
+
+    def cost(self, x: np.ndarray, rows: float) -> float:
+        """Comparisons, and visits as comparisons, of one of the first PROBES rows of x among rows spread as x is."""
+        half = x.shape[1] // 2
+        a, da = self.borders(x[:, :half], self.first)
+        b, db = self.borders(x[:, half:], self.second)
+        share = np.zeros((len(self.first), len(self.second)))
+        np.add.at(share, (a, b), 1 / len(x))
+        costs = []
+        for p, q in zip(da[:PROBES] ** 2, db[:PROBES] ** 2):
+            near = p[:, None] + q[None, :] <= self.reach**2
+            costs.append(VISIT * near.sum() + rows * share[near].sum())
+        return float(np.mean(costs))
 
     def borders(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(code, distance of x to the region of each code, 0 for its own)."""
@@ -131,7 +157,7 @@ class _Forest:
         return a != b
 
 
-def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 0.999, cells: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 1.0, cells: int | None = None) -> DataFrame:
     """One row per row of df: (key, n_links, component_id, kept)."""
     spark = df.sparkSession
     id_kind, label_kind = df.schema[key].dataType.simpleString(), df.schema[label].dataType.simpleString()
@@ -144,11 +170,13 @@ def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vec
     usable = usable.where(F.size("v") == dim)
     whole = settled(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "vectors")
 
-    picked = least_hashes(whole.select("v", F.xxhash64("rep").alias("h")), whole, SAMPLE).collect()  # a bounded sample
+    picked = least_hashes(whole.select("label", "v", F.xxhash64("rep").alias("h")), whole, SAMPLE).collect()  # a bounded sample
     x = np.array([r["v"] for r in picked])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    k = cells or int(min(512, max(4, 2 ** round(np.log2(max(1.0, rows / 200)) / 2))))
-    shared = spark.sparkContext.broadcast(MultiIndex.fit(x, k, least, recall))
+    most = int(min(512, max(4, 2 ** round(np.log2(max(1.0, rows / 200)) / 2))))
+    of_label = sum((n / len(picked)) ** 2 for n in Counter(r["label"] for r in picked).values())
+    index = MultiIndex.fit(x, cells, least, recall) if cells else MultiIndex.cheapest(x, most, least, recall, rows * of_label)
+    shared = spark.sparkContext.broadcast(index)
 
     # Vectors travel in the precision that they came in, and are compared in double.
     stored = np.float32 if "float" in df.schema[vector].dataType.simpleString() else np.float64
