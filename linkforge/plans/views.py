@@ -71,12 +71,6 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def places_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations, regions and suppliers with their LOCATED_IN links: a small graph that recursion in SQL can walk."""
-    ent = entities(spark, sf_dir).where("substring(id, 1, 2) in ('N:', 'R:', 'S:')")
-    return ent, links(spark, sf_dir).where("type = 'LOCATED_IN' and substring(src, 1, 2) in ('N:', 'S:')")
-
-
 PLACES_SQL = f"""
 v AS (SELECT id FROM ({ENTITIES_SQL}) WHERE substr(id, 1, 2) IN ('N:', 'R:', 'S:')),
 e AS (SELECT DISTINCT src AS a, dst AS b FROM ({LINKS_SQL}) WHERE type = 'LOCATED_IN' AND substr(src, 1, 2) IN ('N:', 'S:')),
