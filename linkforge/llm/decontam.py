@@ -6,13 +6,14 @@ diagonals. Shared q-grams are counted in overlapping bands of diagonals; bands t
 bound are verified by an alignment along the band. Both sides are compared in lower case with
 runs of white space as one space, as UTF-8 bytes.
 
-Null or empty texts hold nothing. Benchmark texts of fewer than LEAST bytes are left out: they
-would match by chance. The benchmark is a stated query set, taken in blocks of BLOCK_BYTES, each
+Null or empty texts hold nothing. Benchmark texts of fewer than LEAST bytes would match by chance
+with edits: they must occur whole, without an edit, and not begin or end inside a word. The benchmark is a stated query set, taken in blocks of BLOCK_BYTES, each
 sent to every task and held against all documents.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from linkforge.llm.text import LOWER, SPACE, mix, raw, slices
 
 _U = np.uint64
-#: Pattern bytes, edits allowed a byte, q, the least benchmark text, and benchmark bytes in a block.
+#: ASCII bytes of words; letters() knows the others.
+_WORD = np.array([chr(c).isalnum() or c == 95 for c in range(128)] + [False] * 128)
+#: Pattern bytes, edits allowed a byte, q, the least benchmark text that may have edits, and benchmark bytes in a block.
 PATTERN, RATE, Q, LEAST, BLOCK_BYTES = 128, 0.08, 10, 50, 4 << 20
 
 
@@ -52,26 +55,49 @@ def grams(buf: np.ndarray, q: int = Q) -> np.ndarray:
     return mix(h)
 
 
+def letters(buf: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text belongs to a letter, mark, digit or underscore."""
+    out = _WORD[buf]
+    if (buf < 128).all():
+        return out
+    # Characters of several bytes: the lead's bits and up to three bytes more tell the code.
+    padded = np.concatenate((buf, np.zeros(3, np.uint8))).astype(np.int64)
+    at = np.flatnonzero(buf >= 192)
+    size = 2 + (buf[at] >= 224) + (buf[at] >= 240)
+    code = padded[at] & (0x7F >> size)
+    for j in range(1, 4):
+        code = np.where(j < size, code << 6 | padded[np.minimum(at + j, len(buf))] & 63, code)
+    kinds, which = np.unique(code, return_inverse=True)
+    word = np.array([c < 0x110000 and unicodedata.category(chr(c))[0] in "LMN" for c in kinds.tolist()], bool)[which]
+    for j in range(4):
+        fit = word & (j < size) & (at + j < len(buf))
+        out[at[fit] + j] = True
+    return out
+
+
 @dataclass
 class Patterns:
-    """Patterns of a block of benchmark texts and an index of their q-grams."""
+    """Patterns of a block of benchmark texts and an index of their q-grams; then the texts too short for edits, by length."""
 
-    items: np.ndarray
+    items: np.ndarray  # of patterns, then of short texts
     texts: list[np.ndarray]
     edits: np.ndarray
     gram: np.ndarray  # sorted
     owner: np.ndarray
     place: np.ndarray
     filter: np.ndarray  # 2**20 flags
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: sorted hashes, their places in items, their bytes
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Patterns:
-        items, texts = [], []
+        items, texts, few = [], [], []
         for item, text in rows:
             b, _ = normal(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
             b = b[1:] if len(b) and b[0] == 32 else b
             b = b[:-1] if len(b) and b[-1] == 32 else b
             if len(b) < LEAST:
+                if len(b):
+                    few.append((item, b))
                 continue
             starts = [*range(0, max(1, len(b) - PATTERN), PATTERN // 2), max(0, len(b) - PATTERN)]
             for s in sorted(set(starts)):
@@ -85,7 +111,16 @@ class Patterns:
         flags = np.zeros(1 << 20, bool)
         flags[(gram >> _U(44)).astype(np.int64)] = True
         edits = np.array([int(len(t) * RATE) for t in texts], np.int64)
-        return cls(np.array(items), texts, edits, gram[order], owner[order].astype(np.int64), place[order].astype(np.int64), flags)
+        by_size: dict[int, list[int]] = {}
+        for n, (_, b) in enumerate(few):
+            by_size.setdefault(len(b), []).append(n)
+        short = {}
+        for size, mine in by_size.items():
+            h = np.concatenate([grams(few[n][1], size) for n in mine])
+            by_hash = np.argsort(h, kind="stable")
+            short[size] = h[by_hash], len(items) + np.array(mine)[by_hash], np.stack([few[n][1] for n in mine])[by_hash]
+        items += [item for item, _ in few]
+        return cls(np.array(items), texts, edits, gram[order], owner[order].astype(np.int64), place[order].astype(np.int64), flags, short)
 
 
 def align(pattern: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int] | None:
@@ -105,8 +140,53 @@ def align(pattern: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int
 
 
 def search(p: Patterns, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document number, pattern number, edits, end in the normal text) of each pattern found in a document."""
+    """(document number, pattern number, edits, end in the normal text) of each pattern or short text found in a document."""
     text, off = normal(buf, off)
+    return edited(p, text, off) + whole(p, text, off)
+
+
+def whole(p: Patterns, text: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The first place in each document of each short text, byte by byte, that neither begins nor ends inside a word.
+
+    Hashes grow by a byte from all places where a word may begin, and are looked up at the lengths of short texts.
+    """
+    if not len(text) or not p.short:
+        return []
+    word = letters(text)
+    inside = np.zeros(len(text) + 1, bool)
+    inside[1:-1] = word[1:] & word[:-1]
+    inside[off] = False
+    at = np.flatnonzero(~inside[:-1] & (text != 32))
+    doc = np.searchsorted(off, at, "right") - 1
+    h = np.zeros(len(at), np.uint64)
+    docs, found, ends = [], [], []
+    for size in range(1, max(p.short) + 1):
+        fit = at + size <= off[doc + 1]
+        at, doc, h = at[fit], doc[fit], h[fit]
+        h = h * _U(0x100000001B3) + text[at + size - 1]
+        if size not in p.short:
+            continue
+        known, item, texts = p.short[size]
+        ok = np.flatnonzero(~inside[at + size])
+        mixed = mix(h[ok])
+        lo = np.searchsorted(known, mixed, "left")
+        n = np.searchsorted(known, mixed, "right") - lo
+        ok, lo, n = ok[n > 0], lo[n > 0], n[n > 0]
+        if not len(ok):
+            continue
+        entry, who = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), np.repeat(ok, n)
+        # Places ascend, so the first of a document and text is its least.
+        first = np.unique(doc[who] * len(known) + entry, return_index=True)[1]
+        for e, w in zip(entry[first].tolist(), who[first].tolist()):
+            if (text[at[w] : at[w] + size] == texts[e]).all():
+                docs.append(int(doc[w]))
+                found.append(int(item[e]))
+                ends.append(int(at[w] + size - off[doc[w]]))
+    return [(d, i, 0, e) for d, i, e in zip(docs, found, ends)]
+
+
+def edited(p: Patterns, text: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """search() for patterns, which may have edits; text is normal."""
     g = grams(text)
     if not len(g) or not len(p.gram):
         return []

@@ -243,6 +243,24 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.where("false")).count() == 0 and decontam.contaminated(df.where("false"), bench).count() == 0
 
 
+def test_short_benchmark_items_match_whole(spark):
+    items = ["Who wrote Emma?", "42", "été", "new  york", "x", "élan vital", "?!", "  ", "", "a" * 49, "new york"]
+    texts = ["So: who\nwrote EMMA?", "who wrote emma", "142 and 421", "it is 42.", "l'été, vite", "étés", "in New York\u201d", "newer york new yorks", "\u201cx\u201d", "ex x2 _x", "what?!", "a" * 50, "b " + "a" * 49, "élan  vital", "new", "york", None, ""]
+    # 42 must not be seen across the border of two documents.
+    texts += ["is 4", "2 is"]
+
+    def plain(t):
+        return re.sub("[ \t-\r]+", " ", t).strip(" ").lower()
+
+    want = {(d, i) for d, t in enumerate(texts) if t for i, x in enumerate(items) if plain(x) and re.search((r"(?<!\w)" if plain(x)[0].isalnum() else "") + re.escape(plain(x)) + (r"(?!\w)" if plain(x)[-1].isalnum() else ""), plain(t))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontam.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+    assert (0, 0) in want and (3, 1) in want and (6, 3) in want and {d for d, i in want if i == 4} == {8}
+    assert {(r["patterns"], r["edits"]) for r in rows} == {(1, 0)} and [r["end"] for r in rows if (r["doc_id"], r["item_id"]) == (3, 1)] == [8]
+
+
 def test_alignment_is_edit_distance():
     r = random.Random(6)
 
