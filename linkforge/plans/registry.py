@@ -337,11 +337,11 @@ for _k in _PATTERNS:
 
 @_query("""SELECT o_orderkey, 'E' || lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR(9)), 4, '0') AS ref FROM orders""")
 def sequence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded running references, by owner."""
+    """Running references by owner, padded to four digits at least; its SQL cuts longer numbers."""
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("E"), F.lpad(n.cast("string"), 4, "0")).alias("ref"))
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n")).select("o_orderkey", F.concat(F.lit("E"), F.lpad("n", F.greatest(F.lit(4), F.length("n")), F.lit("0"))).alias("ref"))
 
 
 @_query("""SELECT u.user_id, count(DISTINCT e.event_type) AS done, CASE count(DISTINCT CASE WHEN e.event_type IN ('click', 'view', 'purchase') THEN e.event_type END) WHEN 0 THEN 'red' WHEN 3 THEN 'green' ELSE 'amber' END AS rag

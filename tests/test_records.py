@@ -98,3 +98,11 @@ def test_first_linked(spark):
     links = spark.createDataFrame([("a", "d", 2), ("c", "a", 1), ("a", "a", 0), ("b", "a", 3), ("b", "z", 1)], "src string, dst string, ord int")
     got = {tuple(r) for r in graph.first_linked(v, links).collect()}
     assert got == {("a", "q", "c"), ("a", "p", "b"), ("b", "p", "a"), ("c", "p", "a"), ("d", "p", "a")}
+
+
+def test_references_of_a_large_owner(spark, tmp_path):
+    from linkforge.plans import registry
+
+    spark.range(1, 10021).selectExpr("id as o_orderkey", "1 as o_custkey").write.parquet(f"file://{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: r["ref"] for r in registry.queries()["sequence_refs"](spark, f"file://{tmp_path}").collect()}
+    assert got == {i: f"E{i:04}" for i in range(1, 10021)} and len(set(got.values())) == 10020
