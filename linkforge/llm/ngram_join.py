@@ -5,33 +5,36 @@ den * |A and B| >= num * |A or B|. The steps:
 
 1. Equal sets collapse to one representative, the least doc_id.
 2. Shingles get a global order, rare ones first, from a table of hashed document counts over
-   the whole input. Linked sets share a shingle among their first |A| - ceil(t|A|) + 1.
+   the whole input. Linked sets share a shingle among their first |A| - ceil(t|A|) + 1. These rows
+   are shuffled once; only shingles that several sets have go on.
 3. In each group of sets that share such a shingle, every set is held against the group's
    least one. Those that link form components, so a group of thousands of near copies costs one
    comparison a member.
 4. What is left are pairs that share a prefix shingle but lie in different components; all of
    these are held against each other too, so no link is lost between components.
-5. Comparisons run in tries of sorted sets: members in order share the overlap counted along
-   their common beginning, and a subtree is left once its remaining length can't reach the
-   overlap asked for.
+5. Comparisons run in prefix trees: the partners of a set, as sorted shingles, are stored in a trie
+   whose nodes know the least and the greatest set below. A walk carries the overlap so far,
+   shared by all sets below a node, and leaves a subtree once what remains can't reach the overlap asked for.
 
-Empty and null texts have empty sets and link with nothing. Rows with a null key link with
-nothing and get no component unless a copy with a key exists. Repeated rows stay.
+Shingles are compared by 64-bit hashes, sets of equal size collapse by 128 more bits. Empty and null
+texts have empty sets and link with nothing. Rows with a null key link with nothing and get no
+component unless a copy with a key exists. Repeated rows stay. Other columns are never read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkforge.llm.text import lists, mix, raw, shingles, slices, words
 from linkforge.operators.components import connected_components
-from linkforge.session import settled
+from linkforge.session import release, settled
 
 _U = np.uint64
 #: Rows of the hashed count table that travel together, and members that one task's trie holds.
@@ -53,28 +56,29 @@ def order_table(docs: DataFrame, text: str, n: int, bits: int) -> np.ndarray:
     """For each hash bucket the rank of its document count; 2**bits buckets, summed over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in slices(batch, text):
                 found = sets_of(part, text, n)
-                total += np.bincount((np.concatenate(found) & _U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        for c in np.flatnonzero(total.reshape(-1, CHUNK).any(1)) if (1 << bits) >= CHUNK else []:
-            part = total[c * CHUNK : (c + 1) * CHUNK]
-            yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "counts"])
+                np.add.at(total, (np.concatenate(found) & _U((1 << bits) - 1)).astype(np.int64), np.uint32(1))
+        yield from packed((c, total[c * CHUNK : (c + 1) * CHUNK]) for c in np.flatnonzero(total.reshape(-1, CHUNK).any(1)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[c] = sums.get(c, 0) + np.frombuffer(x, np.int64)
-        for c, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "counts"])
+                sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(x), np.int64)
+        yield from packed(sums.items())
+
+    def packed(chunks: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for c, x in chunks:
+            yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int32()), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
     kind = "chunk int, counts binary"
     chunks = docs.select(text).mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind)
     table = np.zeros(1 << bits, np.int64)
     for r in chunks.collect():  # 2**bits counts, whatever the input's size
-        table[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+        table[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return np.minimum(256 * np.log2(table + 1), (1 << 14) - 1).astype(np.uint16)
 
 
@@ -108,35 +112,80 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int,
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias(text)).mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, n long, h1 long, h2 long, prefix array<long>")
 
 
-def trie_links(query: np.ndarray, members: list[np.ndarray], num: int, den: int, step: int = 64) -> list[bool]:
-    """Whether each member links with query. Members are walked in sorted order, which is a walk over their trie.
+@dataclass
+class Node:
+    """Shingles that all sets below share after those of the nodes above; the sets that end here; the least and greatest size below."""
+
+    shingles: np.ndarray
+    ends: list[int]
+    low: int
+    high: int
+    below: list[Node] = field(default_factory=list)
+
+
+def prefix_tree(sets: list[np.ndarray]) -> Node:
+    """The trie of sorted sets, runs without a branch in one node. Sets in order lie beside those that they share most with."""
+    # Big-endian bytes order as the numbers do.
+    order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())
+    shared = [0]
+    for i, j in zip(order, order[1:]):
+        k = min(len(sets[i]), len(sets[j]))
+        other = np.flatnonzero(sets[i][:k] != sets[j][:k])
+        shared.append(int(other[0]) if len(other) else k)
+
+    def grow(lo: int, hi: int, depth: int) -> Node:
+        """The node of order[lo:hi], whose sets share their first depth shingles with the path."""
+        stack = [(lo, hi, depth, None)]
+        root = None
+        while stack:
+            lo, hi, depth, parent = stack.pop()
+            end = min(shared[lo + 1 : hi], default=len(sets[order[lo]]))
+            sizes = [len(sets[i]) for i in order[lo:hi]]
+            ends = [i for i, m in zip(order[lo:hi], sizes) if m == end]
+            node = Node(sets[order[lo]][depth:end], ends, min(sizes), max(sizes))
+            if parent is None:
+                root = node
+            else:
+                parent.below.append(node)
+            at = lo + len(ends)  # sets that end here stand first
+            while at < hi:
+                to = at + 1
+                while to < hi and shared[to] > end:
+                    to += 1
+                stack.append((at, to, end, node))
+                at = to
+        return root
+
+    return grow(0, len(sets), 0) if sets else Node(np.zeros(0, np.uint64), [], 0, 0)
 
-    counts[d] is the overlap of the first d shingles of the present path. The next member keeps
-    the counts of the beginning that it shares with the path, and goes on from there.
-    """
-    rank = sorted(range(len(members)), key=lambda i: members[i].byteswap().tobytes())
+
+def trie_links(query: np.ndarray, members: list[np.ndarray], num: int, den: int, step: int = 64) -> list[bool]:
+    """Whether each member links with query, by a walk over the members' prefix tree."""
     out = [False] * len(members)
-    m, path, counts = len(query), np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    for i in rank:
-        y = members[i]
-        k = min(len(y), len(path), len(counts) - 1)
-        same = np.flatnonzero(y[:k] != path[:k])
-        d = int(same[0]) if len(same) else k
-        need = int(_ceil(num * (m + len(y)), num + den))
-        grown, overlap = [counts[: d + 1]], int(counts[d])
-        # Shingles of the query up to the path's last one can't be met again.
-        while d < len(y):
-            used = int(np.searchsorted(query, y[d - 1], "right")) if d else 0
-            if overlap + min(len(y) - d, m - used) < need:
+    m = len(query)
+
+    def need(size: int) -> int:
+        return int(_ceil(num * (m + size), num + den))
+
+    # (node, overlap so far, shingles above, shingles of the query that are behind)
+    stack = [(prefix_tree(members), 0, 0, 0)]
+    while stack:
+        node, overlap, depth, used = stack.pop()
+        least, alive, run = need(node.low), True, node.shingles
+        for at in range(0, len(run), step):
+            # The set that asks least is the smallest, and what remains is most for the greatest.
+            if overlap + min(node.high - depth, m - used) < least:
+                alive = False
                 break
-            piece = y[d : d + step]
-            at = np.searchsorted(query, piece)
-            hit = (at < m) & (query[np.minimum(at, m - 1)] == piece)
-            more = overlap + np.cumsum(hit)
-            grown.append(more)
-            overlap, d = int(more[-1]), d + len(piece)
-        path, counts = y, np.concatenate(grown)
-        out[i] = d >= len(y) and overlap >= need
+            piece = run[at : at + step]
+            place = np.searchsorted(query, piece)
+            overlap += int((query[np.minimum(place, m - 1)] == piece).sum()) if m else 0
+            depth += len(piece)
+            used = int(np.searchsorted(query, piece[-1], "right"))
+        if alive and overlap + min(node.high - depth, m - used) >= least:
+            for i in node.ends:
+                out[i] = overlap >= need(len(members[i]))
+            stack += [(child, overlap, depth, used) for child in node.below]
     return out
 
 
@@ -180,26 +229,27 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, as (src, dst). Each a's partners lie in tries of at most TRIE members."""
+    """The pairs (a, b) that link, as (src, dst). Each a's partners lie in tries of at most TRIE members.
+
+    Texts travel, not sets: they are shorter, and the tasks that compare cut them into shingles again.
+    """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(ids)))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             place = _places(batch.column(0))
-            some = batch.filter(pa.array((place >= 0) & flags[place]))
-            for part in slices(some, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets_of(part, "text", n)], pa.binary())], names=["id", "shingles"])
+            yield batch.filter(pa.array((place >= 0) & flags[place]))
 
     kind = docs.schema[key].dataType.simpleString()
-    # Texts aren't shuffled: each task keeps those that the bitmap lets pass. A set too many joins with nothing.
-    wanted = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sets = settled(wanted.mapInArrow(build, f"id {kind}, shingles binary"), "sets")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / TRIE).alias("blocks"))
-    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    members = dealt.join(sets, dealt["b"] == sets["id"]).select("a", "block", F.lit(1).alias("side"), "b", "shingles")
-    queries = dealt.select("a", "block").distinct().join(sets, F.col("a") == sets["id"]).select("a", "block", F.lit(0).alias("side"), F.col("a").alias("b"), "shingles")
+    # Each task keeps the texts that the bitmap lets pass. A text too many joins with nothing.
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(wanted, f"id {kind}, text string")
+    nth = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    dealt = pairs.select("a", F.floor((nth - 1) / TRIE).cast("int").alias("block"), "b")
+    members = dealt.select("a", "block", F.lit(1).alias("side"), F.col("b").alias("id"))
+    roles = members.unionByName(dealt.select("a", "block").distinct().select("a", "block", F.lit(0).alias("side"), F.col("a").alias("id")))
+    rows = roles.join(texts, "id").select("a", "block", "side", "id", "text").repartition("a", "block").sortWithinPartitions("a", "block", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, query, held, ids_, src, dst = None, None, [], [], [], []
@@ -212,16 +262,16 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, num
                         dst.append(b)
 
         for batch in batches:
-            for a, block, side, b, s in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (a, block) != now:
-                    flush()
-                    now, query, held, ids_ = (a, block), None, [], []
-                x = np.frombuffer(s, np.uint64)
-                if side == 0:
-                    query = x
-                else:
-                    held.append(x)
-                    ids_.append(b)
+            for part in slices(batch, "text"):
+                for a, block, side, b, x in zip(*(part.column(i).to_pylist() for i in range(4)), sets_of(part, "text", n)):
+                    if (a, block) != now:
+                        flush()
+                        now, query, held, ids_ = (a, block), None, [], []
+                    if side == 0:
+                        query = x
+                    else:
+                        held.append(x)
+                        ids_.append(b)
             if len(src) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(src, id_type), pa.array(dst, id_type)], names=["src", "dst"])
                 src, dst = [], []
@@ -229,7 +279,6 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, num
         yield pa.RecordBatch.from_arrays([pa.array(src, id_type), pa.array(dst, id_type)], names=["src", "dst"])
 
     id_type = pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()
-    rows = members.unionByName(queries).repartition("a", "block").sortWithinPartitions("a", "block", "side")
     return rows.mapInArrow(compare, f"src {kind}, dst {kind}")
 
 
@@ -238,43 +287,42 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     Links: den * |intersection| >= num * |union| of the sets of distinct n-word shingles.
     """
+    c = F.col
     bits = min(24, max(16, int(max(1, docs.count()) * 4 - 1).bit_length()))
     ranks = order_table(docs, text, n, bits)
     sigs = settled(signatures(docs, key, text, n, num, den, ranks), "signatures")
-    reps = sigs.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min_by("prefix", "doc_id").alias("prefix"), F.min("doc_id").alias("rep"))
-    reps = settled(reps, "reps")
-    spread = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "tok"))
-    groups = spread.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n", "pos")).alias("least")).where("c > 1")
-    inside = settled(spread.join(groups, "tok"), "prefixes")
+    distinct = sigs.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2")
+    spread = distinct.agg(F.min_by("prefix", "doc_id").alias("prefix"), F.min("doc_id").alias("rep")).select("rep", c("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
+    # The one shuffle of prefix rows: by shingle, with the group's size and its least set.
+    group = Window.partitionBy("tok")
+    inside = spread.withColumns({"c": F.count("*").over(group), "least": F.min(F.struct("rep", "n", "pos")).over(group)}).where("c > 1")
+    inside = settled(inside.select("tok", "rep", "n", "pos", "least"), "prefixes")
 
     def may(nx, ny, px, py):  # noqa: ANN001, ANN202
         """Sizes fit, and what follows the shared shingle can reach the overlap."""
         left = F.least(nx - px, ny - py)
         return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= num * (nx + ny))
 
-    c = F.col
     first = inside.where((c("rep") != c("least.rep")) & may(c("n"), c("least.n"), c("pos"), c("least.pos")))
     first = settled(first.select(c("least.rep").alias("a"), c("rep").alias("b")).distinct(), "stars")
     links = settled(verified(first, docs, key, text, n, num, den), "links")
     label = connected_components(links)
-    marked = inside.select("tok", "rep", "n", "pos").join(label, inside["rep"] == label["node"], "left")
-    marked = settled(marked.select("tok", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "marked")
-    mixed = marked.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    sized = marked.join(mixed, "tok", "left_semi").groupBy("tok", "comp").count()
-    large = sized.groupBy("tok").agg(F.max_by("comp", F.struct("count", "comp")).alias("large"))
-    rows = marked.join(large, "tok")
-    x = rows.where("comp != large").select("tok", *(c(k).alias(f"x_{k}") for k in ("rep", "n", "pos", "comp")))
-    y = rows.select("tok", "large", *(c(k).alias(f"y_{k}") for k in ("rep", "n", "pos", "comp")))
+    marked = inside.select("tok", "rep", "n", "pos", c("least.rep").alias("center")).join(label, c("rep") == c("node"), "left")
+    marked = marked.select("tok", "rep", "n", "pos", "center", F.coalesce("component", "rep").alias("comp"))
+    # Groups of several components. Sets of the commonest one are held against the others, never against each other.
+    mixed = marked.withColumns({"lo": F.min("comp").over(group), "hi": F.max("comp").over(group), "large": F.mode("comp", True).over(group)}).where("lo < hi")
+    x = mixed.where("comp != large and rep != center").select("tok", *(c(k).alias(f"x_{k}") for k in ("rep", "n", "pos", "comp")))
+    y = mixed.where("rep != center").select("tok", "large", *(c(k).alias(f"y_{k}") for k in ("rep", "n", "pos", "comp")))
     across = x.join(y, "tok").where(
         (c("x_comp") != c("y_comp")) & ((c("y_comp") == c("large")) | (c("x_rep") < c("y_rep"))) & may(c("x_n"), c("y_n"), c("x_pos"), c("y_pos"))
     )
-    across = across.select(c("x_rep").alias("a"), c("y_rep").alias("b")).distinct()
-    done = first.unionByName(first.select(c("b").alias("a"), c("a").alias("b")))
-    across = settled(across.join(done, ["a", "b"], "left_anti"), "across")
+    across = settled(across.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct(), "across")
     if across.limit(1).count():
         more = settled(verified(across, docs, key, text, n, num, den), "links")
         if more.limit(1).count():
-            label = connected_components(links.unionByName(more))
-    found = reps.select("n", "h1", "h2", "rep").join(label, reps["rep"] == label["node"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("found"))
-    out = sigs.select("doc_id", "n", "h1", "h2").join(found, ["n", "h1", "h2"], "left")
+            label = connected_components(label.select(c("node").alias("src"), c("component").alias("dst")).unionByName(more))
+        release(more)
+    release(inside, first, links, across)
+    reps = distinct.agg(F.min("doc_id").alias("rep")).join(label, c("rep") == c("node"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("found"))
+    out = sigs.select("doc_id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left")
     return out.select("doc_id", c("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))

@@ -46,18 +46,6 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa
         at = end
 
 
-@cache
-def _powers(log: int) -> tuple[np.ndarray, np.ndarray]:
-    n, r = 1 << log, 0xD1342543DE82EF95
-    inv = pow(r, -1, 1 << 64)
-    out = []
-    for base in (r, inv):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(31))
     x = x * _U(0xBF58476D1CE4E5B9)
@@ -65,28 +53,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x * _U(0x94D049BB133111EB) ^ (x >> _U(33))
 
 
+@cache
+def _places(log: int) -> np.ndarray:
+    """An odd multiplier for each place in a word, drawn apart from all others."""
+    return mix(np.arange(1, (1 << log) + 1, dtype=np.uint64) * _U(_MULT)) | _U(1)
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, first): each word's hash, its first byte, and for each document the number of its first word.
 
-    Words are runs without ASCII white space; A-Z count as a-z.
+    Words are runs without ASCII white space; A-Z count as a-z. A hash is a sum of one term a byte, of the byte and its
+    place, mixed: no polynomial, so words made of the same parts in another order don't meet.
     """
     n = len(buf)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     inside = ~SPACE[buf]
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, inside[:-1]
-    start = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, inside[1:]
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    power, inverse = _powers(max(20, int(n).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_SEEDS[LOWER[buf]] * power[:n], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * _U(_MULT)), start, np.searchsorted(start, off)
+    new = np.empty(n, bool)
+    new[0], new[1:] = True, ~inside[:-1]
+    new[off[:-1][off[:-1] < n]] = True
+    start = np.flatnonzero(inside & new)
+    if not len(start):
+        return np.zeros(0, np.uint64), start, np.zeros(len(off), np.int64)
+    held = np.flatnonzero(inside)
+    first = np.searchsorted(held, start)  # each word's first byte among those of words
+    size = np.diff(first, append=len(held))
+    place = np.arange(len(held)) - np.repeat(first, size)
+    terms = _SEEDS[LOWER[buf[held]]] * _places(max(12, int(size.max()).bit_length()))[place]
+    h = np.add.reduceat(terms, first)
+    return mix(h + size.astype(np.uint64) * _U(_MULT)), start, np.searchsorted(start, off)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
