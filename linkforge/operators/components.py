@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.session import settled
+from linkforge.session import release, settled
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each round replaces the edges by stars around local minima; a hub costs one aggregated row
     and a join that adaptive execution may split. Rounds grow with the logarithm of the
-    diameter. Every round is written to the shared folder. Null ends and loops are left out;
+    diameter. Every round is written to the shared folder, and the
+    round before it deleted. Null ends and loops are left out;
     a table without edges gives no rows.
     """
     kind = edges.schema[src].dataType
@@ -30,11 +31,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = sym.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a")
-        e = settled(
+        before, e = e, settled(
             small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low2.select("a", F.col("m").alias("b"))).distinct(),
             "edges",
         )
+        release(before)
         now = _mark(e)
         if now == seen:
             break

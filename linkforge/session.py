@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
             made = spark.sparkContext.getCheckpointDir()
         base = made
@@ -48,7 +50,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of settled frames that nothing reads any more."""
+    for df in frames:
+        forget(df.sparkSession, df.settled_path)
 
 
 def forget(spark: SparkSession, path: str) -> None:
