@@ -52,6 +52,25 @@ def test_near_vectors_equal_brute_force(spark):
     assert got == brute_links(rows, 0.93)
 
 
+def test_each_length_links_within_itself(spark):
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.0, 0.0], 1), (3, [0.0, 1.0, 0.0], 1), (4, [0.0, 0.0, 1.0], 1), (5, [5.0], 1), (6, [7.0], 1), (7, [-7.0], 1), (8, [1.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in near_vectors.near_duplicates(df).collect()} == brute_links(rows, 0.93)
+
+
+def test_links_of_a_stated_query_set_at_scale(spark):
+    """Recall of op1's own parameters at sf0.1: the rows whose id is divisible by 50, against all rows by brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    u = np.array([r["embedding"] for r in rows], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    label = np.array([r["label"] for r in rows])
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicates(df).collect()}
+    for i, r in enumerate(rows):
+        if r["vec_id"] % 50 == 0:
+            assert got[r["vec_id"]] == int(((u @ u[i] >= 0.93) & (label == label[i])).sum()) - 1
+
+
 def test_near_vectors_on_many_equal_and_none(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0, 0.0, 1.0], 1) for i in range(300)], "vec_id long, embedding array<float>, label int")
     assert {(x["n_links"], x["component_id"], x["kept"]) for x in near_vectors.near_duplicates(df).where("vec_id > 0").collect()} == {(299, 0, False)}
@@ -65,8 +84,9 @@ def test_chunks_of_a_large_cell(spark, monkeypatch):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.ones(8) + r.normal(size=8) * 0.2], 1) for i in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in near_vectors.near_duplicates(df, cells=1).collect()}
-    assert got == brute_links(rows, 0.93)
+    for cells in (1, 4):  # a crowded cell in several parts; several regions
+        got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in near_vectors.near_duplicates(df, cells=cells).collect()}
+        assert got == brute_links(rows, 0.93)
 
 
 def test_recall_of_the_index(spark):
