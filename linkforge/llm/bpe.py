@@ -4,10 +4,12 @@ An Aho-Corasick automaton over the vocabulary gives the longest token at each pl
 may follow another only if encoding both texts together would give exactly these two; that
 table of pairs is filled as pairs are met. Where the longest token does not fit, the encoder
 takes the longest token that is its prefix, and where none fits it takes back the token
-before. Every place is marked at most once as a dead end, so time is linear in the text.
+before. The automaton passes over a piece twice at most, and every place is marked at most once as
+a dead end, so time is linear in the text.
 
-Nulls count as empty texts, which have no ids. A text of any length is encoded whole. Special
-tokens that stand in a text become their ids, as in the tokenizers library.
+Nulls count as empty texts, which have no ids. A text of any length is encoded whole; rows that
+repeat are encoded each. Special tokens that stand in a text become their ids, as in the
+tokenizers library. The key and other columns are only carried.
 """
 
 from __future__ import annotations
@@ -36,12 +38,26 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Fixed value: the split of byte-level tokenizers that bring none of their own (contractions, letters, numbers, other signs, white space).
+BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def refuse_unless_byte_level(spec: dict) -> None:
+    """Raise for a tokenizer file whose steps aren't those that this encoder takes."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if model.get("type", "BPE") != "BPE" or odd or spec.get("normalizer") or not plain:
+        raise ValueError("only byte-level BPE with the usual split, no normalizer and no leading space is read")
+
+
 class Bpe:
     """A byte-level BPE read from a tokenizers JSON file whose merges rank as their ids."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_unless_byte_level(spec)
         table = _alphabet()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -71,8 +87,7 @@ class Bpe:
             self.shorter[i] = next((own[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in own), -1)
         self.len = [len(x) for x in self.bytes]
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        # The split of byte-level vocabularies: contractions, letters, numbers, other signs, white space.
-        self.split = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
+        self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
         self.units = regex.compile(r"\s*\S+|\s+").findall
         self.odd = regex.compile(r"\s |^\s|\s$").search
         self.fits: dict[tuple[int, int], bool] = {}
@@ -120,8 +135,15 @@ class Bpe:
         run = [token for _, token in find.iter_long(text)]
         if len(run) == 1 and not self.reaches(run[0]):
             run = [shorter[run[0]]]
-        k = 0
+        k, longest = 0, None
         while True:
+            if k == len(run):
+                # A token was shortened, so the first pass says nothing of what follows.
+                if longest is None:
+                    longest = array("i", bytes(4 * n))
+                    for end, t in find.iter(text):
+                        longest[end + 1 - lens[t]] = t  # the last end from a place on is the farthest
+                run, k = (longest[at],), 0
             token = run[k]
             size = lens[token]
             pair = (last, token)
@@ -133,8 +155,6 @@ class Bpe:
                         return out
                     last = token
                     k += 1
-                    if k == len(run):
-                        run, k = [t for _, t in find.iter_long(text, at)], 0
                     continue
             token = shorter[token]
             while token < 0:
@@ -145,7 +165,7 @@ class Bpe:
                 at -= lens[token]
                 token = shorter[token]
             last = out[-1] if out else -1
-            run, k = [token], 0
+            run, k = (token,), 0
 
     @cache  # noqa: B019  one object a process
     def reaches(self, token: int) -> bool:
