@@ -8,7 +8,8 @@ runs of white space as one space, as UTF-8 bytes.
 
 Null or empty texts hold nothing. Benchmark texts of fewer than LEAST bytes would match by chance
 with edits: they must occur whole, without an edit, and not begin or end inside a word. The benchmark is a stated query set, taken in blocks of BLOCK_BYTES, each
-sent to every task and held against all documents.
+sent to every task and held against all documents. A document or item that repeats gets rows each
+time it is met; of places that tie, the one that ends first is told. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def letters(buf: np.ndarray) -> np.ndarray:
 class Patterns:
     """Patterns of a block of benchmark texts and an index of their q-grams; then the texts too short for edits, by length."""
 
-    items: np.ndarray  # of patterns, then of short texts
+    items: list  # of patterns, then of short texts
     texts: list[np.ndarray]
     edits: np.ndarray
     gram: np.ndarray  # sorted
@@ -120,7 +121,7 @@ class Patterns:
             by_hash = np.argsort(h, kind="stable")
             short[size] = h[by_hash], len(items) + np.array(mine)[by_hash], np.stack([few[n][1] for n in mine])[by_hash]
         items += [item for item, _ in few]
-        return cls(np.array(items), texts, edits, gram[order], owner[order].astype(np.int64), place[order].astype(np.int64), flags, short)
+        return cls(items, texts, edits, gram[order], owner[order].astype(np.int64), place[order].astype(np.int64), flags, short)
 
 
 def align(pattern: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int] | None:
@@ -249,7 +250,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, item_id long, patterns int, edits int, end long"
+    item_kind = benchmark.schema[item].dataType.simpleString()
+    schema = f"{key} {kind}, item_id {item_kind}, patterns int, edits int, end long"
+    item_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[item_kind]
     out = spark.createDataFrame([], schema)
     for rows in blocks(benchmark, item, item_text):
         shared = spark.sparkContext.broadcast(rows)
@@ -260,12 +263,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 for part in slices(batch, text):
                     best: dict[tuple[int, int], list[int]] = {}
                     for d, i, e, end in search(p, *raw(part.column(1))):
-                        was = best.setdefault((d, int(p.items[i])), [0, e, end])
+                        was = best.setdefault((d, p.items[i]), [0, e, end])
                         was[0] += 1
                         was[1], was[2] = min(was[1], e), min(was[2], end)
                     ids = part.column(0).take(pa.array([d for d, _ in best], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([i for _, i in best], pa.int64()), *(pa.array([v[k] for v in best.values()], t) for k, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int64())))],
+                        [ids, pa.array([i for _, i in best], item_type), *(pa.array([v[k] for v in best.values()], t) for k, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int64())))],
                         names=[key, "item_id", "patterns", "edits", "end"],
                     )
 

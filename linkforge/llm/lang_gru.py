@@ -1,15 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-Every byte gets a distribution over the languages from a forward and a backward state. Texts run
-in windows of WINDOW bytes, each from a zero state in either direction, so that windows of many
+Every byte gets a distribution over the languages and noise from a forward and a backward state. Texts
+run in windows of WINDOW bytes, each from a zero state in either direction, so that windows of many
 documents go through the network side by side and a text of any length is read whole in bounded
-memory. A document's distribution is the mean over the letters of its distinct windows: equal
-windows get equal distributions and count once, so that a repeated line doesn't outvote the rest,
-and numbers and signs, which no language owns, don't count. Training is
-backpropagation through time with Adam on a bounded sample.
+memory. A document's distribution is the mean over all its letters; numbers and signs, which no
+language owns, don't count. Equal windows of a document go through the network once and count as
+often as they occur. Training is backpropagation through time with Adam on a bounded sample.
+
+Noise is a class of its own that no document is labelled with: the network learns it from snippets
+whose characters are shuffled, and from random letters and keys. It is never predicted; its share
+(column noise on demand) tells texts in no learned language.
 
 Null texts, and texts without a letter, are "und" with score 0. Without labelled rows every
-text is "und".
+text is "und". Repeated rows get equal results; of languages that tie, the first by name is taken. Rows
+with a null key are predicted, never learned from. Other columns are only carried.
 """
 
 from __future__ import annotations
@@ -101,7 +105,7 @@ class Direction:
 
 @dataclass
 class Network:
-    """Two directions and a read-out over languages."""
+    """Two directions and a read-out over languages and, last, noise (where the network was trained with it)."""
 
     langs: list[str]
     ahead: Direction
@@ -110,9 +114,9 @@ class Network:
     c: np.ndarray
 
     @classmethod
-    def new(cls, langs: list[str], seed: int = 0, cells: int = CELLS) -> Network:
-        r = np.random.default_rng(seed)
-        return cls(langs, Direction(r, cells), Direction(r, cells), r.normal(0, 0.3, (2 * cells, len(langs))).astype(_F), np.zeros(len(langs), _F))
+    def new(cls, langs: list[str], seed: int = 0, cells: int = CELLS, noise: bool = False) -> Network:
+        r, classes = np.random.default_rng(seed), len(langs) + noise
+        return cls(langs, Direction(r, cells), Direction(r, cells), r.normal(0, 0.3, (2 * cells, classes)).astype(_F), np.zeros(classes, _F))
 
     def weights(self) -> list[np.ndarray]:
         return [self.ahead.w, self.ahead.u, self.ahead.b, self.back.w, self.back.u, self.back.b, self.v, self.c]
@@ -149,7 +153,7 @@ class Network:
         return loss, grads
 
     def pooled(self, buf: np.ndarray, off: np.ndarray, rows: int = 2048) -> np.ndarray:
-        """Each document's distribution: the mean over the letters of its distinct windows (zeros for a text without any)."""
+        """Each document's distribution: the mean over its letters (zeros for a text without any)."""
         size = np.diff(off)
         count = -(-size // WINDOW)
         doc = np.repeat(np.arange(len(size)), count)
@@ -167,31 +171,51 @@ class Network:
         new = np.ones(len(by), bool)
         new[1:] = (doc[by[1:]] != doc[by[:-1]]) | (key[by[1:]] != key[by[:-1]])
         once = by[new]
+        times = np.zeros(len(doc))
+        times[once] = np.diff(np.append(np.flatnonzero(new), len(by)))
         order = once[np.argsort(-length[once], kind="stable")]
-        total, letters = np.zeros((len(size), len(self.langs))), np.zeros(len(size))
+        total, letters = np.zeros((len(size), len(self.c))), np.zeros(len(size))
         for at in range(0, len(order), rows):
             w = order[at : at + rows]
             x = padded[start[w][:, None] + np.arange(int(length[w[0]]))[None, :]]
             mask = _LETTER[x] & (np.arange(x.shape[1]) < length[w][:, None])
             p = np.einsum("tnk,nt->nk", self.positions(x, length[w]), mask.astype(_F))
-            letters += np.bincount(doc[w], mask.sum(1), len(size))
+            letters += np.bincount(doc[w], mask.sum(1) * times[w], len(size))
             for k in range(p.shape[1]):
-                total[:, k] += np.bincount(doc[w], p[:, k], len(size))
+                total[:, k] += np.bincount(doc[w], p[:, k] * times[w], len(size))
         return total / np.maximum(letters, 1)[:, None]
 
 
+def noise(texts: list[str], rows: int, r: np.random.Generator) -> list[str]:
+    """Texts in no language: by thirds shuffled characters of texts, words of random letters, and keys of letters and digits."""
+    lower, mixed = list("abcdefghijklmnopqrstuvwxyz"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    out = []
+    for i in range(rows):
+        if i % 3 == 0:
+            chars = list(texts[int(r.integers(len(texts)))])
+            out.append("".join(r.permutation(chars)))
+        else:
+            letters, longest = (lower, 12) if i % 3 == 1 else (mixed, 40)
+            out.append(" ".join("".join(r.choice(letters, int(r.integers(1, longest)))) for _ in range(SNIPPET // longest + 2)))
+    return [t for t in out if t]
+
+
 def train(texts: list[str], labels: list[str], steps: int = 500, batch: int = 96, window: int = 48, seed: int = 0) -> Network:
-    """Fit by Adam; each step takes random windows, languages in equal shares."""
+    """Fit by Adam; each step takes random windows, languages and noise in equal shares."""
     langs = sorted(set(labels))
-    net = Network.new(langs, seed)
-    if len(langs) < 2:
+    known = [t for t in texts if t]
+    net = Network.new(langs, seed, noise=bool(known))
+    if not known:
         return net
     r = np.random.default_rng(seed)
-    data = [[np.frombuffer(t.encode(), np.uint8) for t, y in zip(texts, labels) if y == k and t] for k in langs]
+    labels = [*labels, *[None] * 600]
+    texts = [*texts, *noise(known, 600, r)]
+    data = [[np.frombuffer(t.encode(), np.uint8) for t, y in zip(texts, labels) if y == k and t] for k in [*langs, None]]
+    taught = [k for k, rows in enumerate(data) if rows]
     m = [np.zeros_like(w) for w in net.weights()]
     v = [np.zeros_like(w) for w in net.weights()]
     for i in range(1, steps + 1):
-        y = r.integers(0, len(langs), batch)
+        y = r.choice(taught, batch)
         rows = []
         for k in y:
             t = data[k][r.integers(len(data[k]))]
@@ -232,7 +256,7 @@ def held_out(key: str = "doc_id"):  # noqa: ANN201
 
 
 def predict(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in keep with lang_pred and score."""
+    """docs' columns in keep with lang_pred, score (the share of that language) and noise (the share of none)."""
     names = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -245,6 +269,8 @@ def predict(docs: DataFrame, net: Network, text: str = "text", keep: list[str] |
                 col = part.column(part.schema.get_field_index(text))
                 buf, off = raw(col)
                 p = model.pooled(buf, off) if model.langs else np.zeros((len(col), 1))
+                odd = p[:, len(model.langs)] if p.shape[1] > len(model.langs) else np.zeros(len(col))
+                p = p[:, : max(1, len(model.langs))]
                 best = p.argmax(1)
                 seen = np.concatenate(([0], np.cumsum(letter[buf])))
                 some = seen[off[1:]] > seen[off[:-1]]
@@ -253,10 +279,10 @@ def predict(docs: DataFrame, net: Network, text: str = "text", keep: list[str] |
                     some[i] = bool(t) and any(c.isalpha() for c in t)
                 ok = some & bool(model.langs)
                 lang = [model.langs[b] if o else "und" for b, o in zip(best, ok)]
-                score = np.clip(np.where(ok, p.max(1), 0.0), 0, 1)
+                score = np.round(np.clip(np.where(ok, p.max(1), 0.0), 0, 1), 5)  # what lies beyond depends on which texts run together
                 cols = [part.column(part.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(np.clip(odd, 0, 1).astype(float))], names=[*names, "lang_pred", "score", "noise"])
 
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("noise", "double")
     source = docs if text in names else docs.select(*names, text)
     return source.mapInArrow(run, schema)

@@ -4,7 +4,9 @@ P(grade > k) = sigmoid(score - threshold_k). The score is a sum of weights over
 words of a text, looked up in a hashed table; the thresholds are kept in order by writing them
 as a first one and positive steps. The expected grade is the sum of the tail probabilities.
 
-Nulls count as empty texts: their score is that of no words. Whole texts are scored.
+Nulls count as empty texts: their score is that of no words. Whole texts are scored, and whole
+texts are learned from, however long. Rows that repeat get equal scores; rows with a null key are
+scored, never learned from. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from linkforge.llm.sampling import least_hashes
 from linkforge.llm.text import raw, shingles, slices, words
 
-#: The hashed table's size, the labelled rows and bytes of text that the fit may take at most, and the least rows a feature must be in.
-BITS, SAMPLE_ROWS, SAMPLE_BYTES, LEAST = 18, 20_000, 48 << 20, 4
+#: The hashed table's size, the labelled rows and their words that the fit may take at most together, and the least rows a feature must be in.
+BITS, SAMPLE_ROWS, SAMPLE_WORDS, LEAST = 18, 20_000, 12_000_000, 4
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -53,10 +55,13 @@ class Model:
         return np.array([self.weights[f].sum() for f in feats], float)
 
 
-def fit(texts: list[str | None], grades: np.ndarray, levels: int, epochs: int = 60, l2: float = 0.02, seed: int = 0) -> Model:
-    """Fit by gradient steps with per-weight rates (Adagrad), all rows at once. Grades: 0 to levels - 1."""
+def features_of(texts: list[str | None]) -> list[np.ndarray]:
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["t"])
-    feats = [f.astype(np.int32) for part in slices(batch, "t") for f in features(*raw(part.column(0)))]
+    return [f.astype(np.int32) for part in slices(batch, "t") for f in features(*raw(part.column(0)))]
+
+
+def fit(feats: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 60, l2: float = 0.02, seed: int = 0) -> Model:
+    """Fit by gradient steps with per-weight rates (Adagrad), all rows at once. feats: of features(); grades: 0 to levels - 1."""
     size = 1 << BITS
     seen = np.zeros(size, np.int64)
     for f in feats:
@@ -93,21 +98,31 @@ def fit(texts: list[str | None], grades: np.ndarray, levels: int, epochs: int =
     return Model(w, first + np.concatenate(([0.0], np.cumsum(np.exp(steps)))))
 
 
-def sample(labelled: DataFrame, key: str, text: str, grade: str, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
-    """At most rows labelled rows with at most size bytes of text together, those of the least key hashes; grade not null."""
-    share = size // rows
-    longest = max(1, share * 8)
-    fit_rows = labelled.where(F.col(grade).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= longest))
-    hashed = fit_rows.select(F.xxhash64(F.lit(11), F.col(key)).alias("h"), F.col(text).alias("t"), F.col(grade).cast("int").alias("g"))
-    picked = least_hashes(hashed, fit_rows, rows, "t")
-    texts, grades, total = [], [], 0
-    for r in picked.toLocalIterator():
-        total += len(r["t"].encode())
+def sample(docs: DataFrame, grades: DataFrame, key: str, text: str, grade: str, rows: int = SAMPLE_ROWS, size: int = SAMPLE_WORDS) -> tuple[list[np.ndarray], np.ndarray]:
+    """(features, grades) of at most rows labelled documents with at most size distinct words together: those of the least key hashes.
+
+    grades: (key, grade), a row a key; a null grade or text isn't learned from. The grades are picked first and sent to the
+    documents (rows of them at most), so no text is shuffled, and the driver gets words' places, not texts.
+    """
+    known = grades.where(F.col(grade).isNotNull() & F.col(key).isNotNull())
+    picked = least_hashes(known.select(key, F.col(grade).cast("int").alias("g"), F.xxhash64(F.lit(11), F.col(key)).alias("h")), known, rows, key)
+    some = docs.select(key, F.col(text).alias("t")).where("t is not null").join(F.broadcast(picked), key).select("h", "g", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                found = [f.astype(np.int32).tobytes() for f in features(*raw(part.column(2)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["h", "g", "f"])
+
+    feats, out, total = [], [], 0
+    for r in some.mapInArrow(run, "h long, g int, f binary").orderBy("h", "f").limit(rows).toLocalIterator():
+        f = np.frombuffer(r["f"], np.int32)
+        total += len(f)
         if total > size:
             break
-        texts.append(r["t"])
-        grades.append(r["g"])
-    return texts, np.array(grades, int)
+        feats.append(f)
+        out.append(r["g"])
+    return feats, np.array(out, int)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -43,16 +43,16 @@ def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with grade: 0 toxic, 1 of low quality, 2 good; null where a label is."""
+def graded(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade): 0 toxic, 1 of low quality, 2 good, null where a label is. Where labels differ, toxic and low quality win."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    return docs.join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id").select("doc_id", "text", grade.alias("grade"))
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).select("doc_id", grade.alias("grade"))
 
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    texts, grades = ordinal.sample(graded(docs, table(spark, sf_dir, "labels")), "doc_id", "text", "grade")
-    model = ordinal.fit(texts, grades, 3)
+    feats, grades = ordinal.sample(docs, graded(table(spark, sf_dir, "labels")), "doc_id", "text", "grade")
+    model = ordinal.fit(feats, grades, 3)
     found = ordinal.predict(docs, model)
     tail = [F.round(F.col("tails")[k], 6).alias(name) for k, name in ((0, "p_not_toxic"), (1, "p_good"))]
     return found.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), *tail).withColumn("kept", F.col("p_not_toxic") >= KEEP)
@@ -91,7 +91,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, samples=secrets.labelled() + secrets.found_samples(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

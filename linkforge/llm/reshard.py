@@ -9,7 +9,9 @@ row belongs to the run in which it begins. Only rows of shards that give or take
 written again.
 
 Nulls: a null text has no bytes. Rows with a null key lie together in one block of shard 0 and
-keep an order by text. Rows repeated whole are rows like any other.
+keep an order by text. Rows repeated whole are rows like any other, and so are rows that tie in key,
+size and text: any order among them is right. Columns size, old_shard, shard and slot are set anew;
+all others are kept.
 """
 
 from __future__ import annotations
@@ -84,15 +86,15 @@ def text_size(text: str = "text") -> Column:
 
 def plan(rows: DataFrame, shards: int, weight: str, old: str, old_shards: int, blocks: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """(block table with its lead, flow). rows: old shard, block number and weight; blocks are a fixed number a shard."""
-    totals = rows.groupBy(old, "block").agg(F.sum(weight).alias("block_bytes"))
+    totals = rows.groupBy(old, "_block").agg(F.sum(weight).alias("block_bytes"))
     totals = settled(totals, "blocks")
     supply = [0] * old_shards
     for r in totals.groupBy(old).agg(F.sum("block_bytes").alias("s")).collect():  # one row a shard
         supply[r[0]] = int(r["s"])
     whole = sum(supply)
     capacity = [whole * (j + 1) // shards - whole * j // shards for j in range(shards)]
-    lead = F.coalesce(F.sum("block_bytes").over(Window.partitionBy(old).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return totals.withColumn("lead", lead).select(old, "block", "lead"), min_cost_flow(supply, capacity)
+    lead = F.coalesce(F.sum("block_bytes").over(Window.partitionBy(old).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return totals.withColumn("_lead", lead).select(old, "_block", "_lead"), min_cost_flow(supply, capacity)
 
 
 def cuts(flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
@@ -116,31 +118,31 @@ def reshard(df: DataFrame, shards: int, old: Column, old_shards: int, key: str =
     if blocks is None:
         blocks = max(16, -(-8 * int(spark.conf.get("spark.sql.shuffle.partitions")) // old_shards))
     tag = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(blocks)).cast("int")
-    sized = df.withColumns({"size": text_size(text), "old_shard": old.cast("int"), "block": F.coalesce(F.when(F.col(key).isNotNull(), tag), F.lit(0))})
-    leads, flow = plan(sized.select("old_shard", "block", "size"), shards, "size", "old_shard", old_shards, blocks)
+    sized = df.withColumns({"size": text_size(text), "old_shard": old.cast("int"), "_block": F.coalesce(F.when(F.col(key).isNotNull(), tag), F.lit(0))})
+    leads, flow = plan(sized.select("old_shard", "_block", "size"), shards, "size", "old_shard", old_shards, blocks)
     # A fixed number of blocks: old_shards * blocks rows, whatever the input's size.
-    placed = sized.join(F.broadcast(leads), ["old_shard", "block"])
-    order = Window.partitionBy("old_shard", "block").orderBy(F.col(key), F.col("size"), F.crc32(F.col(text).cast("binary")))
-    begin = F.col("lead") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sized.join(F.broadcast(leads), ["old_shard", "_block"])
+    order = Window.partitionBy("old_shard", "_block").orderBy(F.col(key), F.col("size"), F.crc32(F.col(text).cast("binary")))
+    begin = F.col("_lead") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     where = F.lit(None).cast("int")
     by_old = defaultdict(list)
     for i, first, j in cuts(flow):
         by_old[i].append((first, j))
     arrays = F.map_from_arrays(F.array(*[F.lit(i) for i in by_old]), F.array(*[F.array(*[F.struct(F.lit(a).cast("long").alias("at"), F.lit(j).alias("to")) for a, j in runs]) for runs in by_old.values()])) if by_old else None
     if arrays is not None:
-        where = F.element_at(F.filter(arrays[F.col("old_shard")], lambda c: c["at"] <= F.col("begin")), -1)["to"]
-    placed = placed.withColumn("begin", begin).withColumn("shard", where)
-    runs = Window.partitionBy("old_shard", "block", "shard").orderBy("begin")
-    placed = placed.withColumn("rank", F.row_number().over(runs))
-    return placed.drop("lead", "begin"), flow
+        where = F.element_at(F.filter(arrays[F.col("old_shard")], lambda c: c["at"] <= F.col("_begin")), -1)["to"]
+    placed = placed.withColumn("_begin", begin).withColumn("shard", where)
+    runs = Window.partitionBy("old_shard", "_block", "shard").orderBy("_begin")
+    placed = placed.withColumn("_rank", F.row_number().over(runs))
+    return placed.drop("_lead", "_begin"), flow
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
     """slot: a row's number in its new shard, from the counts of the blocks before its own; drops block and rank."""
-    counts = placed.groupBy("shard", "old_shard", "block").agg(F.max("rank").alias("n"))
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = settled(counts.withColumn("first", first).select("shard", "old_shard", "block", "first"), "slots")
-    return placed.join(F.broadcast(starts), ["shard", "old_shard", "block"]).withColumn("slot", (F.col("first") + F.col("rank") - 1).cast("long")).drop("first", "rank", "block")
+    counts = placed.groupBy("shard", "old_shard", "_block").agg(F.max("_rank").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = settled(counts.withColumn("_first", first).select("shard", "old_shard", "_block", "_first"), "slots")
+    return placed.join(F.broadcast(starts), ["shard", "old_shard", "_block"]).withColumn("slot", (F.col("_first") + F.col("_rank") - 1).cast("long")).drop("_first", "_rank", "_block")
 
 
 def affected(flow: dict[tuple[int, int], int]) -> set[int]:
@@ -169,7 +171,7 @@ def rewrite(spark: SparkSession, layout: dict[int, str], shards: int, new_path:
     touched = affected(flow) | {i for i in layout if i >= shards}
     if touched:
         moved = placed.where(F.col("old_shard").isin(sorted(touched & set(layout))))
-        moved.drop("_old", "size", "old_shard", "block", "rank").write.partitionBy("shard").parquet(new_path)
+        moved.drop("_old", "size", "old_shard", "_block", "_rank").write.partitionBy("shard").parquet(new_path)
     new = {j: (f"{new_path}/shard={j}" if j in touched else layout[j]) for j in range(shards) if any(b == j for _, b in flow)}
     return new, flow
 

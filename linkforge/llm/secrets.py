@@ -1,10 +1,13 @@
 """Secrets in texts: stated patterns, and strings that a Markov model finds random rather than written.
 
 Two character models, of random strings and of ordinary identifiers, are trained from labelled
-samples: smoothed counts of each character after each. A candidate (a run of letters, digits and
+samples: smoothed counts of each character after each. Samples are the corpus's own (values of the stated
+patterns, and the other words and identifiers of a bounded number of documents) and made ones, so that
+alphabets that the corpus lacks are known too. A candidate (a run of letters, digits and
 a few signs, long enough, with a letter and a digit) is a secret if its mean log-likelihood
 ratio is above a threshold that the labelled samples set. Spans that overlap one of a stated
-pattern aren't added. Offsets are code points, ends exclusive.
+pattern aren't added. Offsets are code points, ends exclusive; spans that begin together stand in
+the order of KINDS. Rows that repeat get equal results; the key and other columns are only carried.
 
 Nulls count as empty texts. Texts of any length are searched whole.
 """
@@ -14,18 +17,25 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from linkforge.llm.sampling import under_bound
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones need no match of their own
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGIT, ALPHA = re.compile(r"[0-9]").search, re.compile(r"[A-Za-z]").search
+WORD = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 KINDS = ("assign", "access", "hex", "random")
+#: Documents that samples are taken from at most, and values of either kind from each.
+SAMPLE_DOCS, VALUES = 2000, 50
 
 Span = tuple[str, int, int]
 
@@ -56,6 +66,33 @@ def labelled(rows: int = 4000, seed: int = 5) -> list[tuple[str, bool]]:
     return out
 
 
+def of_text(text: str, most: int = VALUES) -> tuple[list[str], list[str]]:
+    """(values of the stated patterns, other words and identifiers) of a text: distinct, and at most so many of each, those of the least crc32."""
+    stated = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    stated += [(s, e) for kind, s, e in base_spans(text) if kind != "assign"]
+    secret = {text[s:e] for s, e in stated}
+    left = list(text)
+    for s, e in stated:
+        left[s:e] = " " * (e - s)
+    # A long run with a digit may be a secret that nobody has labelled.
+    plain = {x for x in WORD.findall("".join(left)) if len(x) < 20 or not DIGIT(x)}
+    return tuple(sorted(x, key=lambda v: zlib.crc32(v.encode()))[:most] for x in (secret, plain))
+
+
+def found_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_DOCS) -> list[tuple[str, bool]]:
+    """Samples (text, is random) from at most rows documents, those of the least key hashes, VALUES of either kind from each at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [of_text(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[k] for p in pairs], pa.list_(pa.string())) for k in (0, 1))], names=["h", "secret", "plain"])
+
+    some = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(F.lit(17), F.col(key)).alias("h"), F.col(text).alias("t"))
+    found = under_bound(some, docs, rows).mapInArrow(run, "h long, secret array<string>, plain array<string>").orderBy("h", "secret", "plain").limit(rows).collect()
+    kinds = {v: True for r in found for v in r["secret"]} | {v: False for r in found for v in r["plain"]}
+    return sorted(kinds.items())
+
+
 class Markov:
     """Log-likelihood ratio of a character after another, random against ordinary."""
 
@@ -73,8 +110,8 @@ class Markov:
         scores = [(self.score(t), kind) for t, kind in samples]
         grid = np.sort([s for s, _ in scores])
         plain = np.sort([s for s, kind in scores if not kind])
-        # Above every ordinary sample by a tenth of the scores' spread: clean texts are left alone.
-        self.threshold = float(plain[-1] + 0.1 * (grid[-1] - grid[0])) if len(plain) else 0.0
+        # Above 999 of 1000 ordinary samples by a tenth of the scores' spread: clean texts are left alone.
+        self.threshold = float(np.quantile(plain, 0.999) + 0.1 * (grid[-1] - grid[0])) if len(plain) else 0.0
 
     def score(self, text: str) -> float:
         b = np.frombuffer(("\x01" + text).encode("ascii", "replace"), np.uint8)

@@ -6,7 +6,9 @@ record, so the files are plain WARC 1.1 on any file system, laid down and commit
 The reader (format "warc") plans partitions of whole files. Filters on record_type and on the
 named header columns are pushed down: each record's header is parsed first, and where it fails
 a filter, or payloads aren't asked for, the payload is skipped without being read or decoded.
-Gzipped archives (.gz) are read as streams.
+Gzipped archives (.gz) are read as streams. What is no record, or has no length, is passed over up to
+the next line that begins one. Line ends in keys and addresses become spaces. read() switches on
+Spark's pushdown of filters to Python sources for the session.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_length").cast("string"), F.lit(END))
     block = F.when(revisit, F.lit("").cast("binary")).otherwise(F.concat(http.cast("binary"), F.col("_payload")))
-    page = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    page = F.coalesce(F.regexp_replace(F.col(key).cast("string"), r"[\r\n]+", " "), F.lit(""))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
@@ -81,7 +83,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.concat(F.lit("X-Page-Id: "), page),
-        F.concat(F.lit("X-Refers-To-Page-Id: "), F.col("refers_to").cast("string")),
+        F.concat(F.lit("X-Refers-To-Page-Id: "), F.regexp_replace(F.col("refers_to").cast("string"), r"[\r\n]+", " ")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_length").cast("string")),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
@@ -162,6 +164,18 @@ class WarcReader(DataSourceReader):
         names = [*HEADERS, "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "payload" else pa.string()) for k, c in zip(names, cols)], names=names)
 
+    @staticmethod
+    def _next(f: Any, at: int) -> tuple[int, bytes]:
+        """(place, bytes from there on) of the next line that begins a record at or after a place; the file's end if there is none."""
+        f.seek(max(0, at - 1))
+        at, held = max(0, at - 1), b""
+        while more := f.read(1 << 16):
+            held += more
+            if (k := held.find(b"\nWARC/")) >= 0:
+                return at + k + 1, held[k + 1 :]
+            at, held = at + len(held) - 5, held[-5:]
+        return at + len(held), b""
+
     def _records(self, f: Any) -> Iterator[tuple[dict[str, str], bytes | None]]:
         """Each record that passes: its header, and its payload where that is asked for."""
         at, held = 0, b""
@@ -176,7 +190,12 @@ class WarcReader(DataSourceReader):
             for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]:
                 name, _, value = line.partition(":")
                 head[name.strip().lower()] = value.strip()
-            size, body = int(head.get("content-length", 0)), at + end + 4
+            size, body = head.get("content-length", ""), at + end + 4
+            if not (held.startswith(b"WARC/") and size.isascii() and size.isdigit()):
+                # No record, or one without a length: go on where the next one begins.
+                at, held = self._next(f, at + 1)
+                continue
+            size = int(size)
             rest = held[end + 4 :]
             if self._passes(head):
                 payload = None

@@ -192,6 +192,40 @@ def test_reshard_places_every_row_once(spark, docs):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * largest
 
 
+def test_reshard_query_equals_plain_python(spark):
+    """Every column of op3: sizes, crc32, law, shards of near equal bytes, slots without gaps, and the fewest bytes moved."""
+    from linkforge.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = queries.op3_reshard(spark, sf).collect()
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    shards, old = defaultdict(list), defaultdict(int)
+    for r in rows:
+        t = docs[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t) + 16, zlib.crc32(t), "bytes", None)
+        shards[r["shard"]].append(r)
+        old[r["old_shard"]] += r["size"]
+    assert set(shards) <= set(range(40))
+    for mine in shards.values():
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
+    whole, largest = sum(old.values()), max(r["size"] for r in rows)
+    assert all(abs(sum(r["size"] for r in shards[j]) - whole / 40) <= largest + 1 for j in range(40))
+    # What can stay does: an old shard keeps its bytes up to the new capacity, but for the rows that cross a cut.
+    stay = sum(r["size"] for r in rows if r["shard"] == r["old_shard"])
+    assert stay >= sum(min(old[j], whole // 40) for j in range(32)) - 32 * largest
+
+
+def test_reshard_with_ties_and_nulls(spark):
+    rows = [(None, "a"), (None, None), (1, "same"), (1, "same"), (2, ""), (3, None)] * 3
+    df = spark.createDataFrame([(*x, 7, 8) for x in rows], "doc_id long, text string, slots int, first int")
+    placed, _ = reshard.reshard(df, 3, F.lit(0), 1)
+    out = reshard.with_slots(placed).collect()
+    assert len(out) == len(rows) and {"slots"} <= set(out[0].asDict())
+    for j in {r["shard"] for r in out}:
+        assert sorted(r["slot"] for r in out if r["shard"] == j) == list(range(sum(r["shard"] == j for r in out)))
+
+
 def test_rewrite_touches_only_affected_shards(spark, tmp_path):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x" * 20).alias("text"))
     layout = {}
@@ -214,7 +248,7 @@ def test_ordinal_orders_grades():
         g = i % 3
         texts.append(" ".join(w + (["vile"] if g == 0 else ["meh%%"] if g == 1 else ["fine"])))
         grades.append(g)
-    model = ordinal.fit(texts, np.array(grades), 3)
+    model = ordinal.fit(ordinal.features_of(texts), np.array(grades), 3)
     assert (np.diff(model.thresholds) > 0).all()
     import pyarrow as pa
 
@@ -227,7 +261,22 @@ def test_ordinal_on_odd_rows(docs, empty):
     model = ordinal.fit([], np.zeros(0, int), 3)
     assert ordinal.predict(docs, model).count() == len(documents())
     assert ordinal.predict(empty, model).count() == 0
-    assert ordinal.sample(docs.withColumn("grade", F.lit(None).cast("int")), "doc_id", "text", "grade")[0] == []
+    assert ordinal.sample(docs, docs.select("doc_id", F.lit(None).cast("int").alias("grade")), "doc_id", "text", "grade")[0] == []
+    grades = docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("grade")).distinct()
+    feats, got = ordinal.sample(docs, grades, "doc_id", "text", "grade")
+    known = [r[1] for r in documents() if r[0] is not None and r[1] is not None]
+    # Long texts are learned from whole; a repeated row is learned from twice; a bound stops before the row that passes it.
+    assert sorted(f.tobytes() for f in feats) == sorted(f.tobytes() for f in ordinal.features_of(known)) and set(got) == {1}
+    few, _ = ordinal.sample(docs, grades, "doc_id", "text", "grade", size=100)
+    assert 0 < len(few) < len(feats) and sum(map(len, few)) <= 100
+
+
+def test_labels_that_differ(spark):
+    from linkforge.llm import queries
+
+    rows = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, None, None), (4, 1, 0), (None, 1, 0), (5, 0, None)]
+    got = {r["doc_id"]: r["grade"] for r in queries.graded(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
+    assert got == {1: 1, 2: 0, 3: None, 4: 2, None: 2, 5: 1}
 
 
 def test_ordinal_finds_the_labelled_toxic_documents(spark):
@@ -299,6 +348,31 @@ def test_alignment_is_edit_distance():
         assert (got[0] if got else None) == (want if want <= 4 else None)
 
 
+def test_decontamination_equals_full_alignment(spark):
+    """A small table against an alignment of every pattern with every whole document, repeated and null rows and text ids among them."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    bench = [(f"i{k}", " ".join(word() for _ in range(n))) for k, n in enumerate((14, 20, 35, 50))]
+    docs = []
+    for k in range(40):
+        t = bytearray(bench[k % 4][1].encode())
+        for _ in range(r.randrange(0, len(t) // 6)):
+            t[r.randrange(len(t))] = ord(r.choice("abcdefgh"))
+        docs.append((k, " ".join(word() for _ in range(r.randrange(30))) + " " + t.decode() + " " + " ".join(word() for _ in range(r.randrange(30)))))
+    docs += [docs[0], (None, bench[0][1]), (99, None), (98, "")]
+    df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
+    got = [(x["doc_id"], x["item_id"], x["edits"]) for x in decontam.contaminated(df, spark.createDataFrame([*bench, bench[1], ("n", None), (None, "x y z")], "item_id string, text string")).collect()]
+    want = []
+    for d, t in docs:
+        body = np.frombuffer(" ".join((t or "").split()).encode(), np.uint8)
+        for item, x in bench:
+            p = decontam.Patterns.of([(item, x)])
+            found = [a[0] for q, e in zip(p.texts, p.edits) if len(body) and (a := decontam.align(q, body, int(e)))]
+            if found:
+                want.append((d, item, min(found)))
+    assert sorted(got, key=str) == sorted(want, key=str) and 10 < len(want) < 60
+
+
 def test_q_gram_lemma_finds_all_within_the_budget(spark):
     """Every passage within the edits allowed is found, wherever it stands."""
     r = random.Random(8)
@@ -345,6 +419,52 @@ def test_ordinary_identifiers_are_left_alone():
     assert sum(model.score(t) > model.threshold for t, kind in fresh if kind) > 0.8 * 1000
 
 
+def test_secret_query_equals_a_plain_scan(spark):
+    """The query over whole tables, against an independent reading of the contract."""
+    from linkforge.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in queries.op10_secrets(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    kinds, counted = ("assign", "access", "hex"), [0, 0, 0]
+    for d, text in rows:
+        found = []
+        for kind, pattern, group, least in (("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)):
+            found += [(m.start(), kinds.index(kind), m.end()) for m in re.finditer(pattern, text or "", re.I | re.A if kind == "assign" else 0) if len(m[group]) >= least]
+        base = [f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(found)]
+        n = [sum(k == i for _, k, _ in found) for i in range(3)]
+        counted = [x + y for x, y in zip(counted, n)]
+        r = got[d]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == n
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("random")] == base
+    assert min(counted) > 0
+
+
+def test_random_strings_in_whole_documents(spark):
+    """Of made secrets planted in documents nearly all are found, and words of documents are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secrets.Markov(secrets.labelled() + secrets.found_samples(docs))
+    r, planted, plain = random.Random(5), 0, 0
+    texts = [x["text"] for x in docs.collect() if x["text"]]
+    for t in texts[:400]:
+        value = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32))
+        found = secrets.spans(f"{t}\n{value} {t[:50]}", model)
+        planted += ("random", len(t) + 1, len(t) + 33) in found
+        plain += any(k == "random" and t[s:e].isalpha() for k, s, e in found)
+    assert planted >= 0.95 * min(400, len(texts)) and plain == 0
+
+
+def test_long_texts_and_repeats_of_secrets(spark):
+    text = "word " * 300_000 + "password=abcdefgh12"
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
+    out = secrets.scan(df).collect()
+    assert [r["n_assign"] for r in out] == [1, 1, 1, 0] and len({r["spans"] for r in out[:3]}) == 1
+    # Spans that begin together: by kind as listed.
+    assert secrets.joined(secrets.spans("AKIA" + "A" * 20 + " " + "a" * 40, secrets.Markov(secrets.labelled()))) == "access:0:24,hex:25:65"
+
+
 def test_redaction_masks_only_the_secret(spark):
     df = spark.createDataFrame([(1, "a password=abcdefgh12 b", "z")], "doc_id long, text string, spans string")
     assert secrets.redact(df).first()["text"] == "a [secret] b"
@@ -369,15 +489,15 @@ def test_gradients_of_the_recurrent_network():
             assert abs((up - down) / 2e-2 - gf[k]) < 2e-3 + 0.05 * abs(gf[k])
 
 
-def test_pooling_counts_distinct_windows_and_letters_once():
-    net, w = lang_gru.Network.new(["a", "b", "c"], seed=3), lang_gru.WINDOW
+def test_pooling_is_the_mean_over_letters():
+    net, w = lang_gru.Network.new(["a", "b"], seed=3, noise=True), lang_gru.WINDOW
     line = "ab 12, cd. ".encode() * w
     texts = [line[:w] * 50 + "ein Wort é 7".encode(), b"", b"123 456", b"xyz" * 200, b"short one"]
     off = np.cumsum([0, *map(len, texts)])
     got = net.pooled(np.frombuffer(b"".join(texts), np.uint8), off, rows=3)
     for t, row in zip(texts, got):
         total, n = np.zeros(3), 0
-        for cut in {t[i : i + w] for i in range(0, len(t), w)}:
+        for cut in (t[i : i + w] for i in range(0, len(t), w)):
             x = np.frombuffer(cut, np.uint8)[None]
             keep = [c >= 128 or chr(c).isalpha() for c in cut]
             total += net.positions(x, np.array([len(cut)]))[keep, 0].sum(0)
@@ -385,6 +505,20 @@ def test_pooling_counts_distinct_windows_and_letters_once():
         assert np.allclose(row, total / max(n, 1), atol=1e-5)
 
 
+def test_noise_is_told_from_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    net = lang_gru.train(*lang_gru.sample(docs))
+    r = random.Random(4)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(50)] + ["".join(r.choice("ABCdefGHI0123456789+/") for _ in range(80)) for _ in range(50)]
+    made = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], docs.schema)
+    out = lang_gru.predict(docs.unionByName(made), net).collect()
+    assert sum(x["noise"] < 0.5 for x in out if x["doc_id"] >= 0) >= 0.995 * docs.count()
+    assert sum(x["noise"] >= 0.5 for x in out if x["doc_id"] < 0) >= 95
+    assert all(x["lang_pred"] in net.langs for x in out if x["doc_id"] >= 0 and re.search("[A-Za-z]", x["text"] or ""))
+    twice = lang_gru.predict(docs.limit(5).unionByName(docs.limit(5)), net).collect()
+    assert len({(x["doc_id"], x["lang_pred"], x["score"]) for x in twice}) == len({x["doc_id"] for x in twice})
+
+
 def test_language_held_out_accuracy(spark):
     from linkforge.llm import queries
 
