@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkforge.functions import contact, identifiers
 from linkforge.operators import analytics, graph, resolution, search
+from linkforge.operators.components import connected_components
 
 
 def one(spark, f, raw):
@@ -134,3 +135,22 @@ def test_query_equals_its_sql(spark, small, name):
     assert sorted(got.columns) == cols
     want = con.sql(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*cols).collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(500, 500), (None, 1)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            s, t = sorted((root(a), root(b)))
+            up[t] = s
+    got = {x[0]: x[1] for x in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: root(x) for x in up}
