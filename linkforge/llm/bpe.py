@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries that a task remembers of units, words and pairs; full tables start anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def _alphabet() -> dict[str, int]:
