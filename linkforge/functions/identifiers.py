@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkforge.functions.contact import digits
+from linkforge.functions.contact import digits, tidy
 
 # Letters and prefixes that national insurance numbers never have.
 NINO = r"^(?!BG|GB|NK|KN|TN|NT|ZZ)[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z][0-9]{6}[A-D]$"
@@ -97,6 +100,140 @@ def postcode_valid(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(c), r"\s+", " ")).rlike(POSTCODE)
 
 
+def _without(c: Column, *words: str) -> Column:
+    """Capital letters and digits without a leading word for the family."""
+    return F.regexp_replace(alnum(c), f"^({'|'.join(words)})", "")
+
+
+def _numbered(c: Column, shape: str, groups: int, join: Callable[[list[Column]], Column], *words: str) -> Column:
+    """join() of the groups of a shape's first place in the capitals; where there is none, what stands there without the family's word."""
+    up = F.upper(c)
+    return F.when(up.rlike(shape), join([F.regexp_extract(up, shape, i + 1) for i in range(groups)])).otherwise(_without(c, *words))
+
+
+def cro(c: Column) -> Column:
+    """Criminal records: a number, a slash, two digits of the year and a letter; S first for Scotland."""
+    return _numbered(c, r"(S?)\s*([0-9]{1,7})\s*/\s*([0-9]{2})\s*([A-Z])", 4, lambda g: F.concat(g[0], g[1], F.lit("/"), g[2], g[3]), "SCRO", "CRO")
+
+
+def pnc(c: Column) -> Column:
+    """Police computer: two digits of the year, a slash, a number and a letter."""
+    year = lambda y: F.when(F.length(y) == 4, F.right(y, F.lit(2))).otherwise(y)
+    return _numbered(c, r"([0-9]{2,4})\s*/\s*([0-9]{1,7})\s*([A-Z])", 3, lambda g: F.concat(year(g[0]), F.lit("/"), g[1], g[2]), "PNC")
+
+
+def nib(c: Column) -> Column:
+    return _numbered(c, r"([0-9]{1,6})\s*/\s*([0-9]{2})", 2, lambda g: F.concat(g[0], F.lit("/"), g[1]), "NIB")
+
+
+def passport(c: Column) -> Column:
+    """Nine digits, or six and a letter."""
+    s = _without(c, "PPT")
+    found = F.regexp_extract(s, "[0-9]{9}|[0-9]{6}[A-Z]", 0)
+    return F.when(found != "", found).otherwise(s)
+
+
+def driver_licence(c: Column) -> Column:
+    return F.substring(_without(c, "DRV"), 1, 16)
+
+
+def driver_licence_valid(c: Column) -> Column:
+    """Five letters of the surname, six digits of the birth date (months of women stand 50 later), two initials, a digit, two letters."""
+    s = driver_licence(c)
+    month, day = F.substring(s, 7, 2).try_cast("int"), F.substring(s, 9, 2).try_cast("int")
+    return F.coalesce(s.rlike("^[A-Z9]{5}[0-9]{6}[A-Z9]{2}[0-9][A-Z]{2}$") & (month.between(1, 12) | month.between(51, 62)) & day.between(1, 31), F.lit(False))
+
+
+def _handle(c: Column, word: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, f"^(?i)({word})", ""), r"\s+", "")
+
+
+def ip(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?i)ip\s*address", ""), r"\s+", "")
+
+
+def ip_loose(c: Column) -> Column:
+    """Four numbers up to 255, or hexadecimal digits and colons."""
+    s = ip(c)
+    octets = F.transform(F.split(s, "[.]"), lambda x: x.try_cast("int"))
+    return F.coalesce(F.when(s.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"), F.forall(octets, lambda x: x <= 255)).otherwise(s.rlike("^[0-9A-Fa-f:]+$") & s.contains(":")), F.lit(False))
+
+
+def iban_text(c: Column) -> Column:
+    """Capitals in fours."""
+    return F.trim(F.regexp_replace(alnum(c), "(.{4})", "$1 "))
+
+
+def nino_text(c: Column) -> Column:
+    """In pairs, where the shape fits."""
+    return F.regexp_replace(nino(c), "^([A-Z]{2})([0-9]{2})([0-9]{2})([0-9]{2})([A-D])$", "$1 $2 $3 $4 $5")
+
+
+def _long(family: Callable[[Column], Column], low: int, high: int = 1000) -> Callable[[Column], Column]:
+    return lambda c: F.length(family(c)).between(low, high)
+
+
+def _like(family: Callable[[Column], Column], shape: str) -> Callable[[Column], Column]:
+    return lambda c: family(c).rlike(shape)
+
+
+@dataclass(frozen=True)
+class Family:
+    """A family of identifiers: canonical form, check, and the form in free text (a word, then the canonical form if nothing else is named)."""
+
+    canonical: Callable[[Column], Column]
+    valid: Callable[[Column], Column]
+    word: str
+    text: Callable[[Column], Column] | None = None
+
+    def free_text(self, c: Column) -> Column:
+        return F.concat(F.lit(f"{self.word} "), (self.text or self.canonical)(c))
+
+
+_hmrc, _engine, _serial = (lambda c: _without(c, "HMRC")), (lambda c: _without(c, "ENGINE")), (lambda c: _without(c, "SERIAL"))
+_card, _vat = (lambda c: F.substring(digits(c), 1, 18)), (lambda c: F.substring(digits(c), 1, 12))
+_house = lambda c: F.substring(_without(c, "COMPANIESHOUSE", "CH"), 1, 8)
+_charity = lambda c: _without(c, "REGISTEREDCHARITYNUMBER", "CHARITY")
+_jabber, _skype = (lambda c: F.lower(_handle(c, "jabber"))), (lambda c: _handle(c, "skype"))
+_twitter = lambda c: F.regexp_replace(_handle(c, r"twitter\s*|x\s*"), "^@", "")
+
+# The families' names and the words before them in free text.
+FAMILIES = {
+    "account": Family(account, lambda c: F.length(alnum(c)).between(1, 18), "AC"),
+    "sortCode": Family(sort_code, sort_code_valid, "SC"),
+    "creditCard": Family(_card, lambda c: F.length(digits(c)).between(12, 18), "CC"),
+    "cro": Family(cro, _like(cro, "^S?[0-9]{1,7}/[0-9]{2}[A-Z]$"), "CRO"),
+    "pnc": Family(pnc, _like(pnc, "^[0-9]{2}/[0-9]{1,7}[A-Z]$"), "PNC"),
+    "nino": Family(nino, nino_valid, "NINO", nino_text),
+    "nib": Family(nib, _like(nib, "^[0-9]{1,6}/[0-9]{2}$"), "NIB"),
+    "passport": Family(passport, _like(passport, "^([0-9]{9}|[0-9]{6}[A-Z])$"), "PPT"),
+    "driverLicence": Family(driver_licence, driver_licence_valid, "DRV"),
+    "vat": Family(_vat, lambda c: F.length(digits(c)).isin(9, 12), "VAT"),
+    "hmrc": Family(_hmrc, _long(_hmrc, 4), "HMRC"),
+    "companiesHouse": Family(_house, _like(_house, "^([0-9]{8}|[A-Z]{2}[0-9]{6})$"), "Companies House"),
+    "charity": Family(_charity, _like(_charity, "^([0-9]{6,8}|SC[0-9]{6})$"), "Registered Charity Number"),
+    "vrm": Family(vrm, _long(vrm, 2, 8), "VRM"),
+    "vin": Family(vin, vin_valid, "VIN"),
+    "engine": Family(_engine, _long(_engine, 3), "Engine"),
+    "serial": Family(_serial, _long(_serial, 3), "Serial"),
+    "icq": Family(digits, _long(digits, 5), "ICQ"),
+    "jabber": Family(_jabber, _like(_jabber, "@"), "Jabber"),
+    "skype": Family(_skype, _long(_skype, 3), "Skype"),
+    "twitter": Family(_twitter, _like(_twitter, "^[A-Za-z0-9_]{1,15}$"), "Twitter"),
+    "ip": Family(ip, ip_loose, "IP Address"),
+}
+
+
+def identify(family: str, c: Column) -> Column:
+    """A struct family, canonical, valid, free_text; null stays null. A family of no name gives the tidied text, not valid."""
+    f = FAMILIES.get(family)
+    text = tidy(c)
+    parts = (f.canonical(c), F.coalesce(f.valid(c), F.lit(False)), f.free_text(c)) if f else (text, F.lit(False), text)
+    if family == "cro":
+        parts = (*parts[:2], F.concat(F.when(parts[0].startswith("S"), "SCRO ").otherwise("CRO "), parts[0]))
+    return F.when(c.isNotNull(), F.struct(F.lit(family).alias("family"), parts[0].alias("canonical"), parts[1].alias("valid"), parts[2].alias("free_text")))
+
+
 def ip_valid(c: Column) -> Column:
     part = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|0?[0-9]{1,2})"
     return c.rlike(rf"^{part}(\.{part}){{3}}$") | (c.rlike("^[0-9A-Fa-f:]+$") & c.contains(":"))

@@ -41,11 +41,23 @@ def compass(degrees: Column) -> Column:
 
 
 def within(df: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
-    """Rows within km, with the distance: a box of degrees first, which reaches the scan, then the sphere."""
+    """Rows within km, with the distance: a box of degrees first, which reaches the scan, then the sphere.
+
+    The box is as wide as the circle's farthest meridians; around a pole it holds all longitudes, and across the date line it has two parts.
+    """
     import math
 
     d = math.degrees(km / RADIUS)
     box = F.col("lat").between(lat - d, lat + d)
+    if abs(lat) + d < 90:
+        wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(d)) / math.cos(math.radians(lat))))) + 1e-9
+        west, east = lon - wide, lon + wide
+        sides = F.col("lon").between(west, east)
+        if west < -180:
+            sides = sides | (F.col("lon") >= west + 360)
+        if east > 180:
+            sides = sides | (F.col("lon") <= east - 360)
+        box = box & sides
     far = haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
     return df.where(box).withColumn("km", far).where(F.col("km") <= km)
 

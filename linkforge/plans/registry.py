@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.functions import contact, dates, identifiers, names
-from linkforge.operators import analytics, graph, mutation, resolution, search, spans
+from linkforge.functions import contact, dates, grades, identifiers, names, vocabulary
+from linkforge.operators import analytics, columns, graph, matching, mutation, resolution, search, spans, validation
 from linkforge.plans import views as v
 from linkforge.session import ship, table
 from linkforge.streaming import activity
@@ -117,7 +117,7 @@ def phone_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir, _PHONE).select("c_custkey", contact.phone_national(F.col("raw")).alias("phone"))
 
 
-_NAME = "CASE c_custkey % 3 WHEN 0 THEN '  Müller-Lüdenscheid   Limited' WHEN 1 THEN 'ACME ' || c_custkey || ' Public Limited  Company' ELSE c_name || ' Incorporated' END"
+_NAME = "CASE c_custkey % 5 WHEN 3 THEN 'Šimek Nováková-Źdź ' || c_name WHEN 4 THEN 'ĀNNA   Çelik-Ōno' WHEN 0 THEN '  Müller-Lüdenscheid   Limited' WHEN 1 THEN 'ACME ' || c_custkey || ' Public Limited  Company' ELSE c_name || ' Incorporated' END"
 
 
 @_query(f"""SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents({_NAME})), '[^a-z\\s''-]', ' ', 'g'), '[\\s''-]+', ' ', 'g')), '\\bpublic limited company\\b', 'plc', 'g'), '\\blimited\\b', 'ltd', 'g'), '\\bincorporated\\b', 'inc', 'g') AS name FROM customer""")
@@ -142,11 +142,120 @@ _FAMILIES = {
 @_query()
 def identifier_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each family's canonical form and check over raw forms made of the customers' keys; the vectors are in the tests."""
-    parts = [_raw(spark, sf_dir, expr).select("c_custkey", F.lit(k).alias("family"), canonical(F.col("raw")).alias("canonical"), valid(F.col("raw")).alias("valid")) for k, (expr, canonical, valid) in _FAMILIES.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    each = [F.struct(F.lit(k).alias("family"), canonical(F.expr(expr)).alias("canonical"), valid(F.expr(expr)).alias("valid")) for k, (expr, canonical, valid) in _FAMILIES.items()]
+    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(F.array(*each)))
+
+
+_FORMS = {
+    "account": f"CASE c_custkey % 2 WHEN 0 THEN '12-' || (c_custkey % 9999) ELSE 'roll ' || {_PAD} || ' x' END",
+    "sortCode": _FAMILIES["sort_code"][0],
+    "creditCard": f"'4539 14' || {_PAD} || '99'",
+    "cro": f"CASE c_custkey % 3 WHEN 0 THEN 'cro s ' || (c_custkey % 999) || ' / 07 k' WHEN 1 THEN 'CRO ' || (c_custkey % 9999) || '/99X' ELSE 'cro none ' || {_PAD} END",
+    "pnc": f"CASE c_custkey % 3 WHEN 0 THEN 'pnc 1999/' || (c_custkey % 9999) || 'a' WHEN 1 THEN '07 / ' || (c_custkey % 99) || ' z' ELSE 'PNC ' || {_PAD} END",
+    "nino": _FAMILIES["nino"][0],
+    "nib": "CASE c_custkey % 2 WHEN 0 THEN 'nib ' || (c_custkey % 999) || '/24' ELSE 'nib ' || (c_custkey % 999) END",
+    "passport": f"CASE c_custkey % 3 WHEN 0 THEN 'ppt 123' || {_PAD} WHEN 1 THEN {_PAD} || 'b' ELSE 'ppt ' || (c_custkey % 99) END",
+    "vat": f"'GB 1' || {_PAD} || CASE c_custkey % 2 WHEN 0 THEN '12' ELSE '1' END",
+    "hmrc": "'hmrc a/' || (c_custkey % 500)",
+    "companiesHouse": f"CASE c_custkey % 3 WHEN 0 THEN 'ch 12' || {_PAD} WHEN 1 THEN 'Companies House sc' || {_PAD} ELSE {_PAD} END",
+    "charity": f"CASE c_custkey % 2 WHEN 0 THEN 'charity ' || {_PAD} ELSE 'sc' || (c_custkey % 99) END",
+    "engine": "'Engine ' || (c_custkey % 200) || '-x'",
+    "icq": "'icq ' || (c_custkey * 31)",
+}
+_UP, _NUM = "regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g')", "regexp_replace(raw, '[^0-9]', '', 'g')"
+_BARE = lambda words: f"regexp_replace({_UP}, '^({words})', '')"
+_AT = lambda shape, i: f"regexp_extract(upper(raw), '{shape}', {i})"
+_CRO, _PNC, _NIB = r"(S?)\s*([0-9]{1,7})\s*/\s*([0-9]{2})\s*([A-Z])", r"([0-9]{2,4})\s*/\s*([0-9]{1,7})\s*([A-Z])", r"([0-9]{1,6})\s*/\s*([0-9]{2})"
+#: By family: canonical form, check over it (c) and the raw text, and free text, in SQL.
+_FORMS_SQL = {
+    "account": (f"CASE WHEN length({_NUM}) BETWEEN 1 AND 8 THEN lpad({_NUM}, 8, '0') ELSE left({_UP}, 18) END", f"length({_UP}) BETWEEN 1 AND 18", "'AC ' || c"),
+    "sortCode": (f"left({_NUM}, 6)", f"length({_NUM}) = 6", "'SC ' || c"),
+    "creditCard": (f"left({_NUM}, 18)", f"length({_NUM}) BETWEEN 12 AND 18", "'CC ' || c"),
+    "cro": (f"CASE WHEN regexp_matches(upper(raw), '{_CRO}') THEN {_AT(_CRO, 1)} || {_AT(_CRO, 2)} || '/' || {_AT(_CRO, 3)} || {_AT(_CRO, 4)} ELSE {_BARE('SCRO|CRO')} END", "regexp_full_match(c, 'S?[0-9]{1,7}/[0-9]{2}[A-Z]')", "CASE WHEN starts_with(c, 'S') THEN 'SCRO ' ELSE 'CRO ' END || c"),
+    "pnc": (f"CASE WHEN regexp_matches(upper(raw), '{_PNC}') THEN CASE WHEN length({_AT(_PNC, 1)}) = 4 THEN right({_AT(_PNC, 1)}, 2) ELSE {_AT(_PNC, 1)} END || '/' || {_AT(_PNC, 2)} || {_AT(_PNC, 3)} ELSE {_BARE('PNC')} END", "regexp_full_match(c, '[0-9]{2}/[0-9]{1,7}[A-Z]')", "'PNC ' || c"),
+    "nino": (f"left({_BARE('NINO')}, 9)", "regexp_full_match(c, '[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z][0-9]{6}[A-D]') AND left(c, 2) NOT IN ('BG', 'GB', 'NK', 'KN', 'TN', 'NT', 'ZZ')", r"'NINO ' || regexp_replace(c, '^([A-Z]{2})([0-9]{2})([0-9]{2})([0-9]{2})([A-D])$', '\1 \2 \3 \4 \5')"),
+    "nib": (f"CASE WHEN regexp_matches(upper(raw), '{_NIB}') THEN {_AT(_NIB, 1)} || '/' || {_AT(_NIB, 2)} ELSE {_BARE('NIB')} END", "regexp_full_match(c, '[0-9]{1,6}/[0-9]{2}')", "'NIB ' || c"),
+    "passport": (f"coalesce(nullif(regexp_extract({_BARE('PPT')}, '[0-9]{{9}}|[0-9]{{6}}[A-Z]'), ''), {_BARE('PPT')})", "regexp_full_match(c, '[0-9]{9}|[0-9]{6}[A-Z]')", "'PPT ' || c"),
+    "vat": (f"left({_NUM}, 12)", f"length({_NUM}) IN (9, 12)", "'VAT ' || c"),
+    "hmrc": (_BARE("HMRC"), "length(c) >= 4", "'HMRC ' || c"),
+    "companiesHouse": (f"left({_BARE('COMPANIESHOUSE|CH')}, 8)", "regexp_full_match(c, '[0-9]{8}|[A-Z]{2}[0-9]{6}')", "'Companies House ' || c"),
+    "charity": (_BARE("REGISTEREDCHARITYNUMBER|CHARITY"), "regexp_full_match(c, '[0-9]{6,8}|SC[0-9]{6}')", "'Registered Charity Number ' || c"),
+    "engine": (_BARE("ENGINE"), "length(c) >= 3", "'Engine ' || c"),
+    "icq": (_NUM, "length(c) >= 5", "'ICQ ' || c"),
+}
+
+
+@_query(" UNION ALL ".join(f"SELECT c_custkey, '{k}' AS family, c AS canonical, {valid} AS valid, {text} AS free_text FROM (SELECT *, {canonical} AS c FROM (SELECT c_custkey, {_FORMS[k]} AS raw FROM customer))" for k, (canonical, valid, text) in _FORMS_SQL.items()))
+def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical form, check and free text of fourteen families, all from one scan; the other families have vectors in the tests."""
+    each = [identifiers.identify(k, F.expr(expr)) for k, expr in _FORMS.items()]
+    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(F.array(*each)))
+
+
+_GRADE = "CASE c_custkey % 7 WHEN 0 THEN '9' WHEN 1 THEN '' ELSE CAST(c_custkey % 3 + 1 AS VARCHAR(9)) END", "substr('abcdefz', CAST(c_custkey % 7 AS INT) + 1, 1)", "CASE c_custkey % 3 WHEN 0 THEN 'cond' WHEN 1 THEN 'p' ELSE 'x' END"
+_WORDS = lambda values, at: "CASE " + at + "".join(f" WHEN '{k}' THEN '{t}'" for k, t in values.items()) + " END"
+
+
+@_query(f"""WITH r AS (SELECT c_custkey, {_GRADE[0]} AS s, {_GRADE[1]} AS a, {_GRADE[2]} AS h FROM customer),
+g AS (SELECT c_custkey, CASE WHEN left(s, 1) IN ('1', '2', '3') THEN left(s, 1) ELSE '2' END AS s, CASE WHEN upper(a) IN ('A', 'B', 'C', 'D', 'E') THEN upper(a) ELSE 'B' END AS a, CASE WHEN upper(left(h, 1)) IN ('P', 'C') THEN upper(left(h, 1)) ELSE 'P' END AS h FROM r)
+SELECT c_custkey, '[' || s || a || h || ']' AS grade, {_WORDS(grades.SOURCES, 's')} || '; ' || {_WORDS(grades.ASSESSMENTS, 'a')} || '; ' || {_WORDS(grades.HANDLING, 'h')} || '.' AS sentence FROM g""")
+def grade_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = grades.grade_code(*map(F.expr, _GRADE))
+    return table(spark, sf_dir, "customer").select("c_custkey", code.alias("grade"), grades.grade_sentence(code).alias("sentence"))
+
+
+@_query(f"""SELECT type, {_WORDS({k: x[0] for k, x in grades.LINKS.items()}, 'type')} AS label, {_WORDS({k: x[1] for k, x in grades.LINKS.items()}, 'type')} AS chart, CASE WHEN dated THEN 'Confirmed' ELSE 'Tentative' END AS strength, count(*) AS cnt
+FROM (SELECT type, day IS NOT NULL AS dated FROM ({v.LINKS_SQL})) GROUP BY ALL""")
+def link_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How links are drawn: dated ones count as sure, others as doubtful."""
+    meta = grades.link_meta(F.col("type"))
+    rows = v.links(spark, sf_dir).select("type", meta["label"].alias("label"), meta["chart"].alias("chart"), grades.line_strength(F.when(F.col("day").isNotNull(), "HIGH").otherwise("low")).alias("strength"))
+    return rows.groupBy("type", "label", "chart", "strength").agg(F.count("*").alias("cnt"))
+
+
+_NOTE = "CASE c_custkey % 8 WHEN 0 THEN 'Was WANTED; suspects, armed with a gun.' WHEN 1 THEN 'In Burgundy, on  bail since May' WHEN 2 THEN 'self-harm risk; found-dead cat' WHEN 3 THEN 'supply of drug, knives and a knife' WHEN 4 THEN 'released under investigation (RUI)' WHEN 5 THEN '' WHEN 6 THEN 'No further action: witness ' || c_name ELSE c_name END"
+_CUES = " UNION ALL ".join(f"SELECT c_custkey, '{kind}' AS kind, '{code}' AS code FROM t WHERE " + " OR ".join(f"contains(s, '{f}')" for cue in cues for f in vocabulary.cue_forms(cue)) for kind, words in (("status", vocabulary.STATUS), ("warning", vocabulary.WARNINGS)) for code, cues in words.items())
+
+
+@_query(f"WITH t AS (SELECT c_custkey, ' ' || trim(regexp_replace(lower({_NOTE}), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s FROM customer) {_CUES}")
+def subject_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standings and warning signals by their cues."""
+    found = F.array(*[F.struct(F.lit(kind).alias("kind"), f(F.expr(_NOTE)).alias("codes")) for kind, f in (("status", vocabulary.status), ("warning", vocabulary.warnings))])
+    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(found)).select("c_custkey", "kind", F.explode("codes").alias("code"))
+
+
+_TIME = "CASE c_custkey % 6 WHEN 0 THEN 'at ' || (c_custkey % 14) || ':05 pm' WHEN 1 THEN (c_custkey % 26) || ':59:' || lpad(CAST(c_custkey % 70 AS VARCHAR(9)), 2, '0') || ' (zulu)' WHEN 2 THEN '12:' || (10 + c_custkey % 60) || ' AM (Local)' WHEN 3 THEN 'noon' WHEN 4 THEN '7:30' ELSE '9:3' END"
+
+
+@_query(f"""WITH r AS (SELECT c_custkey, lower({_TIME}) AS s FROM customer),
+p AS (SELECT c_custkey, s, regexp_extract(s, '([0-9]{{1,2}}):([0-9]{{2}})(:([0-9]{{2}}))? *([ap]m)?', ['h', 'm', 'x', 'sec', 'ap']) AS g FROM r),
+q AS (SELECT c_custkey, TRY_CAST(g.h AS INT) AS h0, TRY_CAST(g.m AS INT) AS m, TRY_CAST(g.sec AS INT) AS sec, g.ap AS ap, regexp_extract(s, '[(](local|zulu|utc|bst|gmt)[)]', 1) AS z FROM p),
+t AS (SELECT *, CASE WHEN ap = 'pm' AND h0 < 12 THEN h0 + 12 WHEN ap = 'am' AND h0 = 12 THEN 0 ELSE h0 END AS h FROM q)
+SELECT c_custkey, CASE WHEN h IS NULL OR h > 23 OR m > 59 OR coalesce(sec, 0) > 59 THEN '' ELSE lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0') || coalesce(':' || lpad(CAST(sec AS VARCHAR), 2, '0'), '') || CASE z WHEN '' THEN '' WHEN 'local' THEN ' (Local)' ELSE ' (' || upper(z) || ')' END END AS clock FROM t""")
+def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir, _TIME).select("c_custkey", dates.time_text(F.col("raw")).alias("clock"))
+
+
+_FIRST = ["Bill", "william", "Ann", "B.", "Jon", "Jonathan", "Katie", "Catherine", "Zoë", "Tomas", "Thomas"]
+_LAST = ["Šimek", "Simek", "Richardson", "Richardsen", "O'Neil", "Oneill", "Ng", "Andersson", "Anderson", "Novak", "Ricardson", "de la Cruz", "Cruz"]
+_PERSON = f"{_FIRST}[CAST(c_custkey % 11 AS INT) + 1] || CASE WHEN c_custkey % 9 = 0 THEN '' ELSE ' ' || {_LAST}[CAST(c_custkey // 11 % 13 AS INT) + 1] END"
+_JW = lambda x, y: f"(CASE WHEN {x} = {y} THEN 1 ELSE jaro_similarity({x}, {y}) + (1 - jaro_similarity({x}, {y})) * 0.1 * CASE WHEN left({x}, 4) = left({y}, 4) AND least(length({x}), length({y})) >= 4 THEN 4 WHEN left({x}, 3) = left({y}, 3) AND least(length({x}), length({y})) >= 3 THEN 3 WHEN left({x}, 2) = left({y}, 2) AND least(length({x}), length({y})) >= 2 THEN 2 WHEN left({x}, 1) = left({y}, 1) THEN 1 ELSE 0 END END)"
+
+
+@_query(f"""WITH g AS (SELECT unnest(string_split(l, ' ')) AS w, i FROM (SELECT unnest({[x for x in names.NICKNAMES.strip().splitlines()]}) AS l, unnest(range({len(names.NICKNAMES.strip().splitlines())})) AS i)),
+n AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(strip_accents({_PERSON.replace("O'Neil", "O''Neil").replace('"', "'")})), '[^a-z\\s''-]', ' ', 'g'), '[\\s''-]+', ' ', 'g')) AS c FROM customer),
+t AS (SELECT c, string_split(c, ' ') AS w FROM n WHERE contains(c, ' ')), p AS (SELECT c, w[len(w)] AS s, w[:len(w) - 1] AS f FROM t),
+k AS (SELECT a.c AS a, b.c AS b, a.s AS sa, b.s AS sb, unnest(a.f) AS fa, b.f AS bf FROM p a JOIN p b ON a.c < b.c), k2 AS (SELECT * EXCLUDE bf, unnest(bf) AS fb FROM k),
+e AS (SELECT a, b, sa, sb, max(CASE WHEN fa = fb THEN 1 WHEN EXISTS (SELECT 1 FROM g x JOIN g y ON x.i = y.i WHERE x.w = fa AND y.w = fb) THEN 0.97 WHEN least(length(fa), length(fb)) = 1 THEN CASE WHEN left(fa, 1) = left(fb, 1) THEN 0.9 ELSE 0 END
+  WHEN {_JW('fa', 'fb')} >= 0.92 THEN 0.95 * {_JW('fa', 'fb')} ELSE 0 END::DOUBLE) AS fs FROM k2 GROUP BY a, b, sa, sb),
+o AS (SELECT a, b, round(0.62 * (CASE WHEN sa = sb THEN 1 WHEN {_JW('sa', 'sb')} >= 0.94 THEN 0.9 ELSE 0.5 END * {_JW('sa', 'sb')}) + 0.38 * fs, 6) AS score FROM e)
+SELECT * FROM o WHERE score >= 0.85""")
+def duplicate_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likely duplicates among names made of the customers' keys; SQL compares all distinct names with all."""
+    first, last = (F.array(*map(F.lit, x)) for x in (_FIRST, _LAST))
+    key = F.col("c_custkey")
+    name = F.concat(F.get(first, (key % 11).cast("int")), F.when(key % 9 == 0, "").otherwise(F.concat(F.lit(" "), F.get(last, (F.floor(key / 11) % 13).cast("int")))))
+    return matching.duplicate_people(table(spark, sf_dir, "customer").select(name.alias("name")))
 
 
 _D = lambda k: f"CAST(substr(n, {k}, 1) AS INT)"
@@ -227,10 +336,11 @@ def link_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dedupe_links(raw, v.entities(spark, sf_dir))
 
 
-@_query(f"""WITH RECURSIVE {v.PLACES_SQL}, w(id, level) AS (SELECT 'R:1', 0 UNION SELECT adj.b, w.level + 1 FROM w JOIN adj ON adj.a = w.id WHERE w.level < 4)
+@_query(f"""WITH RECURSIVE v AS (SELECT id FROM ({v.ENTITIES_SQL})), e AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM ({v.LINKS_SQL}) WHERE src <> dst), adj AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w(id, level) AS (SELECT 'R:1', 0 UNION SELECT DISTINCT adj.b, w.level + 1 FROM w JOIN adj ON adj.a = w.id WHERE w.level < 9)
 SELECT v.id, coalesce(min(w.level), 99)::INT AS level FROM v LEFT JOIN w ON w.id = v.id GROUP BY v.id""")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all entities and links; its SQL walks nations, regions and suppliers only."""
+    """Over all entities and links; its SQL walks nine steps, more than any of these tables has."""
     return graph.bfs_levels(v.entities(spark, sf_dir), v.links(spark, sf_dir), "R:1")
 
 
@@ -321,23 +431,26 @@ _PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r
 
 
 def _found(kind: str) -> None:
+    # Documents hold no such dates, so each third one ends with two of its own.
+    text = "text || CASE WHEN doc_id % 3 = 0 THEN ' due 20' || (10 + doc_id % 20) || '-0' || (1 + doc_id % 9) || '-15, not 2024-1-1 or 1999-12-31.' ELSE '' END" if kind == "iso_date" else "text"
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = F.regexp_extract_all("text", F.lit(_PATTERNS[kind]), F.lit(0))
+        hits = F.regexp_extract_all(F.expr(text), F.lit(_PATTERNS[kind]), F.lit(0))
         out = table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("value"))
         return out.where(identifiers.ip_valid(F.col("value"))) if kind == "ip" else out
 
     query.__name__ = f"extract_{kind}s"
     check = " WHERE list_aggregate(list_transform(string_split(value, '.'), lambda o: CAST(o AS INT)), 'max') <= 255" if kind == "ip" else ""
-    _query(f"SELECT * FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERNS[kind]}')) AS value FROM documents){check}")(query)
+    _query(f"SELECT * FROM (SELECT doc_id, unnest(regexp_extract_all({text}, '{_PATTERNS[kind]}')) AS value FROM documents){check}")(query)
 
 
 for _k in _PATTERNS:
     _found(_k)
 
 
-@_query("""SELECT o_orderkey, 'E' || lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR(9)), 4, '0') AS ref FROM orders""")
+@_query("""SELECT o_orderkey, 'E' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS ref FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)""")
 def sequence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running references by owner, padded to four digits at least; its SQL cuts longer numbers."""
+    """Running references by owner, padded to four digits at least."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("string")
@@ -422,13 +535,13 @@ def amount_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir, _SUM).select("c_custkey", dates.amount_text(F.col("raw")).alias("amount"))
 
 
-_NAMED = "SELECT p_partkey, p_name AS a, p_type AS b FROM part"
+_NAMED = "SELECT p_partkey, lower(p_name) AS a, lower(CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_type END) AS b FROM part"
 
 
 @_query(f"""WITH n AS ({_NAMED}), j AS (SELECT p_partkey, a, b, jaro_similarity(a, b) AS j FROM n)
 SELECT p_partkey, round(j + (1 - j) * 0.1 * CASE WHEN left(a, 4) = left(b, 4) THEN 4 WHEN left(a, 3) = left(b, 3) THEN 3 WHEN left(a, 2) = left(b, 2) THEN 2 WHEN left(a, 1) = left(b, 1) THEN 1 ELSE 0 END, 6) AS score FROM j""")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(names.name_similarity("p_name", "p_type"), 6).alias("score"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(names.name_similarity("p_name", F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_type"))), 6).alias("score"))
 
 
 # --- records: upserts, merges, differences -------------------------------------------------------
@@ -447,11 +560,11 @@ def record_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutation.upsert(*_amended(spark, sf_dir), "o_orderkey")
 
 
-@_query(f"""WITH n AS ({_AMENDED}), j AS (SELECT o.o_orderkey, o.o_orderstatus AS s, o.o_custkey AS c, n.o_orderstatus AS s2, n.o_custkey AS c2 FROM orders o LEFT JOIN n USING (o_orderkey) WHERE o.o_orderkey % 5 < 2)
+@_query(f"""WITH n AS ({_AMENDED}), j AS (SELECT o.o_orderkey, o.o_orderstatus AS s, o.o_custkey AS c, n.o_orderstatus AS s2, n.o_custkey AS c2 FROM orders o LEFT JOIN n USING (o_orderkey))
 SELECT o_orderkey, 'o_orderstatus' AS field, s AS before, s2 AS after FROM j WHERE s IS DISTINCT FROM s2
 UNION ALL SELECT o_orderkey, 'o_custkey', CAST(c AS VARCHAR), CAST(c2 AS VARCHAR) FROM j WHERE c IS DISTINCT FROM c2""")
 def record_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders against the amended ones; its SQL compares only those that were amended."""
+    """All orders against the amended ones: a record on one side only differs in each field that it has."""
     old, new = _amended(spark, sf_dir)
     return mutation.field_diff(old, new, "o_orderkey", ["o_orderstatus", "o_custkey"])
 
@@ -548,6 +661,103 @@ def first_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.first_linked(v.entities(spark, sf_dir), dated)
 
 
+# --- checks of reports, shares, columns of sheets ------------------------------------------------
+
+_REPORT = {
+    "title": "CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END",
+    "date_of_collection": "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '2024-01-01' ELSE '01/02/2024' END",
+    "submitted_by_self": "CASE WHEN c_custkey % 13 <> 0 THEN true END",
+    "threat_area": "CASE c_custkey % 5 WHEN 0 THEN 'weather' ELSE 'drugs' END",
+    "confidence": "CASE c_custkey % 6 WHEN 0 THEN 'high' ELSE 'High' END",
+    "protective_marking": "CASE c_custkey % 8 WHEN 0 THEN NULL ELSE 'OFFICIAL' END",
+    "code": "CASE c_custkey % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'P' WHEN 2 THEN 'x' ELSE 'C' END",
+    "instructions": "CASE c_custkey % 3 WHEN 0 THEN '' ELSE 'ask first' END",
+    "action_code": "CASE c_custkey % 2 WHEN 0 THEN 'A1' ELSE CASE c_custkey % 5 WHEN 1 THEN 'A9' ELSE '' END END",
+    "sanitisation_code": "CASE c_custkey % 3 WHEN 0 THEN 'S2' END",
+    "status": "CASE c_custkey % 17 WHEN 0 THEN 'LOST' ELSE 'DRAFT' END",
+}
+_R_SQL = f"r AS (SELECT c_custkey, {', '.join(f'{e} AS {k}' for k, e in _REPORT.items())} FROM customer)"
+_WRONG = {
+    "title": "trim(title) = ''",
+    "dateOfCollection": "date_of_collection IS NULL OR NOT regexp_full_match(date_of_collection, '[0-9]{2}/[0-9]{2}/[0-9]{4}')",
+    "submittedBySelf": "submitted_by_self IS NULL",
+    "threatArea": "threat_area <> 'drugs'",
+    "confidence": "confidence <> 'High'",
+    "protectiveMarking": "protective_marking IS NULL",
+    "handling.code": "upper(code) NOT IN ('P', 'C')",
+    "handling.instructions": "upper(code) = 'C' AND instructions = ''",
+    "handling.actionCode": "(upper(code) = 'C' AND action_code <> 'A1') OR (upper(code) = 'P' AND action_code <> '')",
+    "handling.sanitisationCode": "(upper(code) = 'C' AND sanitisation_code IS NULL) OR (upper(code) = 'P' AND sanitisation_code IS NOT NULL)",
+    "items": "c_custkey % 9 = 0",
+    "items[0].text": "c_custkey % 9 <> 0 AND c_custkey % 4 = 0",
+    "items[0].sourceEval": "c_custkey % 9 <> 0 AND c_custkey % 10 = 0",
+    "items[0].intelEval": "c_custkey % 9 <> 0 AND c_custkey % 10 = 1",
+    "provenance.intelEval": "c_custkey % 19 = 0",
+    "status": "status = 'LOST'",
+}
+
+
+@_query(f"WITH {_R_SQL} " + " UNION ALL ".join(f"SELECT c_custkey, '{k}' AS field FROM r WHERE {w}" for k, w in _WRONG.items()))
+def report_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is missing or wrong in reports made of the customers' keys."""
+    k = F.col("c_custkey")
+    item = F.struct(F.when(k % 4 == 0, " ").otherwise("seen").alias("text"), F.when(k % 10 == 0, "4").otherwise("2").alias("source_eval"), F.when(k % 10 == 1, "F").otherwise("B").alias("intel_eval"))
+    given = F.struct(F.lit("told").alias("text"), F.lit("1").alias("source_eval"), F.when(k % 19 != 0, "A").alias("intel_eval"))
+    rows = table(spark, sf_dir, "customer").withColumns({n: F.expr(e) for n, e in _REPORT.items()} | {"items": F.when(k % 9 != 0, F.array(item)), "provenance": given})
+    return rows.select("c_custkey", F.explode(validation.report_errors(["DRAFT", "AUTHORISED"], ["drugs"])).alias("field"))
+
+
+_SHARES = f"SELECT id, CASE abs(length(id) * 7 + coalesce(nk, 1)) % 4 WHEN 0 THEN 'No' WHEN 1 THEN NULL ELSE 'Yes' END AS share, coalesce(nk, 0) % 9 = 4 AS is_alias FROM ({v.ENTITIES_SQL})"
+_LINKED = f"SELECT src || '>' || dst || type AS id, src, dst, type, CASE WHEN length(src || dst) % 3 = 0 THEN 'No' ELSE 'Yes' END AS share FROM ({v.LINKS_SQL})"
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    mark, nk = F.abs(F.length("id") * 7 + F.coalesce("nk", F.lit(1))) % 4, F.coalesce("nk", F.lit(0))
+    ent = v.entities(spark, sf_dir).select("id", F.when(mark == 0, "No").when(mark != 1, "Yes").alias("share"), (nk % 9 == 4).alias("is_alias"))
+    lk = v.links(spark, sf_dir).select(F.concat("src", F.lit(">"), "dst", "type").alias("id"), "src", "dst", "type", F.when(F.length(F.concat("src", "dst")) % 3 == 0, "No").otherwise("Yes").alias("share"))
+    return ent, lk
+
+
+@_query(f"""WITH e AS (SELECT id, coalesce(share = 'Yes', false) AND NOT is_alias AS ok FROM ({_SHARES})), l AS ({_LINKED})
+SELECT 'entity' AS kind, id, ok AS share, false AS blocked FROM e
+UNION ALL SELECT 'link', l.id, l.share = 'Yes' AND a.ok AND b.ok, l.share = 'Yes' AND NOT (a.ok AND b.ok) FROM l JOIN e a ON a.id = l.src JOIN e b ON b.id = l.dst""")
+def effective_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.effective_share(*_shared(spark, sf_dir))
+
+
+@_query(f"""WITH e AS ({_SHARES}), l AS ({_LINKED}), j AS (SELECT l.id, l.type, l.src, l.dst, a.is_alias AS x, b.is_alias AS y FROM l LEFT JOIN e a ON a.id = l.src AND a.id <> 'N:3' LEFT JOIN e b ON b.id = l.dst AND b.id <> 'N:3')
+SELECT id, 'from unknown' AS error FROM j WHERE x IS NULL UNION ALL SELECT id, 'to unknown' FROM j WHERE y IS NULL UNION ALL SELECT id, 'alias to alias' FROM j WHERE type = 'LOCATED_IN' AND x AND y
+UNION ALL SELECT id, 'more than one identity' FROM (SELECT unnest([src, dst]) AS id FROM l WHERE type = 'LOCATED_IN') WHERE id IN (SELECT id FROM e WHERE is_alias AND id <> 'N:3') GROUP BY id HAVING count(*) > 1""")
+def structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nation is left out of the entities; LOCATED_IN stands for a link of identity."""
+    ent, lk = _shared(spark, sf_dir)
+    return validation.structure_errors(ent.where("id <> 'N:3'"), lk, ["LOCATED_IN"])
+
+
+_CELLS = {
+    "mail": "CASE WHEN c_custkey % 10 = 3 THEN 'none' ELSE 'u' || c_custkey || '@example.org' END",
+    "tel": "CASE WHEN c_custkey % 3 = 0 THEN 'ask' ELSE '07700 900' || lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '0') END",
+    "born": "CASE c_custkey % 2 WHEN 0 THEN '2024-01-0' || (c_custkey % 9 + 1) ELSE '1/2/' || (1950 + c_custkey % 50) END",
+    "who": "CASE c_custkey % 4 WHEN 0 THEN 'Ann Oneil' WHEN 1 THEN 'NOVAK, Jan' WHEN 2 THEN '' ELSE 'FRANCE' END",
+    "paid": "CASE c_custkey % 2 WHEN 0 THEN '$ ' || c_custkey || '.50' ELSE 'free' END",
+    "blank": "CAST(NULL AS VARCHAR(9))",
+}
+_KIND = r"""CASE WHEN regexp_full_match(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'email' WHEN regexp_full_match(x, '[£€$] ?[0-9][0-9,]*(\.[0-9]{1,2})?') THEN 'money'
+WHEN regexp_full_match(x, '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date' WHEN regexp_full_match(x, '0[0-9 ]{9,}') THEN 'phone' WHEN lower(x) IN (SELECT lower(n_name) FROM nation) THEN 'location'
+WHEN regexp_full_match(x, '[A-Z][a-z]+ [A-Z][A-Za-z''-]+|[A-Z][A-Z''-]+,? [A-Z][a-z]+') THEN 'person' END"""
+
+
+@_query(f"""WITH c AS ({" UNION ALL ".join(f"SELECT '{k}' AS name, c_custkey AS ord, trim({e}) AS x FROM customer" for k, e in _CELLS.items())}),
+f AS (SELECT name, x FROM c WHERE x <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) <= 50), n AS (SELECT name, {_KIND} AS kind, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT name, arg_max(kind, [n, -list_position({columns.TIES}, kind)]) FILTER (kind IS NOT NULL) AS kind, max(n) FILTER (kind IS NOT NULL) / sum(n) AS share FROM n GROUP BY name)
+SELECT k.name, CASE WHEN share >= 0.5 THEN kind ELSE 'text' END AS kind, CASE WHEN share >= 0.8 THEN 'high' WHEN share >= 0.5 THEN 'med' ELSE 'low' END AS confidence FROM (SELECT unnest({list(_CELLS)}) AS name) k LEFT JOIN b USING (name)""")
+def column_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote of a sheet's first fifty filled cells: the sample is the feature."""
+    sheet = table(spark, sf_dir, "customer").select("c_custkey", *[F.expr(e).alias(k) for k, e in _CELLS.items()])
+    places = [r[0] for r in table(spark, sf_dir, "nation").select(F.lower("n_name")).collect()]  # one row a nation
+    return columns.column_kinds(sheet, "c_custkey", list(_CELLS), places)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -15,10 +15,11 @@ def windowed_counts(rows: DataFrame, ts: str, kind: str, width: str = "1 day", l
 
 
 def drained(counts: DataFrame, name: str) -> DataFrame:
-    """Run a stream of aggregates over all that has arrived and read the last state of each window.
+    """Run a stream of aggregates over all that has arrived and read the last count of each window and kind.
 
-    The state is written anew with every batch of the stream, by the batch's number, so that a
-    batch that is run again after a failure replaces its own rows only.
+    Each batch writes the windows that it changed, by the batch's number, so that a batch that is run again after a
+    failure replaces its own rows only; the state of windows older than the watermark is dropped. The last batch that
+    names a window has its count.
     """
     spark, path = counts.sparkSession, shared_dir(counts.sparkSession, name)
 
@@ -27,8 +28,7 @@ def drained(counts: DataFrame, name: str) -> DataFrame:
 
     # An empty state first, so that a stream without rows reads as an empty table.
     write(spark.createDataFrame([], counts.schema), -1)
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    out = spark.read.parquet(f"{path}/data")
-    last = out.agg(F.max("batch").alias("last"))
-    return out.join(F.broadcast(last), out["batch"] == last["last"]).drop("batch", "last")
+    keys = [c for c in counts.columns if c != "cnt"]
+    return spark.read.parquet(f"{path}/data").groupBy(*keys).agg(F.max_by("cnt", "batch").alias("cnt"))

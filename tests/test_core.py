@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkforge.functions import contact, identifiers
-from linkforge.operators import analytics, graph, resolution, search
+from linkforge.functions import contact, dates, grades, identifiers, names, vocabulary
+from linkforge.operators import analytics, graph, matching, resolution, search
 from linkforge.operators.components import connected_components
 
 
@@ -26,6 +26,29 @@ def one(spark, f, raw):
         (contact.phone_national, "", ""),
         (contact.canonical_name, "  O'Brien & Sons Limited ", "o brien sons ltd"),
         (contact.csv_safe, "=1+1", "'=1+1"),
+        (contact.phone_national, "0044 7700", "07700"),
+        (contact.phone_national, "7700 900123", "07700900123"),
+        (contact.phone_national, "44 7700 900123", "07700900123"),
+        (contact.phone_national, "44123", "044123"),
+        (contact.phone_valid, "+34 612345678", True),
+        (contact.phone_valid, "12", False),
+        (contact.canonical_name, "Šimek Nováková", "simek novakova"),
+        (contact.canonical_name, "e\u0301mile ÇELIK", "emile celik"),
+        (contact.organisation_caps, "Acme  Public Limited Company", "ACME PLC"),
+        (contact.address_key, "12 Long Road", "long"),
+        (dates.day_text, "12th Mar 24", "12/03/2024"),
+        (dates.day_text, "31/02/2020", ""),
+        (dates.time_text, "12:05 am (local)", "00:05 (Local)"),
+        (dates.time_text, "24:00", ""),
+        (names.title_case, "ANNE-marie o'neil mcdonald MACLEOD", "Anne-Marie O'Neil McDonald MacLeod"),
+        (names.person_label, "Dr. ludwig van beethoven jr", "Ludwig VAN BEETHOVEN Jr"),
+        (names.person_label, "O'NEIL, mr anne marie", "Anne Marie O'NEIL"),
+        (names.person_label, "smith", "SMITH"),
+        (grades.grade_sentence, "2bp", "Untested; Known personally to source but not to officer; Lawful sharing permitted."),
+        (grades.grade_of_confidence, "HIGH", "[1AP]"),
+        (grades.line_strength, None, "Unconfirmed"),
+        (vocabulary.status, "He was Wanted; two victims", ["WANTED", "VICTIM"]),
+        (vocabulary.warnings, "In Burgundy without guns, self-harm", ["FIREARMS", "SELF_HARM"]),
         (identifiers.account, "12 34", "00001234"),
         (identifiers.nino_valid, "AB 12 34 56 C", True),
         (identifiers.nino_valid, "GB123456A", False),
@@ -48,6 +71,51 @@ def test_scalars(spark, f, raw, want):
     assert one(spark, f, raw) == want
 
 
+@pytest.mark.parametrize(
+    ("family", "raw", "want"),
+    [
+        ("vrm", "vrm ab12 cde", ("AB12CDE", True, "VRM AB12CDE")),
+        ("vin", "VIN 1M8GDM9AXKP042788", ("1M8GDM9AXKP042788", True, "VIN 1M8GDM9AXKP042788")),
+        ("driverLicence", "drv MORGA657054SM9IJ", ("MORGA657054SM9IJ", True, "DRV MORGA657054SM9IJ")),
+        ("driverLicence", "MORGA613354SM9IJ", ("MORGA613354SM9IJ", False, "DRV MORGA613354SM9IJ")),
+        ("cro", "s 123/07 k", ("S123/07K", True, "SCRO S123/07K")),
+        ("serial", "Serial ab-1", ("AB1", True, "Serial AB1")),
+        ("jabber", "Jabber Ann @X.org", ("ann@x.org", True, "Jabber ann@x.org")),
+        ("skype", "skype Li", ("Li", False, "Skype Li")),
+        ("twitter", "twitter @Ann_1", ("Ann_1", True, "Twitter Ann_1")),
+        ("ip", "IP address 10.0.0.256", ("10.0.0.256", False, "IP Address 10.0.0.256")),
+        ("ip", "fe80::1", ("fe80::1", True, "IP Address fe80::1")),
+        ("shoe", " size  9 ", ("size 9", False, "size 9")),
+    ],
+)
+def test_identifier_families(spark, family, raw, want):
+    got = one(spark, lambda c: identifiers.identify(family, c), raw)
+    assert tuple(got)[1:] == want and one(spark, lambda c: identifiers.identify(family, c), None) is None
+
+
+def test_wallets(spark):
+    eth, btc = "0x" + "aB" * 20, "1BoatSLRHtKNngkdXEeobR76b53LETtpyT"
+    assert [tuple(x) for x in one(spark, vocabulary.wallets, f"pay {btc}, or {eth}.")] == [("ETH", eth), ("BTC", btc)]
+
+
+def test_duplicates_equal_all_pairs(spark):
+    """Against every pair, over surnames one or two letters apart and forenames of all kinds."""
+    r = random.Random(6)
+    base = ["richardson", "andersson", "oneil", "ng", "christopherson", "villanueva", "featherstonehaugh", "li"]
+    last = base + ["".join(c for i, c in enumerate(x) if i != r.randrange(len(x))) or x for x in base] + [x[0] + x[:1:-1] for x in base] + [x.replace("s", "z") for x in base] + ["x" + x[1:] for x in base]
+    rows = sorted({f"{r.choice(['ann', 'bill', 'william', 'b', 'jon', 'johnny', 'catherine', 'katherine'])} {r.choice(last)}" for _ in range(250)} | {"ann", "richardson"})
+    got = {(x["a"], x["b"]): x["score"] for x in matching.duplicate_people(spark.createDataFrame([(x,) for x in [*rows, rows[3], None, ""]], "name string")).collect()}
+    want = {(a, b): round(names.person_score(a, b), 6) for a in rows for b in rows if a < b and " " in a and " " in b and names.person_score(a, b) >= 0.85}
+    assert got == want and len(want) > 20
+
+
+def test_radius_across_the_date_line_and_at_a_pole(spark):
+    df = spark.createDataFrame([(i, float(la), float(lo)) for i, (la, lo) in enumerate((a, b) for a in range(-90, 91, 6) for b in range(-180, 180, 7))], "i int, lat double, lon double")
+    for lat, lon, km in ((10, 179, 1500), (10, -179, 1500), (84, 20, 900), (51.5, 0, 2500), (-89, 0, 400)):
+        far = analytics.haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
+        assert {x["i"] for x in analytics.within(df, lat, lon, km).collect()} == {x["i"] for x in df.where(far <= km).collect()}
+
+
 @pytest.mark.parametrize(("raw", "want"), [("07700 900123", ("+447700900123", "44", True)), ("0034 612 345 678", ("+34612345678", "34", True)), ("123456789", ("123456789", None, False)), ("12", (None, None, False)), (None, (None, None, False))])
 def test_phone_e164(spark, raw, want):
     assert tuple(one(spark, contact.phone_e164, raw)) == want
@@ -120,7 +188,7 @@ def test_sheet_and_case_folder(spark, tmp_path):
     assert [r["id"] for r in sheets.read_case_folder(spark, f"file://{tmp_path}/case", "id string").collect()] == ["1"]
 
 
-@pytest.mark.parametrize("name", ["case_summary", "tidy_text", "event_dedup", "stream_activity"])
+@pytest.mark.parametrize("name", ["case_summary", "tidy_text", "event_dedup", "stream_activity", "identifier_forms", "grade_codes", "link_styles", "subject_signals", "written_times", "duplicate_people", "canonical_name", "extract_iso_dates", "bfs_levels", "record_diff", "sequence_refs", "report_checks", "effective_share", "structure_errors", "column_kinds"])
 def test_query_equals_its_sql(spark, small, name):
     import duckdb
 

@@ -42,9 +42,9 @@ def test_parse_amount(spark):
 
 
 def test_name_similarity(spark):
-    rows = spark.createDataFrame([("martha", "marhta"), ("dwayne", "duane"), ("abcx", "abqw"), ("a", "a"), ("", "a"), (None, "a")], "a string, b string")
+    rows = spark.createDataFrame([("martha", "marhta"), ("dwayne", "duane"), ("abcx", "abqw"), ("a", "a"), ("", "a"), (None, "a"), ("SMITH", "smith"), ("", "")], "a string, b string")
     got = [r[0] for r in rows.coalesce(1).select(names.name_similarity("a", "b")).collect()]
-    assert [g if g is None else round(g, 3) for g in got] == [0.961, 0.84, 0.733, 1.0, 0.0, None]
+    assert [g if g is None else round(g, 3) for g in got] == [0.961, 0.84, 0.733, 1.0, 0.0, None, 1.0, 1.0]
 
 
 def test_upsert_and_diff(spark):
