@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkforge.functions import contact, dates, grades, identifiers, names, vocabulary
 from linkforge.operators import analytics, columns, graph, matching, mutation, recognise, resolution, search, spans, validation
+from linkforge.plans import casework  # noqa: F401
 from linkforge.plans import views as v
-from linkforge.session import ship, table
+from linkforge.plans.register import QUERIES, SQL, Query
+from linkforge.plans.register import query as _query
+from linkforge.session import table
 from linkforge.streaming import activity
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        _QUERIES[f.__name__] = run
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- report search -------------------------------------------------------------------------------
 
 FACETS = ["operation", "threat", "status", "marking", "source_types"]
@@ -762,8 +744,8 @@ def typed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
