@@ -119,7 +119,7 @@ def handoffs(reports: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """df as CSV files with all fields quoted, texts guarded against being taken for formulas."""
+    """df as CSV files with all fields quoted, texts guarded against being taken for formulas, nulls empty."""
     texts = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
     df.select(*[csv_safe(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns]).write.csv(path, header=True, quoteAll=True, escape='"')
 

@@ -113,7 +113,7 @@ def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", 1), ('say "hi"', 2), (None, 3)], "a string, b int").coalesce(1)
     exports.write_csv(rows, f"file://{tmp_path}/out")
     text = next((tmp_path / "out").glob("*.csv")).read_text()
-    assert text.splitlines() == ['"a","b"', '"\'=1+1","1"', '"say ""hi""","2"', ',"3"']
+    assert text.splitlines() == ['"a","b"', '"\'=1+1","1"', '"say ""hi""","2"', '"","3"']
     for i in (1, 2):
         exports.append_activity(spark.createDataFrame([(i,)], "i int"), f"file://{tmp_path}/log")
     assert {r["i"] for r in spark.read.json(f"file://{tmp_path}/log").collect()} == {1, 2}
