@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.llm import bpe, decontam, lang_gru, near_vectors, ngram_join, ordinal, reshard, secrets, token_files, warc
+from linkforge.llm import bpe, decontam, lang_gru, near_vectors, ngram_join, ordinal, resample, reshard, secrets, token_files, warc, whitening
 from linkforge.session import shared_dir, ship, table
 
 #: Shards of op3's layout before and after, the end id of op2, and the tail probability that op4 keeps a document at.
@@ -95,11 +95,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, samples=secrets.labelled() + secrets.found_samples(docs))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, seed=2024, percent=10, least_words=20)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """op1 to op10 and the pipeline; each ships the package to the executors first."""
+    """op1 to op13 and the pipeline; each ships the package to the executors first."""
     import corpus_pipeline
 
-    own = [op1_near_vectors, op2_token_files, op3_reshard, op4_ordinal_quality, op5_decontaminate, op6_warc, op7_bpe, op8_ngram_join, op9_language, op10_secrets]
+    own = [op1_near_vectors, op2_token_files, op3_reshard, op4_ordinal_quality, op5_decontaminate, op6_warc, op7_bpe, op8_ngram_join, op9_language, op10_secrets, op12_resample, op13_whitening]
     named = {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
     def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -142,5 +150,36 @@ FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND payload_bytes >= 1
 """
 
 
+#: CRC-32 is worked out from its polynomial: a table of 256 entries, then one step a byte of each distinct word.
+OP12_SQL = r"""
+WITH RECURSIVE step(b, k, v) AS (
+  SELECT range, 0, range::BIGINT FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8
+), crc AS (SELECT list(v ORDER BY b) AS crc_of FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT r, unnest(words) AS word FROM d), qw AS (SELECT unnest(words) AS word FROM q),
+u AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM qw)),
+h AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, crc_of[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM u, crc
+),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN h USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM qw JOIN h USING (word) GROUP BY bucket),
+g AS (
+  SELECT b.range AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM qw) + 10000))))::BIGINT AS gain
+  FROM range(10000) b LEFT JOIN s ON s.bucket = b.range LEFT JOIN t ON t.bucket = b.range
+),
+w AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN h USING (word) JOIN g USING (bucket) GROUP BY r),
+x AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (r)
+),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM x WHERE n_features >= 20) THEN place END AS rank FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op6_warc": OP6_SQL}
+    return {"op12_resample": OP12_SQL, "op1_near_vectors": OP1_SQL, "op6_warc": OP6_SQL}
