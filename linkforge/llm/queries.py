@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.llm import bpe, decontam, lang_gru, near_vectors, ngram_join, ordinal, resample, reshard, secrets, token_files, warc, whitening
+from linkforge.llm import bpe, decontam, lang_gru, near_vectors, ngram_join, ordinal, resample, reshard, secrets, suffix_dedup, token_files, warc, whitening
 from linkforge.session import shared_dir, ship, table
 
 #: Shards of op3's layout before and after, the end id of op2, and the tail probability that op4 keeps a document at.
@@ -95,6 +95,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, samples=secrets.labelled() + secrets.found_samples(docs))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, seed=2024, percent=10, least_words=20)
 
@@ -107,7 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """op1 to op13 and the pipeline; each ships the package to the executors first."""
     import corpus_pipeline
 
-    own = [op1_near_vectors, op2_token_files, op3_reshard, op4_ordinal_quality, op5_decontaminate, op6_warc, op7_bpe, op8_ngram_join, op9_language, op10_secrets, op12_resample, op13_whitening]
+    own = [op1_near_vectors, op2_token_files, op3_reshard, op4_ordinal_quality, op5_decontaminate, op6_warc, op7_bpe, op8_ngram_join, op9_language, op10_secrets, op11_suffix_dedup, op12_resample, op13_whitening]
     named = {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
     def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

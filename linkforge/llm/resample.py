@@ -103,7 +103,9 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     for part in sorted(sizes):
         begin[part], run = run, run + sizes[part]
     starts = cut.sparkSession.createDataFrame(list(begin.items()) or [(0, 0)], "_part int, _begin long")
-    return cut.join(F.broadcast(starts), "_part").withColumn(name, F.col("_begin") + F.col("_nth")).drop("_part", "_nth", "_begin")
+    out = cut.join(F.broadcast(starts), "_part").withColumn(name, F.col("_begin") + F.col("_nth")).drop("_part", "_nth", "_begin")
+    out.settled_path = cut.settled_path
+    return out
 
 
 def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", target_text: str = "text", n: int = 2, buckets: int = 10_000, seed: int = 0, percent: int = 10, least_words: int = 20) -> DataFrame:
