@@ -336,7 +336,9 @@ _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def _powers(p: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([1], np.full(max(0, n - 1), p, np.uint64))).astype(np.uint64)) if n else np.zeros(0, np.uint64)
+    steps = np.full(n, p, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
 
 
 def rims(runs: DataFrame, cut: Cut) -> DataFrame:
@@ -366,7 +368,8 @@ def rims(runs: DataFrame, cut: Cut) -> DataFrame:
             to = np.minimum(to + 1, np.searchsorted(run, run, "right"))
             sums = []
             for p in (_P1, _P2):
-                total = np.concatenate(([0], np.cumsum(c.astype(_U) * _powers(p, m)))).astype(_U)
+                total = np.zeros(m + 1, _U)
+                np.cumsum(c.astype(_U) * _powers(p, m), out=total[1:])
                 back = _powers(pow(p, -1, 1 << 64), m)
                 sums.append(((total[to] - total[from_]) * back[from_]).view(np.int64))
             keep = np.flatnonzero(able)
