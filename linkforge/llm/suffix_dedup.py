@@ -3,24 +3,24 @@
 A byte is removed when a string of `length` bytes that covers it also starts anywhere else, in the same text or another.
 
 1. Anchors. Each text is cut into phrases at anchors, places that the bytes around them decide alone: where the hash of
-   16 bytes is the least of those `radius` to the left and right, or, in stretches without such places, each place that
-   none precedes within `gap`. Every string of `length` bytes holds two anchors at least that its own bytes decide, so equal strings
-   hold the same ones. A phrase that occurs once in all texts can't lie within a repeat and is set aside.
+   16 bytes is the least of those `radius` to the left and right. A string belongs to the first anchor that its own bytes decide, so
+   equal strings belong to equal places; nearly all hold a phrase behind it. A phrase that occurs once in all texts can't lie within a
+   repeat and is set aside. Strings that hold no phrase (one letter or a short period for hundreds of bytes) are compared by
+   hash, each content once a text.
 2. Suffix array of the phrases. Of each text's phrases the places 1 and 2 modulo 3 are sampled; their triples are sorted and named, names
    are recursed on until they are told apart or reach as far as a string can; then the places 0 modulo 3 are merged in: a suffix is
    compared by its first phrases and the rank of the sampled suffix behind them. Each merge is a sort by ranges with running counts.
 3. Adjacent prefixes are compared. What two neighbours share, in whole phrases, is the longest that a suffix shares with any other; all
    strings within it are repeats.
 4. What remains are strings at the rims of shared runs, which begin or end within phrases that differ. Each belongs to one
-   anchor, so they are merged by the bytes up to and behind it, under a hash of 128 bits, with one string for each content among those
-   that step 3 has found already.
+   anchor, so they are merged by the bytes up to and behind it: first runs of 16 by what they all hold, then each string of those that met their like,
+   under a hash of 128 bits, together with one string for each content among those that step 3 has found already.
 
 Copies of one text enter once. Tasks hold one text, or 1 MB of texts, at a time; the driver holds one number a partition. No shuffle groups rows of a phrase: counts are
 aggregated, and joins on phrases can be split.
 
 Cases. Null and empty texts, and texts shorter than length, have nothing removed; a text of length bytes or more with an equal one is removed
 as a whole. Rows that repeat, also with one id or none, are copies like any others. Ids may be of any type, other columns are left alone, an empty table gives no rows.
-Texts of one letter or of short periods have an anchor at each byte and take time and space in proportion to their bytes times length.
 Phrases are told apart by 62 bits, so a false repeat needs equal hashes of different phrases in all places where two strings of length bytes differ.
 """
 
@@ -54,11 +54,12 @@ class Cut:
         if not 64 <= length <= 4096:
             raise ValueError("length must be between 64 and 4096 bytes")
         self.length, self.radius = length, length // 16
-        self.gap = (length - 2 * self.radius - WIDTH - 1) // 2
+        #: A string holds no phrase longer than this between anchors that its own bytes decide.
+        self.longest = length - 2 * self.radius - WIDTH
 
-    def anchors(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, least): all anchors in order, and which of them have the least hash around."""
-        n, r, g = len(buf), self.radius, self.gap
+    def anchors(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The places in order whose hash is less than those of radius places before and not above those of as many behind."""
+        n, r = len(buf), self.radius
         h = (_BYTES[0] >> _U(32)).astype(_W)[buf]
         step = 1
         while step < WIDTH:
@@ -77,54 +78,67 @@ class Cut:
         if n > 2 * r + WIDTH:
             mid = h[r : n - r]
             best[r : n - r] = (mid < m[: n - 2 * r]) & (mid <= m[r + 1 : n - r + 1])
-        first, last = off[:-1] + r, off[1:] - r - WIDTH  # an anchor lies from first to last
         at = np.flatnonzero(best)
         doc = np.searchsorted(off, at, "right") - 1
-        at = at[(at >= first[doc]) & (at <= last[doc])]
-        # Stretches: from before a text's first place, or from an anchor, to the next anchor or behind the last place.
-        whole = last >= first
-        begin = np.concatenate((first[whole] - 1, at))
-        end = np.concatenate((at, last[whole] + 1))
-        begin.sort()
-        end.sort()
-        wide = end - begin > g + 1
-        begin, size = begin[wide] + g + 1, (end - begin - g - 1)[wide]
-        extra = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        both = np.concatenate((at, extra))
-        order = np.argsort(both, kind="stable")
-        return both[order], (np.arange(len(both)) < len(at))[order]
+        return at[(at >= off[doc] + r) & (at <= off[doc + 1] - r - WIDTH)]
 
     def phrases(self, buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-        """Columns of one row a phrase: doc, k, a (its place in the text), n, nn (the next one's length), lo and hi
-        (the first and last string that belongs to the anchor at a), c (its name)."""
-        at, least = self.anchors(buf, off)
+        """Columns of one row a phrase: doc, k, a (its place in the text), n, nn (the next one's length), lo and hi (the
+        first and last string that belongs to the anchor at a: those that hold the phrase and no anchor before it), c (its name)."""
+        at = self.anchors(buf, off)
+        count = len(at)
         doc = np.searchsorted(off, at, "right") - 1
-        k = np.arange(len(at)) - np.searchsorted(doc, doc)
+        k = np.arange(count) - np.searchsorted(doc, doc)
         begin, end = off[doc], off[doc + 1]
-        r, g = self.radius, self.gap
-        before = np.where(least, at, -1)
-        before = np.concatenate(([-1], np.maximum.accumulate(before)[:-1])) if len(at) else before
-        before = np.maximum(before, begin + r - 1)
-        lo = np.where(least, np.maximum(before + 1, at - g) - r, at - r - g)
-        hi = np.minimum(np.where(least, at - r, at - r - g), end - self.length)
-        follows = np.append(doc[1:] == doc[:-1], False)[: len(at)]
-        n = np.where(follows, np.append(at[1:], 0)[: len(at)] - at, 0)
-        keep = np.flatnonzero(follows)
-        c = np.zeros(len(at), np.int64)
-        if len(at):
-            held = np.flatnonzero(np.repeat(follows, np.diff(np.append(at, len(buf)))))  # bytes of phrases, counted from at[0]
+        r = self.radius
+        follows = np.append(doc[1:] == doc[:-1], False)[:count]
+        n = np.where(follows, np.append(at[1:], 0)[:count] - at, NONE)
+        before = np.where(k > 0, np.append(0, at[:-1])[:count], begin + r - 1)
+        lo = np.maximum(np.maximum(before + 1 - r, at + n + r + WIDTH - self.length), begin)
+        hi = np.minimum(at - r, end - self.length)
+        keep = np.flatnonzero(n <= self.longest)
+        c = np.zeros(count, np.int64)
+        if len(keep):
             size = n[keep]
             start = np.cumsum(size) - size
-            term = _BYTES[1][buf[held + at[0]]] * _PLACES[np.arange(len(held)) - np.repeat(start, size)]
+            held = np.repeat(at[keep] - start, size) + np.arange(int(size.sum()))  # bytes of phrases
+            term = _BYTES[1][buf[held]] * _PLACES[np.arange(len(held)) - np.repeat(start, size)]
             term ^= term >> _U(29)
-            h = np.add.reduceat(term * _U(0xBF58476D1CE4E5B9), start) if len(start) else np.zeros(0, _U)
+            h = np.add.reduceat(term * _U(0xBF58476D1CE4E5B9), start)
             h = (h ^ (h >> _U(32))) * _U(0x94D049BB133111EB) + size.astype(_U)
             c[keep] = ((h ^ (h >> _U(31))) >> _U(2)).astype(np.int64) + 1
-        nn = np.append(n[1:], 0)[: len(at)]
-        nn = np.where(nn > 0, nn, NONE)
+        nn = np.append(n[1:], NONE)[:count]
+        nn = np.where(follows, nn, NONE)
         out = {"doc": doc, "k": k, "a": at - begin, "n": n, "nn": nn, "lo": lo - begin, "hi": hi - begin, "c": c}
         return {name: x[keep] for name, x in out.items()}
 
+    def bare(self, x: dict[str, np.ndarray], off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, first, last) of the runs of strings that hold no phrase, so that no anchor owns them."""
+        some = np.flatnonzero(x["lo"] <= x["hi"])
+        doc, lo, hi = x["doc"][some], x["lo"][some], x["hi"][some]
+        docs = np.flatnonzero(np.diff(off) >= self.length)
+        # Owned runs ascend and don't meet: what lies between them, before the first and behind the last.
+        all_doc = np.concatenate((doc, docs))
+        begin = np.concatenate((hi + 1, np.zeros(len(docs), np.int64)))
+        end_doc = np.concatenate((doc, docs))
+        end = np.concatenate((lo - 1, (off[docs + 1] - off[docs]) - self.length))
+        first, last = np.lexsort((begin, all_doc)), np.lexsort((end, end_doc))
+        wide = begin[first] <= end[last]
+        return all_doc[first][wide], begin[first][wide], end[last][wide]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1... for each run of a size, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def string_hashes(buf: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string of a length that starts in the given runs of places."""
+    size = count + length - 1
+    piece = buf[_ranges(begin, size)]
+    spot = _ranges(np.cumsum(size) - size, count)
+    return tuple(window_hashes(piece, length, s)[spot].view(np.int64) for s in (2, 3))
+
 
 def window_hashes(buf: np.ndarray, length: int, seed: int) -> np.ndarray:
     """A hash of each length bytes of buf: halves of powers of two are combined."""
@@ -167,8 +181,44 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+#: Values of k in the rows of parsed() that are no phrases: a text's digest; a string without phrases; a run that repeats within its text.
+HEAD, BARE, KNOWN = -1, -2, -3
+#: Strings without phrases that are hashed at a time.
+RUN = 1 << 19
+
+
+def _bare_rows(cut: Cut, x: dict[str, np.ndarray], buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc, k, place, n, g1, g2): each string without phrases once for its text and content, and the runs of those that occur twice in a text."""
+    doc, first, last = cut.bare(x, off)
+    count = last - first + 1
+    pieces = -(-count // RUN)
+    doc, part = np.repeat(doc, pieces), _ranges(np.zeros(len(doc), np.int64), pieces)
+    first, count = np.repeat(first, pieces) + part * RUN, np.minimum(RUN, np.repeat(count, pieces) - part * RUN)
+    total, begin = np.cumsum(count), 0
+    while begin < len(doc):
+        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + RUN)))
+        d, f, c = doc[begin:stop], first[begin:stop], count[begin:stop]
+        begin = stop
+        g1, g2 = string_hashes(buf, off[d] + f, c, cut.length)
+        d, i = np.repeat(d, c), _ranges(f, c)
+        order = np.lexsort((i, g2, g1, d))
+        same = (d[order][1:] == d[order][:-1]) & (g1[order][1:] == g1[order][:-1]) & (g2[order][1:] == g2[order][:-1])
+        again = np.zeros(len(d), bool)
+        again[order[1:]] |= same
+        fresh = np.sort(order[np.concatenate(([True], ~same))]) if len(order) else order
+        yield d[fresh], np.full(len(fresh), BARE), i[fresh], np.full(len(fresh), cut.length), g1[fresh], g2[fresh]
+        again[order[:-1]] |= same
+        at = np.flatnonzero(again)
+        if len(at):
+            new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (d[at][1:] != d[at][:-1]) | (i[at][1:] != i[at][:-1] + 1)))
+            b, e = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+            zero = np.zeros(len(b), np.int64)
+            yield d[b], np.full(len(b), KNOWN), i[b], i[e] - i[b] + cut.length, zero, zero
+
+
 def parsed(docs: DataFrame, text: str, cut: Cut) -> DataFrame:
-    """(tid, k, a, n, nn, lo, hi, c, digest): the phrases of all texts of length bytes; digest only in a text's first row."""
+    """(tid, k, a, n, nn, lo, hi, c, g, digest): the phrases of all texts of length bytes; and where k is HEAD a text's digest, BARE a string at a without
+    phrases with its hashes c and g, KNOWN a run of n bytes at a that repeats within its text."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a copy in one task is cut once
         for batch in batches:
@@ -176,12 +226,22 @@ def parsed(docs: DataFrame, text: str, cut: Cut) -> DataFrame:
             fresh = [not (d in seen or seen.add(d)) for d in digests]
             for part in slices(batch.filter(pa.array(fresh, pa.bool_())), "text"):
                 buf, off = raw(part.column(1))
+                tid, m = part.column(0), part.num_rows
+
+                def batch_of(doc: np.ndarray, g: np.ndarray | None = None, digest: pa.Array | None = None, tid: pa.Array = tid, **cols: np.ndarray) -> pa.RecordBatch:
+                    size = len(doc)
+                    ints = {c: pa.array(cols[c].astype(np.int32)) if c in cols else pa.nulls(size, pa.int32()) for c in ("k", "a", "n", "nn", "lo", "hi")}
+                    more = {"c": pa.array(cols["c"]) if "c" in cols else pa.nulls(size, pa.int64()), "g": pa.nulls(size, pa.int64()) if g is None else pa.array(g)}
+                    return _batch({"tid": tid.take(pa.array(doc)), **ints, **more, "digest": pa.nulls(size, pa.binary()) if digest is None else digest})
+
+                yield batch_of(np.arange(m), digest=part.column(2), k=np.full(m, HEAD))
                 x = cut.phrases(buf, off)
-                heads = pa.array(x["doc"], mask=x["k"] != 0)
-                yield _batch({"tid": part.column(0).take(pa.array(x["doc"])), **{c: pa.array(x[c].astype(np.int32)) for c in ("k", "a", "n", "nn", "lo", "hi")}, "c": pa.array(x["c"]), "digest": part.column(2).take(heads)})
+                yield batch_of(x["doc"], **{c: x[c] for c in ("k", "a", "n", "nn", "lo", "hi", "c")})
+                for doc, k, i, n, g1, g2 in _bare_rows(cut, x, buf, off):
+                    yield batch_of(doc, g2, k=k, a=i, n=n, c=g1)
 
     long_enough = docs.where(F.octet_length(text) >= cut.length).select(F.monotonically_increasing_id().alias("tid"), F.col(text).alias("text"), F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("digest"))
-    return long_enough.mapInArrow(rows, "tid long, k int, a int, n int, nn int, lo int, hi int, c long, digest binary")
+    return long_enough.mapInArrow(rows, "tid long, k int, a int, n int, nn int, lo int, hi int, c long, g long, digest binary")
 
 
 def counted(df: DataFrame, order: list[Column], flag: str) -> DataFrame:
@@ -254,7 +314,7 @@ def suffix_ranks(symbols: DataFrame, need: int) -> DataFrame:
     here = zero.select("tid", "q", "j", (F.col("nth") + F.col("before")).alias("rank"))
     rest = [x.where("sampled").select("tid", "q", "j", (F.col("rank") - 1 + F.col("nth") - F.col("before")).alias("rank")) for x in (one, two)]
     out = settled(here.unionByName(rest[0]).unionByName(rest[1]), "suffixes")
-    release(triples, at, one, two)
+    release(named, ranks, triples, at, one, two)
     return out
 
 
@@ -263,7 +323,7 @@ def shared_runs(phrases: DataFrame, cut: Cut) -> DataFrame:
     as far as it matters, and after: the length of the phrase behind it."""
     more = F.coalesce(F.lead("k").over(Window.partitionBy("tid").orderBy("k")) == F.col("k") + 1, F.lit(False))
     strings = settled(phrases.select("tid", F.lit(0).cast("long").alias("q"), F.col("k").alias("j"), "c", more.alias("more"), F.col("n").alias("span")), "strings")
-    ranks = suffix_ranks(strings, cut.length + 3 * (cut.gap + 1))
+    ranks = suffix_ranks(strings, cut.length + 3 * cut.longest)
     placed = numbered(ranks.select("tid", F.col("j").alias("k"), "rank"), [F.col("rank"), F.col("tid"), F.col("k")], "place")
     rows = phrases.join(placed.select("tid", "k", "place"), ["tid", "k"]).repartition("tid").sortWithinPartitions("tid", "k")
     size = 1 << 12
@@ -324,7 +384,7 @@ def shared_runs(phrases: DataFrame, cut: Cut) -> DataFrame:
             yield _batch({**own, "common": pa.array(common.astype(np.int32)), "after": pa.array(after.astype(np.int32)), "edge": pa.array(place % size == 0)})
 
     found = settled(dealt.mapInArrow(compared, "tid long, k int, a int, n int, nn int, lo int, hi int, c long, common int, after int, edge boolean"), "compared")
-    release(strings, ranks)
+    release(strings, ranks, placed)
     own = ["tid", "k", "a", "n", "nn", "lo", "hi", "c"]
     twice = found.where("edge").groupBy(*own).agg(F.max(F.struct("common", "after")).alias("m")).select(*own, "m.common", "m.after")
     out = found.where("not edge").drop("edge").unionByName(twice)
@@ -380,9 +440,17 @@ def rims(runs: DataFrame, cut: Cut) -> DataFrame:
     return by_text.mapInArrow(rows, "tid long, a long, lo long, hi long, c long, inside boolean, h1 long, h2 long, left long, right long")
 
 
-def strings_of(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
-    """(tid, i, g1, g2): the hash of each string that starts in a range of its text; ranges (tid, lo, hi)."""
-    wanted = ranges.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+#: Strings of an anchor that are judged together by the bytes they all hold.
+BLOCK = 16
+
+
+def strings_of(texts: DataFrame, ranges: DataFrame, length: int, block: int = 1) -> DataFrame:
+    """(tid, lo, hi, b, g1, g2, u) for the strings that start in a range (tid, a, lo, hi) of their text.
+
+    Runs of block strings, counted by their distance from the anchor a, are one row each with the hash of what they all hold: equal strings lie in runs of one
+    number b and one hash. u is the hash of all that a whole run covers, null for a part of one. With block 1 the hash is each string's own.
+    """
+    wanted = ranges.groupBy("tid").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("ranges"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,19 +459,41 @@ def strings_of(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
                 spots = part.column(2)
                 each = np.repeat(np.arange(part.num_rows), np.diff(spots.offsets.to_numpy()))
                 inner = spots.flatten()
-                lo, hi = (inner.field(x).to_numpy(zero_copy_only=False) for x in (0, 1))
+                anchor, lo, hi = (inner.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in range(3))
+                first, last = (anchor - hi) // block, (anchor - lo) // block
                 for at in range(0, len(lo), 4096):
-                    d, x, y = each[at : at + 4096], lo[at : at + 4096], hi[at : at + 4096]
-                    size = y - x + length
-                    begin = np.cumsum(size) - size
-                    piece = buf[np.repeat(off[d] + x - begin, size) + np.arange(int(size.sum()))]
-                    count = y - x + 1
-                    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    spot = np.repeat(begin, count) + nth
-                    g1, g2 = (window_hashes(piece, length, s)[spot].view(np.int64) for s in (2, 3))
-                    yield _batch({"tid": part.column(0).take(pa.array(np.repeat(d, count))), "i": pa.array((np.repeat(x, count) + nth).astype(np.int32)), "g1": pa.array(g1), "g2": pa.array(g2)})
-
-    return texts.join(wanted, "tid").select("tid", "text", "ranges").mapInArrow(rows, "tid long, i int, g1 long, g2 long")
+                    d, x, y, p, u = (v[at : at + 4096] for v in (each, lo, hi, anchor, first))
+                    count = last[at : at + 4096] - u + 1
+                    # One piece of the text for each range, with the bytes that whole runs need on either side.
+                    begin = np.maximum(off[d], off[d] + x - block + 1)
+                    size = np.minimum(off[d + 1], off[d] + y + length + block - 1) - begin
+                    piece, shift = buf[_ranges(begin, size)], np.cumsum(size) - size - begin
+                    d, x, y, p, shift = (np.repeat(v, count) for v in (d, x, y, p, shift))
+                    b = _ranges(u, count)
+                    place = off[d] + p - block * b  # the last string of a run, and so the first byte that all of them hold
+                    g1, g2 = (window_hashes(piece, length - block + 1, seed)[place + shift].view(np.int64) for seed in (2, 3))
+                    whole = (p - block * b - block + 1 >= x) & (p - block * b <= y) & (block > 1)
+                    u1 = np.zeros(len(b), np.int64)
+                    if whole.any():
+                        u1[whole] = window_hashes(piece, length + block - 1, 2)[(place + shift - block + 1)[whole]].view(np.int64)
+                    cols = {"lo": np.maximum(x, p - block * b - block + 1), "hi": np.minimum(y, p - block * b), "b": b}
+                    yield _batch({"tid": part.column(0).take(pa.array(d)), **{k: pa.array(v.astype(np.int32)) for k, v in cols.items()}, "g1": pa.array(g1), "g2": pa.array(g2), "u": pa.array(u1, mask=~whole)})
+
+    return texts.join(wanted, "tid").select("tid", "text", "ranges").mapInArrow(rows, "tid long, lo int, hi int, b int, g1 long, g2 long, u long")
+
+
+def judged(blocks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(spans, ranges) of runs from strings_of(): the spans (tid, s, e) of whole runs that occur twice, and the ranges (tid, a, lo, hi) of runs whose common part
+    occurs with different surroundings, one for each of these, whose strings are still to be compared."""
+    core = ["g1", "g2", "b"]
+    # A part of a run stands for itself.
+    own = F.coalesce(F.col("u"), F.xxhash64("tid", "lo"))
+    kinds = blocks.groupBy(*core, own.alias("own")).agg(F.count("*").alias("held"), F.min(F.struct("tid", "lo", "hi")).alias("m"))
+    kinds = settled(kinds, "kinds")
+    several = kinds.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1").select(*core)
+    left = kinds.join(several, core, "left_semi").select("m.tid", F.col("m.hi").alias("a"), "m.lo", "m.hi")
+    twice = blocks.withColumn("own", own).join(kinds.where("held > 1").select(*core, "own"), [*core, "own"], "left_semi")
+    return twice.select("tid", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")), left
 
 
 def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -459,26 +549,34 @@ def repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str =
     """
     cut = Cut(length)
     table = settled(parsed(docs, text, cut), "phrases")
-    first = table.where(F.col("digest").isNotNull())
-    keep = settled(first.groupBy("digest").agg(F.min("tid").alias("tid")), "texts")
-    often = table.groupBy("c").count().where("count > 1").select("c")
-    again = table.drop("digest").join(often, "c", "left_semi").join(keep.select("tid"), "tid", "left_semi")
+    keep = settled(table.where(F.col("k") == HEAD).groupBy("digest").agg(F.min("tid").alias("tid")), "texts")
+    phrases = table.where("k >= 0")
+    often = phrases.groupBy("c").count().where("count > 1").select("c")
+    again = phrases.join(often, "c", "left_semi").join(keep.select("tid"), "tid", "left_semi")
     again = settled(again.select("tid", "k", "a", "n", "nn", "lo", "hi", "c"), "repeated")
+    others = settled(table.where(F.col("k").isin(BARE, KNOWN)).select("tid", "k", "a", "n", F.col("c").alias("g1"), F.col("g").alias("g2")).join(keep.select("tid"), "tid", "left_semi"), "bare")
     release(table)
     runs = shared_runs(again, cut)
     anchors = settled(rims(runs, cut), "rims")
+    # Strings without phrases meet only their like.
+    bare = others.where(F.col("k") == BARE)
+    lone = bare.join(bare.groupBy("g1", "g2").count().where("count > 1").select("g1", "g2"), ["g1", "g2"], "left_semi").select("tid", F.col("a").alias("s"), (F.col("a") + length).alias("e"))
     outer = anchors.where("not inside")
     # One of each content among the strings that are known to repeat, where a rim starts with the same phrase.
     inner = anchors.where("inside").join(outer.select("c").distinct(), "c", "left_semi")
-    inner = inner.groupBy("h1", "h2", "left", "right").agg(F.min(F.struct("tid", "lo", "hi")).alias("m")).select("m.tid", "m.lo", "m.hi")
-    ranges = settled(outer.select("tid", "lo", "hi").unionByName(inner), "ranges")
+    inner = inner.groupBy("h1", "h2", "left", "right").agg(F.min(F.struct("tid", "a", "lo", "hi")).alias("m")).select("m.tid", "m.a", "m.lo", "m.hi")
+    ranges = settled(outer.select("tid", "a", "lo", "hi").unionByName(inner), "ranges")
     known = runs.where(F.col("common") >= length).select("tid", F.col("a").alias("s"), (F.col("a") + F.col("common")).alias("e"))
-    wanted = keep.join(ranges.select("tid").unionByName(known.select("tid")).distinct(), "tid")
+    known = known.unionByName(others.where(F.col("k") == KNOWN).select("tid", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e")))
+    wanted = keep.join(ranges.select("tid").unionByName(known.select("tid")).unionByName(lone.select("tid")).distinct(), "tid")
     texts = settled(texts_of(docs, text, settled(wanted.select("tid", "digest"), "wanted")), "texts")
-    strings = settled(strings_of(texts, ranges, length), "strings")
-    twice = strings.groupBy("g1", "g2").count().where("count > 1").select("g1", "g2")
-    met = strings.join(twice, ["g1", "g2"], "left_semi").select("tid", F.col("i").alias("s"), (F.col("i") + length).alias("e"))
-    spans = known.unionByName(met)
+    blocks = settled(strings_of(texts, ranges, length, BLOCK), "blocks")
+    runs_, left = judged(blocks, length)
+    strings = settled(strings_of(texts, left, length), "strings")
+    same = ["g1", "g2"]
+    again_ = strings.join(strings.groupBy(*same).count().where("count > 1").select(*same), same, "left_semi")
+    rim = again_.select("tid", F.col("lo").alias("s"), (F.col("lo") + length).alias("e"))
+    spans = known.unionByName(rim).unionByName(runs_).unionByName(lone)
     parts = removed(texts, spans)
     # A text with copies repeats as a whole.
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
@@ -486,7 +584,7 @@ def repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).alias("key"), size.alias("n_bytes"), digest.alias("digest"))
     copies = rows.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
     facts = settled(copies.join(parts.withColumn("digest", F.lower(F.hex("digest"))), "digest", "full"), "facts")
-    release(keep, again, runs, anchors, ranges, texts, strings)
+    release(keep, again, others, runs, anchors, ranges, texts, blocks, strings)
     at = rows.join(facts, "digest", "left")
     whole = F.col("copies").isNotNull()
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
