@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkforge.llm import bpe, decontam, lang_gru, ngram_join, secrets
+from linkforge.llm.text import fresh
 from linkforge.session import settled, ship, table
 
 #: The share of noise, a class of the language network, from which on a document is in no language. At a half, of 3,000 held-out
@@ -29,25 +30,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     net = lang_gru.train(*lang_gru.sample(docs))
-    found = lang_gru.predict(docs, net)
-    return found.where((F.col("lang_pred") != "und") & (F.col("noise") < NOISE)).select(*docs.columns)
+    pred, score, noise = (fresh(name, docs.columns) for name in ("lang_pred", "score", "noise"))
+    found = lang_gru.predict(docs, net, out=(pred, score, noise))
+    return found.where((F.col(pred) != "und") & (F.col(noise) < NOISE)).select(*docs.columns)
+
+
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each content of doc_id and text: what stages decide by, so that no row stands in for another of its id."""
+    mark = fresh("mark", docs.columns)
+    return docs.withColumn(mark, F.xxhash64(F.lit(29), "doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())), mark
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near copies (five words, similarity 0.8); rows without an id stay."""
+    """One document of each group of near copies (five words, similarity 0.8): that of the least doc_id; rows without one stay.
+
+    A document that occurs in several rows of one doc_id and text stays once; different texts of one doc_id are documents of their own.
+    """
     ship(spark)
-    found = ngram_join.jaccard_components(docs, n=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # A document that occurs in several equal rows stays once.
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    marked, mark = _marked(docs)
+    slim = marked.select(F.col(mark).alias("doc_id"), F.col("text"))
+    found = ngram_join.jaccard_components(slim, n=5, num=80, den=100).select(F.col("doc_id").alias("mark"), "component_id").distinct()
+    ids = marked.select(F.col(mark).alias("mark"), "doc_id").distinct()
+    found = settled(found.join(ids, "mark"), "near")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    stays = found.groupBy("component_id").agg(F.min_by("mark", order).alias("mark")).select(F.col("mark").alias(mark))
+    kept = marked.where("doc_id is not null").join(stays, mark, "left_semi").dropDuplicates([mark])
+    return kept.unionByName(marked.where("doc_id is null")).select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     ship(spark)
-    found = settled(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    marked, mark = _marked(docs)
+    found = decontam.contaminated(marked.select(F.col(mark).alias("doc_id"), F.col("text")), table(spark, sf_dir, "benchmark"))
+    found = settled(found.select(F.col("doc_id").alias(mark)).distinct(), "contaminated")
+    return marked.join(found, mark, "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,9 +255,13 @@ def held_out(key: str = "doc_id"):  # noqa: ANN201
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def predict(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in keep with lang_pred, score (the share of that language) and noise (the share of none)."""
-    names = docs.columns if keep is None else keep
+def predict(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None, out: tuple[str, str, str] = ("lang_pred", "score", "noise")) -> DataFrame:
+    """docs' columns in keep with lang_pred, score (the share of that language) and noise (the share of none), under the names in out.
+
+    Kept columns that have one of these names, in any case, are replaced.
+    """
+    taken = {x.lower() for x in out}
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +285,8 @@ def predict(docs: DataFrame, net: Network, text: str = "text", keep: list[str] |
                 lang = [model.langs[b] if o else "und" for b, o in zip(best, ok)]
                 score = np.round(np.clip(np.where(ok, p.max(1), 0.0), 0, 1), 5)  # what lies beyond depends on which texts run together
                 cols = [part.column(part.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(np.clip(odd, 0, 1).astype(float))], names=[*names, "lang_pred", "score", "noise"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(np.clip(odd, 0, 1).astype(float))], names=[*names, *out])
 
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("noise", "double")
+    schema = docs.select(*names).schema.add(out[0], "string").add(out[1], "double").add(out[2], "double")
     source = docs if text in names else docs.select(*names, text)
     return source.mapInArrow(run, schema)

@@ -102,6 +102,14 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores until no column has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """Numpy arrays as a list column."""
     off = np.zeros(len(parts) + 1, np.int32)
