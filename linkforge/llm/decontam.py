@@ -30,6 +30,8 @@ _U = np.uint64
 _WORD = np.array([chr(c).isalnum() or c == 95 for c in range(128)] + [False] * 128)
 #: Pattern bytes, edits allowed a byte, q, the least benchmark text that may have edits, and benchmark bytes in a block.
 PATTERN, RATE, Q, LEAST, BLOCK_BYTES = 128, 0.08, 10, 50, 4 << 20
+#: Hits of q-grams that are open at a time.
+HITS = 1 << 20
 
 
 def normal(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def letters(buf: np.ndarray) -> np.ndarray:
 class Patterns:
     """Patterns of a block of benchmark texts and an index of their q-grams; then the texts too short for edits, by length."""
 
-    items: list  # of patterns, then of short texts
+    items: list  # of patterns, each a list of the items that hold it; then of short texts
     texts: list[np.ndarray]
     edits: np.ndarray
     gram: np.ndarray  # sorted
@@ -91,7 +93,7 @@ class Patterns:
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Patterns:
-        items, texts, few = [], [], []
+        items, texts, few, known = [], [], [], {}
         for item, text in rows:
             b, _ = normal(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
             b = b[1:] if len(b) and b[0] == 32 else b
@@ -102,8 +104,11 @@ class Patterns:
                 continue
             starts = [*range(0, max(1, len(b) - PATTERN), PATTERN // 2), max(0, len(b) - PATTERN)]
             for s in sorted(set(starts)):
-                items.append(item)
-                texts.append(b[s : s + PATTERN])
+                t = b[s : s + PATTERN]
+                if (k := known.setdefault(t.tobytes(), len(texts))) == len(texts):
+                    items.append([])
+                    texts.append(t)
+                items[k].append(item)
         found = [grams(t) for t in texts]
         gram = np.concatenate(found) if found else np.zeros(0, np.uint64)
         order = np.argsort(gram, kind="stable")
@@ -120,7 +125,7 @@ class Patterns:
             h = np.concatenate([grams(few[n][1], size) for n in mine])
             by_hash = np.argsort(h, kind="stable")
             short[size] = h[by_hash], len(items) + np.array(mine)[by_hash], np.stack([few[n][1] for n in mine])[by_hash]
-        items += [item for item, _ in few]
+        items += [[item] for item, _ in few]
         return cls(items, texts, edits, gram[order], owner[order].astype(np.int64), place[order].astype(np.int64), flags, short)
 
 
@@ -200,22 +205,37 @@ def edited(p: Patterns, text: np.ndarray, off: np.ndarray) -> list[tuple[int, in
     at, lo, n, doc = at[fit], lo[fit], n[fit], doc[fit]
     if not len(at):
         return []
-    entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    pos, d = np.repeat(at, n), np.repeat(doc, n)
-    who = p.owner[entry]
-    diagonal = pos - p.place[entry]
     span = int(p.edits.max()) + 1
     shift = PATTERN // span + 2  # a passage may begin before the slice's first byte
-    band = diagonal // span + shift
-    out, seen = [], set()
     size = np.array([len(t) for t in p.texts])
     bound = np.maximum(1, size - Q + 1 - Q * p.edits)
-    # A region within e edits moves over at most e diagonals, so it lies in one of two overlapping bands.
     patterns, bands = len(p.texts), int(len(text) // span) + shift + 3
-    both, docs = np.concatenate((band + 1, band)), np.concatenate((d, d))
-    key, count = np.unique((docs * bands + both) * patterns + np.concatenate((who, who)), return_counts=True)
-    key = key[count >= bound[key % patterns]]
-    for k in key.tolist():
+
+    def regions() -> Iterator[int]:
+        """Numbers of (document, band, pattern) with enough hits. Hits are opened in runs of about HITS of ascending places, and a band is
+        judged as soon as no later place can hit it, so that repetitive texts take time but no memory."""
+        total = np.cumsum(n)
+        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin = 0
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(total, total[begin] + HITS)))
+            m = n[begin:stop]
+            entry = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[begin:stop], m)
+            band = (np.repeat(at[begin:stop], m) - p.place[entry]) // span + shift
+            base, who = np.repeat(doc[begin:stop], m) * bands, p.owner[entry]
+            # A region within e edits moves over at most e diagonals, so it lies in one of two overlapping bands.
+            new = np.concatenate(((base + band + 1) * patterns + who, (base + band) * patterns + who))
+            u, c = np.unique(new, return_counts=True)
+            held, back = np.unique(np.concatenate((held, u)), return_inverse=True)
+            counts = np.bincount(back, np.concatenate((counts, c)), len(held)).astype(np.int64)
+            begin = stop
+            done = np.ones(len(held), bool) if begin == len(at) else held // patterns % bands < (at[begin] - PATTERN) // span + shift
+            found = done & (counts >= bound[held % patterns])
+            yield from held[found].tolist()
+            held, counts = held[~done], counts[~done]
+
+    out, seen = [], set()
+    for k in regions():
         i, b, dd = k % patterns, k // patterns % bands - 1, k // patterns // bands
         if (dd, i) in seen:
             continue
@@ -263,9 +283,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 for part in slices(batch, text):
                     best: dict[tuple[int, int], list[int]] = {}
                     for d, i, e, end in search(p, *raw(part.column(1))):
-                        was = best.setdefault((d, p.items[i]), [0, e, end])
-                        was[0] += 1
-                        was[1], was[2] = min(was[1], e), min(was[2], end)
+                        for who in p.items[i]:
+                            was = best.setdefault((d, who), [0, e, end])
+                            was[0] += 1
+                            was[1], was[2] = min(was[1], e), min(was[2], end)
                     ids = part.column(0).take(pa.array([d for d, _ in best], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
                         [ids, pa.array([i for _, i in best], item_type), *(pa.array([v[k] for v in best.values()], t) for k, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int64())))],
