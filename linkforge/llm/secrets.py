@@ -18,6 +18,7 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,12 +122,20 @@ class Markov:
 def spans(text: str, model: Markov) -> list[Span]:
     """All spans by start, then by kind as listed in KINDS."""
     out = base_spans(text)
-    taken = sorted((s, e) for _, s, e in out)
+    # Base spans as runs that don't touch, so that one search tells whether a candidate meets any.
+    begin, end = [], []
+    for s, e in sorted((s, e) for _, s, e in out):
+        if end and s < end[-1]:
+            end[-1] = max(end[-1], e)
+        else:
+            begin.append(s)
+            end.append(e)
     for m in CANDIDATE.finditer(text):
         run = m[0]
         if DIGIT(run) and ALPHA(run) and model.score(run) > model.threshold:
             s, e = m.span()
-            if not any(a < e and s < b for a, b in taken):
+            k = bisect_right(end, s)
+            if k == len(begin) or begin[k] >= e:
                 out.append(("random", s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
