@@ -152,14 +152,15 @@ class MultiIndex:
         return home, np.array(who, np.int64), np.array(cells, np.int64)
 
 
-def _usable(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(id, label, dim, h1, h2, v): rows that can link; h1 and h2: two hashes of the vector."""
+def _hashed(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(id, label, dim, h1, h2, v) of every row; h1 and h2: two hashes of the vector. All but id are null in rows that link with nothing."""
     v = F.col(vector)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
     stored = v if df.schema[vector].dataType.simpleString() in ("array<float>", "array<double>") else v.cast("array<double>")
-    rows = df.where(F.col(label).isNotNull() & F.col(key).isNotNull() & fine & some)
-    return rows.select(F.col(key).alias("id"), F.col(label).alias("label"), F.size(v).alias("dim"), F.xxhash64(stored).alias("h1"), F.xxhash64(F.lit(1), stored).alias("h2"), stored.alias("v"))
+    ok = F.col(label).isNotNull() & F.col(key).isNotNull() & fine & some
+    cols = {"label": F.col(label), "dim": F.size(v), "h1": F.xxhash64(stored), "h2": F.xxhash64(F.lit(1), stored), "v": stored}
+    return df.select(F.col(key).alias("id"), *(F.when(ok, c).alias(name) for name, c in cols.items()))
 
 
 @dataclass
@@ -256,19 +257,24 @@ class Region:
 
 
 def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 1.0, cells: int | None = None) -> DataFrame:
-    """One row per row of df: (key, n_links, component_id, kept)."""
+    """One row per row of df: (key, n_links, component_id, kept).
+
+    Rows are nodes of their own: where one id comes with several vectors or labels, each of its rows has its own links, and component_id is the
+    least id that the row reaches.
+    """
     spark = df.sparkSession
-    id_kind, label_kind = df.schema[key].dataType.simpleString(), df.schema[label].dataType.simpleString()
-    usable = _usable(df, key, vector, label)
+    id_kind, label_kind = "bigint", df.schema[label].dataType.simpleString()
+    hashed = _hashed(df, key, vector, label)
+    usable = hashed.where("h1 is not null")
     stored = np.float32 if usable.schema["v"].dataType.simpleString() == "array<float>" else np.float64
-    whole = usable.groupBy("label", "dim", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v"))
-    whole = settled(whole, "vectors")
+    whole = usable.groupBy("label", "dim", "h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("m"), F.first("v").alias("v"))
+    whole = settled(whole.withColumn("rep", F.monotonically_increasing_id()), "vectors")  # a number for each vector, fixed by writing
     rows = whole.count()
     lengths = whole.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()
     indexes: dict[int, MultiIndex] = {}
     for dim, n in ((r["dim"], r["count"]) for r in lengths):
         these = whole.where(F.col("dim") == dim)
-        picked = least_hashes(these.select("label", "v", F.xxhash64("rep").alias("h")), these, SAMPLE).collect()  # a bounded sample
+        picked = least_hashes(these.select("label", "v", F.xxhash64("h1", "h2").alias("h")), these, SAMPLE).collect()  # a bounded sample
         x = np.array([r["v"] for r in picked], float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         most = int(min(512, max(4, 2 ** round(np.log2(max(1.0, n / 200)) / 2))))
@@ -374,7 +380,7 @@ def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vec
                     now, region = keys[lo][:4], None
                 for at in range(lo, hi, 1024):
                     part = batch.slice(at, min(1024, hi - at))
-                    rep = np.array(part.column(5).to_pylist(), object if id_kind == "string" else np.int64)
+                    rep = np.array(part.column(5).to_pylist(), np.int64)
                     u = unit(np.frombuffer(b"".join(part.column(9).to_pylist()), stored).reshape(part.num_rows, -1))
                     run = (rep, part.column(6).to_numpy(zero_copy_only=False).astype(float), part.column(7).to_numpy(zero_copy_only=False).astype(np.int64), u, part.column(8).to_pylist())
                     if keys[lo][4] == 0:
@@ -389,13 +395,14 @@ def near_duplicates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vec
             region = settle()
         yield from results()
 
-    id_arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[id_kind]
+    id_arrow = pa.int64()
     found = settled(tasks.mapInArrow(compare, f"rep {id_kind}, n long, src {id_kind}, dst {id_kind}"), "links")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     label_of = connected_components(found.where("src is not null"))
     same = ["label", "dim", "h1", "h2"]
-    reps = whole.select(*same, "rep", "m").join(counts, "rep", "left").join(label_of, F.col("rep") == F.col("node"), "left")
-    reps = reps.select(*same, (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rows_ = usable.select("id", *same).join(reps, same).select("id", "n_links", "component_id").distinct()
-    out = df.select(key).join(rows_, F.col(key) == F.col("id"), "left")
-    return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", key).alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+    reps = whole.select(*same, "rep", "m", "least").join(counts, "rep", "left").join(label_of, F.col("rep") == F.col("node"), "left")
+    reps = reps.select(*same, (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("comp"), "least")
+    least_of = reps.groupBy("comp").agg(F.min("least").alias("component_id"))
+    out = hashed.select("id", *same).join(reps.drop("least").join(least_of, "comp"), same, "left")
+    out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
