@@ -36,7 +36,7 @@ def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = reshard.reshard(docs, SHARDS, old, OLD_SHARDS)
     path = shared_dir(spark, "shards")
     reshard.write_shards(placed, path)
-    files = reshard.with_slots(spark.read.parquet(path))
+    files = reshard.with_slots(spark.read.parquet(path))  # the columns of documents again
     return files.select(
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("old_shard").cast("int").alias("old_shard"),

@@ -8,76 +8,57 @@ the flow cuts that line into runs: first what stays, then what goes to each new
 row belongs to the run in which it begins. Only rows of shards that give or take anything are
 written again.
 
-Nulls: a null text has no bytes. Rows with a null key lie together in one block of shard 0 and
-keep an order by text. Rows repeated whole are rows like any other, and so are rows that tie in key,
-size and text: any order among them is right. Columns size, old_shard, shard and slot are set anew;
-all others are kept.
+Nulls: a null text has no bytes. Rows with a null key are dealt to blocks by their text. Rows repeated whole are rows like any
+other, and so are rows that tie in key, size and text: any order among them is right. Columns size, old_shard, shard and slot
+are set anew; all others are kept, whatever their names, since they travel as one struct.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkforge.llm.text import fresh
 from linkforge.session import settled
 
+#: Columns that are set anew.
+SET = ("size", "old_shard", "shard", "slot")
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
-    """{(old, new): bytes} of a cheapest flow by successive shortest paths; staying costs 0, moving 1.
+    """{(old, new): bytes} of a cheapest flow; staying costs 0, moving 1.
 
-    Supplies must not exceed the capacities together. Old and new shards of one number are one
-    place. Nodes: source, old shards, new shards, sink.
+    Supplies must not exceed the capacities together. Old and new shards of one number are one place. Successive shortest
+    paths come in two phases: first those of cost 0, which are old shard, same new shard; then those of cost 1. In between no path gets cheaper
+    by taking back what stays, since that frees a place at the price of another move. In the second phase all paths cost the same,
+    so a sweep over what is left of both sides fills them; time is linear in the shards.
     """
     if sum(supply) > sum(capacity):
         raise ValueError("the capacities hold less than the supplies")
-    n, m = len(supply), len(capacity)
-    source, sink = n + m, n + m + 1
-    room: dict[int, dict[int, int]] = defaultdict(dict)
-    cost: dict[tuple[int, int], int] = {}
-
-    def arc(u: int, v: int, cap: int, price: int) -> None:
-        room[u][v], room[v][u] = cap, 0
-        cost[u, v], cost[v, u] = price, -price
-
-    for i, s in enumerate(supply):
-        arc(source, i, s, 0)
-        for j in range(m):
-            arc(i, n + j, s, int(i != j))
-    for j, c in enumerate(capacity):
-        arc(n + j, sink, c, 0)
-    lift = [0] * (n + m + 2)
-    while True:
-        dist, via, queue = {source: 0}, {}, [(0, source)]
-        while queue:
-            d, u = heapq.heappop(queue)
-            if d > dist[u]:
-                continue
-            for v, r in room[u].items():
-                if r > 0:
-                    e = d + cost[u, v] + lift[u] - lift[v]
-                    if e < dist.get(v, 1 << 60):
-                        dist[v], via[v] = e, u
-                        heapq.heappush(queue, (e, v))
-        if sink not in dist:
-            break
-        for u in range(n + m + 2):
-            lift[u] += min(dist.get(u, dist[sink]), dist[sink])
-        path, v = [], sink
-        while v != source:
-            path.append((via[v], v))
-            v = via[v]
-        push = min(room[u][v] for u, v in path)
-        for u, v in path:
-            room[u][v] -= push
-            room[v][u] += push
-    return {(i, j): room[n + j][i] for i in range(n) for j in range(m) if room[n + j][i] > 0}
+    flow = {}
+    left, room = list(supply), list(capacity)
+    for i in range(min(len(left), len(room))):
+        stays = min(left[i], room[i])
+        left[i] -= stays
+        room[i] -= stays
+        if stays:
+            flow[i, i] = stays
+    j = 0
+    for i, give in enumerate(left):
+        while give:
+            while not room[j]:
+                j += 1
+            push = min(give, room[j])
+            flow[i, j] = flow.get((i, j), 0) + push
+            give -= push
+            room[j] -= push
+    return flow
 
 
 def text_size(text: str = "text") -> Column:
@@ -107,7 +88,7 @@ def cuts(flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
 
 
 def reshard(df: DataFrame, shards: int, old: Column, old_shards: int, key: str = "doc_id", text: str = "text", blocks: int | None = None) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """(df with size, old_shard, shard and slot; the flow that gave them).
+    """(row, a struct of df's columns, with size, old_shard, shard, and what with_slots() makes slots of; the flow that gave them).
 
     old: each row's shard before, 0 to old_shards - 1. Sizes of the new shards are equal but for
     the row that crosses each cut. slot counts a shard's rows from 0 without gaps. blocks: blocks
@@ -117,12 +98,13 @@ def reshard(df: DataFrame, shards: int, old: Column, old_shards: int, key: str =
     spark = df.sparkSession
     if blocks is None:
         blocks = max(16, -(-8 * int(spark.conf.get("spark.sql.shuffle.partitions")) // old_shards))
-    tag = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(blocks)).cast("int")
-    sized = df.withColumns({"size": text_size(text), "old_shard": old.cast("int"), "_block": F.coalesce(F.when(F.col(key).isNotNull(), tag), F.lit(0))})
+    tag = F.pmod(F.xxhash64(F.lit(7), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))), F.lit(blocks)).cast("int")
+    kept = [c for c in df.columns if c.lower() not in SET or c in (key, text)]
+    sized = df.select(F.struct(*kept).alias("row"), F.col(key).alias("_key"), F.crc32(F.col(text).cast("binary")).alias("_crc"), text_size(text).alias("size"), old.cast("int").alias("old_shard"), tag.alias("_block"))
     leads, flow = plan(sized.select("old_shard", "_block", "size"), shards, "size", "old_shard", old_shards, blocks)
     # A fixed number of blocks: old_shards * blocks rows, whatever the input's size.
     placed = sized.join(F.broadcast(leads), ["old_shard", "_block"])
-    order = Window.partitionBy("old_shard", "_block").orderBy(F.col(key), F.col("size"), F.crc32(F.col(text).cast("binary")))
+    order = Window.partitionBy("old_shard", "_block").orderBy("_key", "size", "_crc")
     begin = F.col("_lead") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     where = F.lit(None).cast("int")
     by_old = defaultdict(list)
@@ -134,15 +116,15 @@ def reshard(df: DataFrame, shards: int, old: Column, old_shards: int, key: str =
     placed = placed.withColumn("_begin", begin).withColumn("shard", where)
     runs = Window.partitionBy("old_shard", "_block", "shard").orderBy("_begin")
     placed = placed.withColumn("_rank", F.row_number().over(runs))
-    return placed.drop("_lead", "_begin"), flow
+    return placed.drop("_lead", "_begin", "_key", "_crc"), flow
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
-    """slot: a row's number in its new shard, from the counts of the blocks before its own; drops block and rank."""
+    """df's columns with size, old_shard, shard and slot: a row's number in its new shard, from the counts of the blocks before its own."""
     counts = placed.groupBy("shard", "old_shard", "_block").agg(F.max("_rank").alias("n"))
     first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = settled(counts.withColumn("_first", first).select("shard", "old_shard", "_block", "_first"), "slots")
-    return placed.join(F.broadcast(starts), ["shard", "old_shard", "_block"]).withColumn("slot", (F.col("_first") + F.col("_rank") - 1).cast("long")).drop("_first", "_rank", "_block")
+    return placed.join(F.broadcast(starts), ["shard", "old_shard", "_block"]).withColumn("slot", (F.col("_first") + F.col("_rank") - 1).cast("long")).select("row.*", "size", "old_shard", "shard", "slot")
 
 
 def affected(flow: dict[tuple[int, int], int]) -> set[int]:
@@ -163,15 +145,14 @@ def rewrite(spark: SparkSession, layout: dict[int, str], shards: int, new_path:
     the key and text columns alone.
     """
     old_shards = max(layout) + 1
-    parts = [spark.read.parquet(d).withColumn("old_shard", F.lit(i)) for i, d in sorted(layout.items())]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    placed, flow = reshard(rows.withColumnRenamed("old_shard", "_old"), shards, F.col("_old"), old_shards, key, text)
+    parts = [spark.read.parquet(d) for _, d in sorted(layout.items())]
+    mark = fresh("old", parts[0].columns)
+    rows = reduce(DataFrame.unionByName, (p.withColumn(mark, F.lit(i)) for p, i in zip(parts, sorted(layout))))
+    placed, flow = reshard(rows, shards, F.col(mark), old_shards, key, text)
     touched = affected(flow) | {i for i in layout if i >= shards}
     if touched:
         moved = placed.where(F.col("old_shard").isin(sorted(touched & set(layout))))
-        moved.drop("_old", "size", "old_shard", "_block", "_rank").write.partitionBy("shard").parquet(new_path)
+        moved.select("row.*", "shard").drop(mark).write.partitionBy("shard").parquet(new_path)
     new = {j: (f"{new_path}/shard={j}" if j in touched else layout[j]) for j in range(shards) if any(b == j for _, b in flow)}
     return new, flow
 
