@@ -53,7 +53,7 @@ class Cut:
     def __init__(self, length: int) -> None:
         if not 64 <= length <= 4096:
             raise ValueError("length must be between 64 and 4096 bytes")
-        self.length, self.radius = length, length // 16
+        self.length, self.radius = length, length // 11
         #: A string holds no phrase longer than this between anchors that its own bytes decide.
         self.longest = length - 2 * self.radius - WIDTH
 
@@ -561,6 +561,7 @@ def repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str =
     # Strings without phrases meet only their like.
     bare = others.where(F.col("k") == BARE)
     lone = bare.join(bare.groupBy("g1", "g2").count().where("count > 1").select("g1", "g2"), ["g1", "g2"], "left_semi").select("tid", F.col("a").alias("s"), (F.col("a") + length).alias("e"))
+    lone = settled(lone, "lone")
     outer = anchors.where("not inside")
     # One of each content among the strings that are known to repeat, where a rim starts with the same phrase.
     inner = anchors.where("inside").join(outer.select("c").distinct(), "c", "left_semi")
@@ -584,7 +585,7 @@ def repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).alias("key"), size.alias("n_bytes"), digest.alias("digest"))
     copies = rows.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
     facts = settled(copies.join(parts.withColumn("digest", F.lower(F.hex("digest"))), "digest", "full"), "facts")
-    release(keep, again, others, runs, anchors, ranges, texts, blocks, strings)
+    release(keep, again, others, lone, runs, anchors, ranges, texts, blocks, strings)
     at = rows.join(facts, "digest", "left")
     whole = F.col("copies").isNotNull()
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
