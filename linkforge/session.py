@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows that Spark hands a Python task at a time where the session says nothing else, so that batches of long texts stay small.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Put this package on the executors' Python path, once per application."""
+    """Put this package on the executors' Python path, once per application, and bound the rows of Arrow batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, None) is None:
+        spark.conf.set(rows, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
