@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkforge.functions import contact, dates, grades, identifiers, names, vocabulary
 from linkforge.operators import analytics, columns, graph, matching, mutation, recognise, resolution, search, spans, validation
-from linkforge.plans import casework, extraction  # noqa: F401
+from linkforge.plans import casework, extraction, resolve  # noqa: F401
 from linkforge.plans import views as v
 from linkforge.plans.register import QUERIES, SQL, Query
 from linkforge.plans.register import query as _query
