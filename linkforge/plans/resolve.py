@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkforge.operators import duplicates, merging
+from linkforge.operators.workflow import LIFECYCLE
 from linkforge.plans import views as v
 from linkforge.plans.register import query
 from linkforge.session import table
+from linkforge.streaming import requests
 
 _PHONE = "lpad(CAST(c_custkey AS STRING), 5, '0')"
 
@@ -65,3 +67,25 @@ def merged_and_undone_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, after, _ = merging.merge(rows, links, events, asked)
     back = merging.undo(after, merging.images(links, after, 1))
     return after.select(F.lit("merged").alias("state"), "src", "dst", "type").unionByName(back.select(F.lit("undone").alias("state"), "src", "dst", "type"))
+
+
+_STEPS = ", ".join(f"('{s}', '{a}', '{to}')" for s, moves in LIFECYCLE.items() for a, to in moves.items())
+_ACTION = "CASE doc_id % 4 WHEN 0 THEN 'AUTHORISE' WHEN 1 THEN 'REJECT' WHEN 2 THEN 'SUPPRESS' ELSE 'RETURN_TO_DRAFT' END"
+
+
+@query(f"""WITH t(s, a, after) AS (VALUES {_STEPS}), d AS (SELECT 'IR' || doc_id AS urn, {_ACTION} AS act, doc_id % 3 <> 0 AS ready, doc_id % 5 <> 0 AS told FROM documents),
+one AS (SELECT d.*, r.status AS s0, t.after AS a1 FROM d JOIN ({v.REPORTS_SQL}) r USING (urn) LEFT JOIN t ON t.s = r.status AND t.a = 'SUBMIT'),
+two AS (SELECT *, coalesce(a1, s0) AS s1, CASE WHEN a1 IS NULL THEN 0 ELSE 1 END AS v1 FROM one),
+three AS (SELECT two.*, t.after AS a2, CASE WHEN t.after IS NULL THEN 'Cannot ' || act || ' from status ' || s1 WHEN act = 'AUTHORISE' AND NOT ready THEN 'Not ready to authorise.' WHEN act = 'REJECT' AND NOT told THEN 'Rejection reason required.'
+ WHEN act = 'SUPPRESS' AND NOT told THEN 'Suppression reason required.' END AS e2 FROM two LEFT JOIN t ON t.s = s1 AND t.a = act)
+SELECT urn, 1::BIGINT AS seq, a1 IS NOT NULL AS ok, s1 AS status, v1::BIGINT AS version, CASE WHEN a1 IS NULL THEN 'Cannot SUBMIT from status ' || s0 END AS error FROM three
+UNION ALL SELECT urn, 2, e2 IS NULL, CASE WHEN e2 IS NULL THEN a2 ELSE s1 END, v1 + CASE WHEN e2 IS NULL THEN 1 ELSE 0 END, e2 FROM three""")
+def streamed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests on each report in one stream: the second is judged against what the first made of it."""
+    kind = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents*.parquet")
+    each = "inline(array(struct(2L AS seq, " + _ACTION + " AS action), struct(1L AS seq, 'SUBMIT' AS action)))"
+    asked = docs.selectExpr("'IR' || doc_id AS urn", "doc_id % 3 <> 0 AS ready", "CASE WHEN doc_id % 5 <> 0 THEN 'why' END AS reason", each)
+    stream = asked.selectExpr("urn", "seq", "'ACT' AS kind", "'who' AS who", "0L AS at", "action", "reason", "ready", "CAST(NULL AS BIGINT) AS base")
+    standing = v.reports(spark, sf_dir).selectExpr("urn", "status", "0L AS version", "CAST(NULL AS STRING) AS holder", "CAST(NULL AS BIGINT) AS taken_at")
+    return requests.run(requests.verdicts(stream, standing)).select("urn", "seq", "ok", "status", "version", "error")
