@@ -35,10 +35,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col(pred) != "und") & (F.col(noise) < NOISE)).select(*docs.columns)
 
 
-def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each content of doc_id and text: what stages decide by, so that no row stands in for another of its id."""
+def _marked(docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
+    """docs with a number for each content of doc_id and text: what stages decide by, so that no row stands in for another of its id.
+
+    ordered: whole doc_ids that come with one text are their own numbers, so that numbers rank as ids do; others lie above them.
+    """
     mark = fresh("mark", docs.columns)
-    return docs.withColumn(mark, F.xxhash64(F.lit(29), "doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())), mark
+    text = F.xxhash64(F.lit(29), "text", F.col("text").isNull())
+    content = F.xxhash64(F.lit(29), "doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    if not ordered or docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return docs.withColumn(mark, content), mark
+    top = 1 << 62
+    above = content.bitwiseAND(F.lit((1 << 61) - 1)) + top
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi").select("doc_id")
+    several = settled(several, "several")
+    odd = F.col("doc_id").isNull() | (F.col("doc_id") >= top)
+    if several.limit(1).count():
+        docs = docs.join(several.withColumn(mark, F.lit(True)), "doc_id", "left")
+        odd = odd | F.col(mark).isNotNull()
+    return docs.withColumn(mark, F.when(odd, above).otherwise(F.col("doc_id").cast("long"))), mark
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +62,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that occurs in several rows of one doc_id and text stays once; different texts of one doc_id are documents of their own.
     """
     ship(spark)
-    marked, mark = _marked(docs)
+    marked, mark = _marked(docs, ordered=True)
     slim = marked.select(F.col(mark).alias("doc_id"), F.col("text"))
     found = ngram_join.jaccard_components(slim, n=5, num=80, den=100).select(F.col("doc_id").alias("mark"), "component_id").distinct()
     ids = marked.select(F.col(mark).alias("mark"), "doc_id").distinct()
