@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
 
+from linkforge.functions.vocabulary import STATUS, WARNINGS, cue_forms
+
 REACH = 320
 # Verbs by what they tell, and the relation that each tells with a preposition or of a kind of thing; _rev turns it round.
 VERBS = {
@@ -345,6 +347,55 @@ def told(text: str, entities: list[Entity]) -> Iterator[Told]:
         carried = first or last or carried
 
 
+def _cue(cue: str) -> re.Pattern:
+    """A cue's words with any signs between them, the last in singular or plural."""
+    *before, last = re.findall("[a-z0-9]+", cue.lower())
+    return re.compile(rf"\b{'[^a-z0-9]+'.join([*before, last.removesuffix('s')])}s?\b")
+
+
+_SIGNALS = [(kind, code, [f for c in cues for f in cue_forms(c)], [_cue(c) for c in cues]) for kind, vocabulary in (("status", STATUS), ("warning", WARNINGS)) for code, cues in vocabulary.items()]
+_SUBJECT = re.compile(r"(?i)\b(?:he|she|they|i|we)\b")
+
+
+def signals(text: str, entities: list[Entity]) -> Iterator[tuple[int, str, str, str]]:
+    """(sentence, person, kind, code) of the standings and warnings that a sentence tells of the persons named before its first cue, or, if none is, of the subject
+    carried into it where a pronoun stands before the cue. What is told of nobody, such as a weapon found, is nobody's."""
+    known = mentions(text, entities)
+    people = [x for x in known if x.kind == "person"]
+    carried: Entity | None = None
+    for n, (s, e) in enumerate(sentences(text, known)):
+        low = text[s:e].lower()
+        words = f" {' '.join(re.findall('[a-z0-9]+', low))} "
+        here = [x for x in people if s <= x.s and x.e <= e]
+        found = [(kind, code, shapes) for kind, code, forms, shapes in _SIGNALS if any(f in words for f in forms)]
+        if found:
+            cue = min((m.start() for _, _, shapes in found for p in shapes if (m := p.search(low))), default=0)
+            whom = list(dict.fromkeys(x.label for x in here if x.s - s <= cue))
+            if not whom and carried is not None and _SUBJECT.search(text[s : s + cue + 1]):
+                whom = [carried.label]
+            for person in whom:
+                for kind, code, _ in found:
+                    yield n, person, kind, code
+        named = [x for x in here if not x.meant]
+        carried = named[0] if named else here[-1] if here else carried
+
+
+def attributed(texts: DataFrame, text: str = "text", found: str = "found") -> DataFrame:
+    """texts' other columns with (sentence, person, kind, code) of each standing or warning; see signals()."""
+    place, spots = texts.columns.index(text), texts.columns.index(found)
+    others = [c for c in texts.columns if c not in (text, found)]
+    kept = [texts.columns.index(c) for c in others]
+    schema = StructType([*texts.select(*others).schema.fields, *StructType.fromDDL("sentence int, person string, kind string, code string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *r) for i, (t, xs) in enumerate(zip(b.column(place).to_pylist(), b.column(spots).to_pylist())) if t and xs for r in signals(t, [Entity(x["s"], x["e"], x["kind"], x["value"]) for x in xs])]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in kept), *(pa.array([r[k] for r in rows], pa.int32() if k == 1 else pa.string()) for k in range(1, 5))], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
 KINDS = {"sentence": "int", "source": "string", "source_kind": "string", "relation": "string", "target": "string", "target_kind": "string", "cue_s": "int", "cue_e": "int", "tense": "string",
          "negated": "boolean", "passive": "boolean", "planned": "boolean", "amount": "string", "day": "string", "confidence": "string"}
 _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}

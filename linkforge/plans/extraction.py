@@ -120,3 +120,15 @@ def meant_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare surnames and pronouns with the persons they mean, in a text about each order."""
     texts = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_MEANT_TEXT} AS text")
     return clauses.mentioned(claims.claimed(texts))
+
+
+_SIGNAL_TEXT = f"""CASE o_orderkey % 4 WHEN 0 THEN {_A} || ' was arrested in possession of a knife.' WHEN 1 THEN {_A} || ' met ' || {_B} || '. He has access to firearms.' WHEN 2 THEN 'A firearm was recovered near ' || {_A} || '.'
+ELSE {_A} || ' and ' || {_B} || ' were charged with assault.' END"""
+_SIGNALS = [(0, 0, _A, "status", "ARRESTED"), (0, 0, _A, "warning", "WEAPONS"), (1, 1, _A, "warning", "FIREARMS"), *((3, 0, who, kind, code) for who in (_A, _B) for kind, code in (("status", "CHARGED"), ("warning", "VIOLENT")))]
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey, {n}::INT AS sentence, {who} AS person, '{kind}' AS kind, '{code}' AS code FROM orders WHERE o_orderkey % 4 = {k}" for k, n, who, kind, code in _SIGNALS))
+def told_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standings and warnings of the persons that a text about each order tells them of."""
+    texts = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_SIGNAL_TEXT} AS text")
+    return clauses.attributed(claims.claimed(texts))

@@ -185,3 +185,17 @@ def test_relations_and_mentions_as_queries(spark):
     assert [(r["doc_id"], r["origin"], r["source"], r["relation"], r["target"]) for r in got.collect()] == [(1, "e", A, "ASSOCIATE_OF", B)]
     assert [(r["doc_id"], r["label"], r["s"]) for r in clauses.mentioned(found).collect()] == [(1, A, 30)]
     assert clauses.relations(found.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (f"{A} was arrested with a knife.", [(0, A, "status", "ARRESTED"), (0, A, "warning", "WEAPONS")]),
+    (f"{A}, {B} and {C} were all arrested.", [(0, x, "status", "ARRESTED") for x in (A, B, C)]),
+    (f"{A} met {B}. He has access to firearms.", [(1, A, "warning", "FIREARMS")]),
+    (f"A firearm was recovered from {A}.", []),
+    (f"Police arrested {A}, released under investigation.", []),
+    (f"{A} spoke. A gun was found.", []),
+    ("He was arrested.", []),
+])
+def test_signals_go_to_whom_they_are_told_of(text, want):
+    found, _, _ = claimed(text)
+    assert list(clauses.signals(text, [clauses.Entity(f["s"], f["e"], f["kind"], f["value"]) for f in sorted(found, key=lambda f: f["s"])])) == want
