@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkforge.functions import contact, dates, identifiers
 from linkforge.operators import claims, clauses, dictionary
 from linkforge.plans.register import query
 from linkforge.session import table
@@ -132,3 +133,22 @@ def told_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standings and warnings of the persons that a text about each order tells them of."""
     texts = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_SIGNAL_TEXT} AS text")
     return clauses.attributed(claims.claimed(texts))
+
+
+# --- written forms -------------------------------------------------------------------------------
+
+_IMEI = "lpad(CAST((o_orderkey * 7919 + o_custkey) % 1000000000000000 AS STRING), 15, '0')"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate AS d, o_custkey, {_IMEI} AS imei FROM orders)
+SELECT o_orderkey, CAST(d AS DATE) AS taken, strftime(d, '%d/%m/%Y') AS day, strftime(d, '%d.%m.%Y') AS dots, strftime(d, '%Y%m%d') AS day_key,
+ list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(imei, CAST(i AS INT), 1) AS INT) ELSE 2 * CAST(substr(imei, CAST(i AS INT), 1) AS INT) - CASE WHEN CAST(substr(imei, CAST(i AS INT), 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 AS imei_ok,
+ 'avenida zed' || translate(CAST(o_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS address FROM o""")
+def written_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera dates, worded days in three forms, the check of device numbers and the keys of addresses, for every order."""
+    o = table(spark, sf_dir, "orders")
+    raw = o.select("o_orderkey", F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss").alias("camera"), F.date_format("o_orderdate", "d MMMM yyyy").alias("worded"), F.expr(_IMEI).alias("imei"),
+                   F.expr("'12, Avenida Zed' || translate(CAST(o_custkey AS STRING), '0123456789', 'abcdefghij') || ' street'").alias("street"))
+    keys = dates.day_keys(F.col("worded"))
+    return raw.select("o_orderkey", dates.camera_date(F.col("camera")).alias("taken"), dates.day_text(F.col("worded")).alias("day"), keys["dots"].alias("dots"), keys["key"].alias("day_key"),
+                      identifiers.imei_valid(F.col("imei")).alias("imei_ok"), contact.address_key(F.col("street")).alias("address"))
