@@ -199,3 +199,10 @@ def test_relations_and_mentions_as_queries(spark):
 def test_signals_go_to_whom_they_are_told_of(text, want):
     found, _, _ = claimed(text)
     assert list(clauses.signals(text, [clauses.Entity(f["s"], f["e"], f["kind"], f["value"]) for f in sorted(found, key=lambda f: f["s"])])) == want
+
+
+def test_accents_fold_in_all_alphabets(spark):
+    from linkforge.functions import contact
+
+    row = spark.createDataFrame([("Йод ÑANDÚ Ἀθήνα Đà Nẵng e\u0301",)], "t string").select(contact.fold_accents(F.col("t")).alias("f")).first()
+    assert row["f"] == "иод nandu αθηνα đa nang e"
