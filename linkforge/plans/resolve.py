@@ -34,9 +34,9 @@ def duplicate_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as entities, and merges: of each four the third absorbs the fourth, then the first the second and the third."""
+    """Suppliers as entities, and merges: of each four the third absorbs the fourth, then the first the second and the third. Balances are in whole cents, rounded: 3452.03 * 100 is less than 345203."""
     s = table(spark, sf_dir, "supplier")
-    attrs = "CASE WHEN s_suppkey % 2 = 0 THEN map('balance', CAST(CAST(s_acctbal * 100 AS BIGINT) AS STRING)) ELSE cast(map() AS map<string,string>) END AS attrs"
+    attrs = "CASE WHEN s_suppkey % 2 = 0 THEN map('balance', CAST(CAST(rint(s_acctbal * 100) AS BIGINT) AS STRING)) ELSE cast(map() AS map<string,string>) END AS attrs"
     rows = s.selectExpr("'S:' || s_suppkey AS id", "'organisation' AS type", "s_name AS label", attrs, "map('nation', CAST(s_nationkey AS STRING)) AS ids", "cast(NULL AS array<double>) AS geo", "'' AS source_text")
     first = s.where("s_suppkey % 4 = 1")
     asked = [first.selectExpr(f"s_suppkey + {at} AS seq", f"'S:' || (s_suppkey + {keep}) AS keep", f"'S:' || (s_suppkey + {drop}) AS drop") for at, keep, drop in ((0, 2, 3), (10_000_000, 0, 1), (20_000_000, 0, 2))]

@@ -93,3 +93,14 @@ def test_chains_close(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(37)], "id int, root int")
     assert {r["root"] for r in merging.closed(chain).collect()} == {37}
     assert merging.closed(chain.where("false")).count() == 0
+
+
+def test_balances_are_rounded_to_cents_as_in_sql(spark, tmp_path):
+    """3452.03 * 100 is less than 345203 in doubles: merged_suppliers cut it to 345202, its SQL rounds."""
+    from linkforge.plans import resolve
+
+    rows = [(i, f"Supplier {i}", i % 3, b) for i, b in enumerate([3452.03, 19.99, -1.15, 4.35, 1001.1, 0.29, -8.41, 2.28])]
+    assert any(int(b * 100) != round(b * 100) for _, _, _, b in rows[::2])
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["id"]: r["balance"] for r in resolve.merged_suppliers(spark, str(tmp_path)).collect()}
+    assert got == {"S:0": "345203", "S:1": str(round(rows[2][3] * 100)), "S:5": str(round(rows[6][3] * 100))}
