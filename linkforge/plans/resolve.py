@@ -12,7 +12,8 @@ from linkforge.plans.register import query
 from linkforge.session import table
 from linkforge.streaming import requests
 
-_PHONE = "lpad(CAST(c_custkey AS STRING), 5, '0')"
+#: A customer's number in nine digits at least, never cut, so no two customers share a phone; behind 07 longer ones would be no British numbers.
+_PHONE = "lpad(CAST(c_custkey AS STRING), greatest(9, length(CAST(c_custkey AS STRING))), '0')"
 
 
 @query("""WITH e AS (SELECT 'A' || c_custkey AS a, 'B' || c_custkey AS b FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 10 <> 0 UNION ALL SELECT 'E' || c_custkey, 'F' || c_custkey FROM customer WHERE c_custkey % 3 = 0),
@@ -26,7 +27,7 @@ def duplicate_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def part(rows: DataFrame, key: str, kind: str, label: str, ids: str = "cast(map() AS map<string,string>)") -> DataFrame:
         return rows.selectExpr(f"'{key}' || {rows.columns[0]} AS id", f"'{kind}' AS type", f"{label} AS label", maps, f"{ids} AS ids")
 
-    rows = part(c, "A", "phone", f"'+4477009' || {_PHONE}").unionByName(part(c.where("c_custkey % 2 = 0"), "B", "phone", f"'07700 9' || {_PHONE}"))
+    rows = part(c, "A", "phone", f"'+447' || {_PHONE}").unionByName(part(c.where("c_custkey % 2 = 0"), "B", "phone", f"CASE WHEN c_custkey < 1000000000 THEN '07' ELSE '0044 7' END || {_PHONE}"))
     rows = rows.unionByName(part(c, "E", "email", "'u.' || c_custkey || '+t@gmail.com'")).unionByName(part(c.where("c_custkey % 3 = 0"), "F", "email", "'u' || c_custkey || '@googlemail.com'"))
     rows = rows.unionByName(part(n, "L", "location", "'Town ' || translate(CAST(n_nationkey AS STRING), '0123456789', 'abcdefghij')", "map('gaz', CAST(n_regionkey AS STRING))"))
     told = c.where("c_custkey % 10 = 0").selectExpr("'B' || c_custkey AS a", "'A' || c_custkey AS b")

@@ -119,3 +119,14 @@ def test_people_by_aliases_and_births():
 def test_nothing_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert d.duplicates(empty).count() == 0
+
+
+def test_customers_beyond_five_digits_share_no_phone(spark, tmp_path):
+    """Phones of five digits gave customers 10000 and 100000 one number; those of ten digits are still read in both forms."""
+    from linkforge.plans import resolve
+
+    keys = [10000, 100000, 100002, 900004, 12, 1234567890, 1234567892]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {(r["a"], r["b"]) for r in resolve.duplicate_contacts(spark, str(tmp_path)).collect()}
+    assert got == {(f"A{k}", f"B{k}") for k in keys if k % 2 == 0 and k % 10} | {(f"E{k}", f"F{k}") for k in keys if k % 3 == 0}
