@@ -80,6 +80,18 @@ NO_PHONE_WITH = r"(?i)[A-Z]{2,}[-/][0-9]{4}[-/A-Z0-9]*$"
 NO_PHONE_NEAR = r"(?i)\b(?:ref|reference|case|disclosure|requirement)\b"
 
 _R = {name: re.compile(shape) for name, shape in SHAPES.items()}
+#: Of a shape's words in lower case, those of which a text must hold one for any find; looking for them is much cheaper than for the shape. Shapes without such words aren't listed.
+NEEDS = {
+    "date_relative": ("today", "yesterday", "tomorrow", "last", "this", "next"), "tag": ("xx-",), "grading": ("[",), "booking": ("pnr", "locator", "ooking"), "imei": ("imei",), "passport": ("ppt", "assport"), "cro": ("cro",), "pnc": ("pnc",),
+    "nino": ("nino", "ational"), "company_number": ("co",), "finance_code": ("ac", "sc", "cc"), "sort_account": ("a/c",), "account_sort": ("account",), "account": ("account",), "iban": ("iban",), "bank_account": ("a/c",),
+    "other_number": ("utr", "vat", "paye", "imsi", "iccid"), "address": ("c/", "c.", "calle", "av", *(s.lower() for s in STREETS)), "airport": ("irport",), "vehicle_name": tuple(s.lower() for s in (*MAKES, *MODELS)), "vehicle_body": tuple(BODIES),
+    "money": ("£", "€", "$", "gbp", "eur", "usd"),
+}
+#: Shapes all of whose finds hold a digit.
+_DIGIT = re.compile(r"\d")
+NUMBERED = frozenset("date_numeric date_iso date_worded grading imei passport cro pnc nino nino_bare company_number sort_account account_sort account iban bank_account other_number phone postcode plate money ip".split())
+#: Letters that shapes without case take for i, s or k, though lower case leaves them.
+_ODD_CASE = "İıſ\u212a"
 _NO_PHONE = [(n, re.compile(shape)) for n, shape in NO_PHONE]
 _NO_PHONE_WITH, _NO_PHONE_NEAR = re.compile(NO_PHONE_WITH), re.compile(NO_PHONE_NEAR)
 _PLATE_AHEAD = re.compile(r"[A-Z]{2}\d{2}\s?[A-Z]{3}\b")
@@ -360,6 +372,18 @@ def relative_day(phrase: Column, day: Column) -> Column:
     )
 
 
+def looked_at(text: str, table: list[Pass]) -> Iterator[tuple[int, Pass]]:
+    """The numbered passes that may find anything in a text: those whose shape needs none of NEEDS' words, or of which the text holds one, and a digit where the shape needs that."""
+    low, numbers = text.lower(), _DIGIT.search(text) is not None
+    odd = not text.isascii() and any(c in text for c in _ODD_CASE)
+    for nth, p in enumerate(table):
+        words = NEEDS.get(p.shape)
+        if p.shape in NUMBERED and not numbers:
+            continue
+        if words is None or odd or any(w in low for w in words):
+            yield nth, p
+
+
 def candidates(texts: DataFrame, text: str, table: list[Pass]) -> DataFrame:
     """texts with a column found: all finds of all passes, in their order, overlaps included."""
     place = texts.columns.index(text)
@@ -370,7 +394,7 @@ def candidates(texts: DataFrame, text: str, table: list[Pass]) -> DataFrame:
             rows = []
             for t in b.column(place).to_pylist():
                 row = []
-                for nth, p in enumerate(table if t else ()):
+                for nth, p in looked_at(t, table) if t else ():
                     for f in p.look(t, _R[p.shape]):
                         row.append({"nth": nth, "kind": p.kind, "s": f.s, "e": f.e, "raw": t[f.s : f.e], "value": f.value, "note": f.note, "again": f.again})
                         if p.once:
