@@ -9,7 +9,7 @@ from linkforge.operators import duplicates, merging
 from linkforge.operators.workflow import LIFECYCLE
 from linkforge.plans import views as v
 from linkforge.plans.register import query
-from linkforge.session import table
+from linkforge.session import settled, table
 from linkforge.streaming import requests
 
 #: A customer's number in nine digits at least, never cut, so no two customers share a phone; behind 07 longer ones would be no British numbers.
@@ -63,10 +63,12 @@ SELECT 'merged' AS state, src, dst, type FROM t WHERE src <> dst UNION ALL SELEC
 def merged_and_undone_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links after the merges of suppliers, and after these have been undone."""
     rows, asked = _suppliers(spark, sf_dir)
-    links = v.links(spark, sf_dir).select(F.concat_ws(">", "src", "dst", "type").alias("id"), "src", "dst", "type")
+    # Links, what became of them and what changed are each read several times, so they are written once.
+    links = settled(v.links(spark, sf_dir).select(F.concat_ws(">", "src", "dst", "type").alias("id"), "src", "dst", "type"), "links")
     events = spark.createDataFrame([], "id string, members array<string>")
     _, after, _ = merging.merge(rows, links, events, asked)
-    back = merging.undo(after, merging.images(links, after, 1))
+    after = settled(after, "merged")
+    back = merging.undo(after, settled(merging.images(links, after, 1), "images"))
     return after.select(F.lit("merged").alias("state"), "src", "dst", "type").unionByName(back.select(F.lit("undone").alias("state"), "src", "dst", "type"))
 
 
