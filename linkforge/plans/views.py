@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.session import table
+from linkforge.session import small_tasks, table
 
 REPORTS_SQL = """
 SELECT 'IR' || d.doc_id AS urn, d.source AS operation, d.lang AS threat,
@@ -50,6 +50,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_tasks(spark)
+
     def part(name: str, prefix: str, key: str, kind: str, label: str, nk: str | None) -> DataFrame:
         return table(spark, sf_dir, name).select(_id(prefix, key).alias("id"), F.lit(kind).alias("type"), F.col(label).alias("label"), (F.col(nk) if nk else F.lit(None)).cast("int").alias("nk"))
 
@@ -59,6 +61,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_tasks(spark)
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     deals = o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy("o_custkey", "l_suppkey").agg(F.min("o_orderdate").alias("day"))
     out = deals.select(_id("C:", "o_custkey").alias("src"), _id("S:", "l_suppkey").alias("dst"), F.lit("TRANSACTED_WITH").alias("type"), F.to_date("day").alias("day"))

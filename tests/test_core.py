@@ -222,3 +222,20 @@ def test_components(spark, seed):
             up[t] = s
     got = {x[0]: x[1] for x in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: root(x) for x in up}
+
+
+def test_small_tasks_bound_what_a_shuffle_task_takes(spark):
+    """Sessions without a size of their own, or with a larger one, get TASK_BYTES; a smaller one stays."""
+    from linkforge import session
+
+    size, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = {k: spark.conf.get(k, None) for k in (size, parts)}
+    try:
+        for own, then in ((None, f"{session.TASK_BYTES}b"), ("64MB", f"{session.TASK_BYTES}b"), ("8m", "8m"), ("16k", "16k")):
+            spark.conf.unset(size) if own is None else spark.conf.set(size, own)
+            session.small_tasks(spark)
+            assert spark.conf.get(size) == then
+        assert int(spark.conf.get(parts)) >= session.PARTS
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
