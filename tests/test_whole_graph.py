@@ -1,7 +1,10 @@
 """Graph queries and record differences over all rows, against brute force on small tables with cycles, hubs and ties."""
 
+import random
+
 import pytest
 
+from linkforge.operators import graph
 from linkforge.plans import registry
 
 
@@ -69,6 +72,34 @@ def test_brokers_share_ties(spark, cyclic):
     assert got == pytest.approx(want) and want["C:1"] > 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_betweenness_sent_and_joined(spark, monkeypatch, seed):
+    """Leaves, pairs apart, loops, hubs and ties; sources in several blocks and sums in several lots. Sent as numbers, no level is written to the shared folder."""
+    r = random.Random(seed)
+    near = {f"v{i}": set() for i in range(60)}
+    pairs = [(r.randrange(30), r.randrange(30)) for _ in range(45)] + [(0, i) for i in range(30, 42)] + [(i, i + 1) for i in range(42, 50)] + [(52, 53), (54, 54), (3, 77)]
+    for a, b in pairs:
+        if a != b and b < 60:
+            near[f"v{a}"].add(f"v{b}")
+            near[f"v{b}"].add(f"v{a}")
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        for t, paths in walks(near, s).items():
+            for p in paths:
+                for i in p[1:-1]:
+                    want[i] += 0.5 / len(paths)
+    vertices, links = spark.createDataFrame([(i,) for i in near], "id string"), spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in pairs], "src string, dst string")
+    monkeypatch.setattr(graph, "LOT", 64)
+    monkeypatch.setattr(graph, "SOURCES", 5)
+    written, kept = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df, name: written.append(name) or kept(df, name))
+    assert {x["id"]: x["score"] for x in graph.betweenness(vertices, links).collect()} == pytest.approx(want)
+    assert "between" not in written
+    monkeypatch.setattr(graph, "LINKS_SENT", 10)
+    assert {x["id"]: x["score"] for x in graph.betweenness(vertices, links).collect()} == pytest.approx(want)
+    assert "between" in written and want["v0"] > 0
+
+
 def test_diff_holds_records_of_one_side(spark, cyclic):
     at, _, orders = cyclic
     want = set()
