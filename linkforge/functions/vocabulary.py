@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkforge.functions.contact import bound
+
 # Standings of a subject and the cues that tell them.
 STATUS = {
     "WANTED": ["wanted", "circulated as wanted"],
@@ -58,15 +60,14 @@ def cue_forms(cue: str) -> list[str]:
 
 def detected(c: Column, vocabulary: dict[str, list[str]]) -> Column:
     """The codes whose cues a text holds, in the vocabulary's order; none for null."""
-    text = cue_text(c)
 
-    def any_of(cues: list[str]) -> Column:
+    def any_of(text: Column, cues: list[str]) -> Column:
         found = F.lit(False)
         for form in (f for cue in cues for f in cue_forms(cue)):
             found = found | text.contains(form)
         return found
 
-    return F.filter(F.array(*[F.when(any_of(cues), code) for code, cues in vocabulary.items()]), lambda x: x.isNotNull())
+    return bound(cue_text(c), lambda text: F.filter(F.array(*[F.when(any_of(text, cues), code) for code, cues in vocabulary.items()]), lambda x: x.isNotNull()))
 
 
 def status(c: Column) -> Column:

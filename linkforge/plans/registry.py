@@ -11,7 +11,7 @@ from linkforge.plans import casework, extraction, resolve  # noqa: F401
 from linkforge.plans import views as v
 from linkforge.plans.register import QUERIES, SQL, Query
 from linkforge.plans.register import query as _query
-from linkforge.session import table
+from linkforge.session import spread, table
 from linkforge.streaming import activity
 
 # --- report search -------------------------------------------------------------------------------
@@ -203,7 +203,7 @@ _CUES = " UNION ALL ".join(f"SELECT c_custkey, '{kind}' AS kind, '{code}' AS cod
 def subject_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standings and warning signals by their cues."""
     found = F.array(*[F.struct(F.lit(kind).alias("kind"), f(F.expr(_NOTE)).alias("codes")) for kind, f in (("status", vocabulary.status), ("warning", vocabulary.warnings))])
-    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(found)).select("c_custkey", "kind", F.explode("codes").alias("code"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", F.inline(found)).select("c_custkey", "kind", F.explode("codes").alias("code"))
 
 
 _TIME = "CASE c_custkey % 6 WHEN 0 THEN 'at ' || (c_custkey % 14) || ':05 pm' WHEN 1 THEN (c_custkey % 26) || ':59:' || lpad(CAST(c_custkey % 70 AS VARCHAR(9)), 2, '0') || ' (zulu)' WHEN 2 THEN '12:' || (10 + c_custkey % 60) || ' AM (Local)' WHEN 3 THEN 'noon' WHEN 4 THEN '7:30' ELSE '9:3' END"

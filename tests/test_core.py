@@ -205,6 +205,20 @@ def test_query_equals_its_sql(spark, small, name):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*cols).collect())
 
 
+def _named(df, word):
+    """How often a query's plan names a function: so often it is worked out for a row."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(word)
+
+
+def test_cue_text_is_made_once_and_by_all_cores(spark, small):
+    from linkforge.plans import registry
+
+    notes = spark.createDataFrame([("Armed; on  bail",), ("no cue",), ("",), (None,)], "t string").select(vocabulary.status(F.col("t")).alias("s"), vocabulary.warnings(F.col("t")).alias("w"))
+    assert [tuple(r) for r in notes.collect()] == [(["ON_BAIL"], ["FIREARMS"]), ([], []), ([], []), ([], [])]
+    assert _named(notes, "regexp_replace(") == 2
+    assert registry.queries()["subject_signals"](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components(spark, seed):
     r = random.Random(seed)
