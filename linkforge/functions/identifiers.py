@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkforge.functions.contact import digits, tidy
+from linkforge.functions.contact import bound, digits, tidy
 
 # Letters and prefixes that national insurance numbers never have.
 NINO = r"^(?!BG|GB|NK|KN|TN|NT|ZZ)[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z][0-9]{6}[A-D]$"
+# Fixed value: letters and digits of vehicles' numbers.
+VIN = r"^[A-HJ-NPR-Z0-9]{17}$"
 # Prefixes of company numbers.
 COMPANY_PREFIXES = "SC NI OC SO NC FC SF NF GE GS GN IP SP NP RC SR NR AC SA NA SE ES PC CE RS NO NZ IC SI NV LP SL NL".split()
 # The shapes of UK postcodes and of number plates.
@@ -57,7 +59,7 @@ def vin(c: Column) -> Column:
 
 
 def vin_valid(c: Column) -> Column:
-    return vin(c).rlike("^[A-HJ-NPR-Z0-9]{17}$")
+    return vin(c).rlike(VIN)
 
 
 def company_valid(c: Column) -> Column:
@@ -107,8 +109,7 @@ def _without(c: Column, *words: str) -> Column:
 
 def _numbered(c: Column, shape: str, groups: int, join: Callable[[list[Column]], Column], *words: str) -> Column:
     """join() of the groups of a shape's first place in the capitals; where there is none, what stands there without the family's word."""
-    up = F.upper(c)
-    return F.when(up.rlike(shape), join([F.regexp_extract(up, shape, i + 1) for i in range(groups)])).otherwise(_without(c, *words))
+    return bound(F.upper(c), lambda up: F.when(up.rlike(shape), join([F.regexp_extract(up, shape, i + 1) for i in range(groups)])).otherwise(_without(up, *words)))
 
 
 def cro(c: Column) -> Column:
@@ -128,9 +129,10 @@ def nib(c: Column) -> Column:
 
 def passport(c: Column) -> Column:
     """Nine digits, or six and a letter."""
-    s = _without(c, "PPT")
-    found = F.regexp_extract(s, "[0-9]{9}|[0-9]{6}[A-Z]", 0)
-    return F.when(found != "", found).otherwise(s)
+    def found(s: Column) -> Column:
+        return bound(F.regexp_extract(s, "[0-9]{9}|[0-9]{6}[A-Z]", 0), lambda x: F.when(x != "", x).otherwise(s))
+
+    return bound(_without(c, "PPT"), found)
 
 
 def driver_licence(c: Column) -> Column:
@@ -138,8 +140,11 @@ def driver_licence(c: Column) -> Column:
 
 
 def driver_licence_valid(c: Column) -> Column:
+    return _driver_licence_form(driver_licence(c))
+
+
+def _driver_licence_form(s: Column) -> Column:
     """Five letters of the surname, six digits of the birth date (months of women stand 50 later), two initials, a digit, two letters."""
-    s = driver_licence(c)
     month, day = F.substring(s, 7, 2).try_cast("int"), F.substring(s, 9, 2).try_cast("int")
     return F.coalesce(s.rlike("^[A-Z9]{5}[0-9]{6}[A-Z9]{2}[0-9][A-Z]{2}$") & (month.between(1, 12) | month.between(51, 62)) & day.between(1, 31), F.lit(False))
 
@@ -165,29 +170,43 @@ def iban_text(c: Column) -> Column:
 
 
 def nino_text(c: Column) -> Column:
+    return _nino_pairs(nino(c))
+
+
+def _nino_pairs(s: Column) -> Column:
     """In pairs, where the shape fits."""
-    return F.regexp_replace(nino(c), "^([A-Z]{2})([0-9]{2})([0-9]{2})([0-9]{2})([A-D])$", "$1 $2 $3 $4 $5")
+    return F.regexp_replace(s, "^([A-Z]{2})([0-9]{2})([0-9]{2})([0-9]{2})([A-D])$", "$1 $2 $3 $4 $5")
 
 
-def _long(family: Callable[[Column], Column], low: int, high: int = 1000) -> Callable[[Column], Column]:
-    return lambda c: F.length(family(c)).between(low, high)
+def _long(low: int, high: int = 1000) -> Callable[[Column], Column]:
+    return lambda s: F.length(s).between(low, high)
 
 
-def _like(family: Callable[[Column], Column], shape: str) -> Callable[[Column], Column]:
-    return lambda c: family(c).rlike(shape)
+def _like(shape: str) -> Callable[[Column], Column]:
+    return lambda s: s.rlike(shape)
 
 
 @dataclass(frozen=True)
 class Family:
-    """A family of identifiers: canonical form, check, and the form in free text (a word, then the canonical form if nothing else is named)."""
+    """A family of identifiers: canonical form, check, and the form in free text (a word, then the canonical form if nothing else is named).
+
+    The check takes the canonical form, unless whole says that it takes what was written; text takes the canonical form.
+    """
 
     canonical: Callable[[Column], Column]
-    valid: Callable[[Column], Column]
+    check: Callable[[Column], Column]
     word: str
     text: Callable[[Column], Column] | None = None
+    whole: bool = False
+
+    def valid(self, c: Column) -> Column:
+        return self.check(c if self.whole else self.canonical(c))
 
     def free_text(self, c: Column) -> Column:
-        return F.concat(F.lit(f"{self.word} "), (self.text or self.canonical)(c))
+        return self.text_of(self.canonical(c))
+
+    def text_of(self, canonical: Column) -> Column:
+        return F.concat(F.lit(f"{self.word} "), self.text(canonical) if self.text else canonical)
 
 
 _hmrc, _engine, _serial = (lambda c: _without(c, "HMRC")), (lambda c: _without(c, "ENGINE")), (lambda c: _without(c, "SERIAL"))
@@ -199,39 +218,42 @@ _twitter = lambda c: F.regexp_replace(_handle(c, r"twitter\s*|x\s*"), "^@", "")
 
 # The families' names and the words before them in free text.
 FAMILIES = {
-    "account": Family(account, lambda c: F.length(alnum(c)).between(1, 18), "AC"),
-    "sortCode": Family(sort_code, sort_code_valid, "SC"),
-    "creditCard": Family(_card, lambda c: F.length(digits(c)).between(12, 18), "CC"),
-    "cro": Family(cro, _like(cro, "^S?[0-9]{1,7}/[0-9]{2}[A-Z]$"), "CRO"),
-    "pnc": Family(pnc, _like(pnc, "^[0-9]{2}/[0-9]{1,7}[A-Z]$"), "PNC"),
-    "nino": Family(nino, nino_valid, "NINO", nino_text),
-    "nib": Family(nib, _like(nib, "^[0-9]{1,6}/[0-9]{2}$"), "NIB"),
-    "passport": Family(passport, _like(passport, "^([0-9]{9}|[0-9]{6}[A-Z])$"), "PPT"),
-    "driverLicence": Family(driver_licence, driver_licence_valid, "DRV"),
-    "vat": Family(_vat, lambda c: F.length(digits(c)).isin(9, 12), "VAT"),
-    "hmrc": Family(_hmrc, _long(_hmrc, 4), "HMRC"),
-    "companiesHouse": Family(_house, _like(_house, "^([0-9]{8}|[A-Z]{2}[0-9]{6})$"), "Companies House"),
-    "charity": Family(_charity, _like(_charity, "^([0-9]{6,8}|SC[0-9]{6})$"), "Registered Charity Number"),
-    "vrm": Family(vrm, _long(vrm, 2, 8), "VRM"),
-    "vin": Family(vin, vin_valid, "VIN"),
-    "engine": Family(_engine, _long(_engine, 3), "Engine"),
-    "serial": Family(_serial, _long(_serial, 3), "Serial"),
-    "icq": Family(digits, _long(digits, 5), "ICQ"),
-    "jabber": Family(_jabber, _like(_jabber, "@"), "Jabber"),
-    "skype": Family(_skype, _long(_skype, 3), "Skype"),
-    "twitter": Family(_twitter, _like(_twitter, "^[A-Za-z0-9_]{1,15}$"), "Twitter"),
-    "ip": Family(ip, ip_loose, "IP Address"),
+    "account": Family(account, lambda c: F.length(alnum(c)).between(1, 18), "AC", whole=True),
+    "sortCode": Family(sort_code, sort_code_valid, "SC", whole=True),
+    "creditCard": Family(_card, lambda c: F.length(digits(c)).between(12, 18), "CC", whole=True),
+    "cro": Family(cro, _like("^S?[0-9]{1,7}/[0-9]{2}[A-Z]$"), "CRO"),
+    "pnc": Family(pnc, _like("^[0-9]{2}/[0-9]{1,7}[A-Z]$"), "PNC"),
+    "nino": Family(nino, _like(NINO), "NINO", _nino_pairs),
+    "nib": Family(nib, _like("^[0-9]{1,6}/[0-9]{2}$"), "NIB"),
+    "passport": Family(passport, _like("^([0-9]{9}|[0-9]{6}[A-Z])$"), "PPT"),
+    "driverLicence": Family(driver_licence, _driver_licence_form, "DRV"),
+    "vat": Family(_vat, lambda c: F.length(digits(c)).isin(9, 12), "VAT", whole=True),
+    "hmrc": Family(_hmrc, _long(4), "HMRC"),
+    "companiesHouse": Family(_house, _like("^([0-9]{8}|[A-Z]{2}[0-9]{6})$"), "Companies House"),
+    "charity": Family(_charity, _like("^([0-9]{6,8}|SC[0-9]{6})$"), "Registered Charity Number"),
+    "vrm": Family(vrm, _long(2, 8), "VRM"),
+    "vin": Family(vin, _like(VIN), "VIN"),
+    "engine": Family(_engine, _long(3), "Engine"),
+    "serial": Family(_serial, _long(3), "Serial"),
+    "icq": Family(digits, _long(5), "ICQ"),
+    "jabber": Family(_jabber, _like("@"), "Jabber"),
+    "skype": Family(_skype, _long(3), "Skype"),
+    "twitter": Family(_twitter, _like("^[A-Za-z0-9_]{1,15}$"), "Twitter"),
+    "ip": Family(ip, ip_loose, "IP Address", whole=True),
 }
 
 
 def identify(family: str, c: Column) -> Column:
     """A struct family, canonical, valid, free_text; null stays null. A family of no name gives the tidied text, not valid."""
     f = FAMILIES.get(family)
-    text = tidy(c)
-    parts = (f.canonical(c), F.coalesce(f.valid(c), F.lit(False)), f.free_text(c)) if f else (text, F.lit(False), text)
-    if family == "cro":
-        parts = (*parts[:2], F.concat(F.when(parts[0].startswith("S"), "SCRO ").otherwise("CRO "), parts[0]))
-    return F.when(c.isNotNull(), F.struct(F.lit(family).alias("family"), parts[0].alias("canonical"), parts[1].alias("valid"), parts[2].alias("free_text")))
+
+    def told(form: Column) -> Column:
+        valid, text = (F.coalesce(f.check(c if f.whole else form), F.lit(False)), f.text_of(form)) if f else (F.lit(False), form)
+        if family == "cro":
+            text = F.concat(F.when(form.startswith("S"), "SCRO ").otherwise("CRO "), form)
+        return F.struct(F.lit(family).alias("family"), form.alias("canonical"), valid.alias("valid"), text.alias("free_text"))
+
+    return F.when(c.isNotNull(), bound(f.canonical(c) if f else tidy(c), told))
 
 
 def ip_valid(c: Column) -> Column:

@@ -171,7 +171,7 @@ _FORMS_SQL = {
 def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical form, check and free text of fourteen families, all from one scan; the other families have vectors in the tests."""
     each = [identifiers.identify(k, F.expr(expr)) for k, expr in _FORMS.items()]
-    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(F.array(*each)))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.inline(F.array(*each)))
 
 
 _GRADE = "CASE c_custkey % 7 WHEN 0 THEN '9' WHEN 1 THEN '' ELSE CAST(c_custkey % 3 + 1 AS VARCHAR(9)) END", "substr('abcdefz', CAST(c_custkey % 7 AS INT) + 1, 1)", "CASE c_custkey % 3 WHEN 0 THEN 'cond' WHEN 1 THEN 'p' ELSE 'x' END"

@@ -219,6 +219,15 @@ def test_cue_text_is_made_once_and_by_all_cores(spark, small):
     assert registry.queries()["subject_signals"](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_canonical_forms_are_made_once_and_by_all_cores(spark, small):
+    from linkforge.plans import registry
+
+    rows = spark.createDataFrame([("ppt 123456a",)], "t string").select(identifiers.identify("passport", F.col("t")).alias("x"))
+    assert tuple(rows.first()["x"]) == ("passport", "123456A", True, "PPT 123456A")
+    assert _named(rows, "regexp_replace(") == 2 and _named(rows, "regexp_extract(") == 1
+    assert registry.queries()["identifier_forms"](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components(spark, seed):
     r = random.Random(seed)
