@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import Row
+
 from linkforge.streaming import requests as q
 
 STATE = "urn string, status string, version long, holder string, taken_at long"
@@ -71,3 +73,35 @@ def test_watched_entities_once_each(spark, tmp_path):
     spark.createDataFrame(two, kind).write.mode("append").parquet(folder)
     both = spark.createDataFrame(one + two, kind).join(watch, ["type", "rule", "sig"]).select("watch_id", "urn", "id").distinct()
     assert run() == sorted(map(tuple, both.collect()), key=str) == run()
+
+
+def test_a_report_costs_no_frames_and_no_needless_calls_to_its_state():
+    class Held:
+        def __init__(self, value=None):
+            self.value, self.calls = value, []
+
+        def getValueState(self, name, kind):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    def asked(*requests):
+        return iter([Row(urn="u", seq=seq, kind="ACT", who="a", at=0, action=action, reason=None, ready=True, base=None) for seq, action in requests])
+
+    judge, held = q.Judge(), Held()
+    judge.init(held)
+    judge.handleInitialState(("u",), Row(urn="u", status="DRAFT", version=None, holder=None, taken_at=None), None)
+    out = [tuple(r) for r in judge.handleInputRows(("u",), asked((None, "odd"), (2, "AUTHORISE"), (1, "SUBMIT")), None)]
+    assert [(x[1], x[3], x[4], x[5]) for x in out] == [(1, True, "PENDING_AUTH", 1), (2, True, "AUTHORISED", 2), (None, False, "AUTHORISED", 2)]
+    assert held.calls == ["update", "update"] and held.value == ("AUTHORISED", 2, None, None)
+    list(judge.handleInputRows(("u",), asked((3, "odd")), None))
+    assert held.calls == ["update", "update", "get"]
+    unknown = Held()
+    judge.init(unknown)
+    assert [r["error"] for r in judge.handleInputRows(("v",), asked((1, "SUBMIT")), None)] == ["No such report."] and unknown.calls == ["get"]
