@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from linkforge.operators import graph
@@ -100,6 +101,56 @@ def test_betweenness_sent_and_joined(spark, monkeypatch, seed):
     assert "between" in written and want["v0"] > 0
 
 
+@pytest.mark.parametrize(("dense", "exact"), [(0, graph.EXACT), (graph.DENSE, graph.EXACT), (10**9, 3)])
+def test_dues_by_products_and_by_sums(monkeypatch, dense, exact):
+    """Two dense halves that meet in hubs only, with sums, products or both, in several pieces, and paths too many for 32-bit floats."""
+    r = random.Random(3)
+    near = {i: set() for i in range(70)}
+    pairs = [(i, j) for half in (0, 32) for i in range(half, half + 8) for j in range(half + 8, half + 32) if r.random() < 0.4] + [(64 + i % 2, i) for i in range(64)] + [(66, 67), (3, 68)]
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        for t, paths in walks(near, s).items():
+            for p in paths:
+                for i in p[1:-1]:
+                    want[i] += 1 / len(paths)
+    for name, value in (("DENSE", dense), ("EXACT", exact), ("LOT", 64), ("LINKS", 40), ("ROWS", 16)):
+        monkeypatch.setattr(graph, name, value)
+    links = sorted({(min(p), max(p)) for p in pairs})
+    a, b = np.array(links, np.int32).T
+    order, part = graph.arranged(a, b, 70)
+    assert sorted(order) == list(range(70)) and len(set(part.tolist())) > 2
+    number = np.argsort(order).astype(np.int32)
+    net = graph.Net(number[a], number[b], 70)
+    lots = net.sources(part, 16)
+    assert sorted(np.concatenate(lots)) == np.flatnonzero(net.degree > 1).tolist() and max(map(len, lots)) <= 16
+    total = sum(net.dues(lot, net.leaves()) for lot in lots)
+    assert dict(zip(order.tolist(), total.tolist())) == pytest.approx(want)
+
+
+def test_brokers_take_sources_of_one_part_together_and_dense_links_as_products(monkeypatch):
+    """Copies that meet in hubs, in mixed order: no lot has sources of two, and sums of neighbours one by one are only left where links are sparse."""
+    r = np.random.default_rng(5)
+    sides = [(i, j) for begin in range(0, 480, 120) for i in range(begin, begin + 20) for j in range(begin + 20, begin + 120) if j % 20 == i % 20 or r.random() < 0.3]
+    a, b = np.array(sides + [(480 + i % 4, i) for i in range(480)]).T
+    mixed = r.permutation(484)
+    a, b = mixed[a], mixed[b]
+    order, part = graph.arranged(a, b, 484)
+    assert [len(set(part[np.isin(order, mixed[c * 120 : c * 120 + 120])].tolist())) for c in range(4)] == [1] * 4 and len(set(part.tolist())) == 5
+    number = np.argsort(order)
+    net = graph.Net(number[a].astype(np.int32), number[b].astype(np.int32), 484)
+    lots = net.sources(part, 40)
+    assert all(len(set(part[lot].tolist())) == 1 for lot in lots) and 40 * len(lots) < 2 * 484
+    gathered, room = [], net._room
+    monkeypatch.setattr(net, "_room", lambda use, kind, rows, k: gathered.append((use, rows)) or room(use, kind, rows, k))
+    for lot in lots:
+        net.dues(lot, net.leaves())
+    tiles, pieces = (sum(rows for use, rows in gathered if use == x) for x in ("tile", "sums"))
+    assert 2 * tiles > pieces
+
+
 def test_diff_holds_records_of_one_side(spark, cyclic):
     at, _, orders = cyclic
     want = set()
