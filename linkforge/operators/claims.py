@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -69,15 +72,15 @@ SHAPES = {
     "person": r"\b((?:[A-Z][a-zà-öø-ÿ'’]+(?:-[A-Z]?[a-zà-öø-ÿ]+)*\s+){1,3})([A-Z][A-Z'’-]{1,39})\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
 }
-# What stands before a number that is no phone number: (characters to look back, shape).
+# What stands before a number that is no phone number, in either case: (characters to look back, shape).
 NO_PHONE = [
-    (48, r"(?i)\b(?:passport|national\s+insurance|NINO|NHS\s+(?:no\.?|number)|driving\s+licen[cs]e)\b[^0-9\n]{0,44}$"),
-    (28, r"(?i)\b(?:SAR|CD|CNX|HMRC|PND|NBTC|IR|URN|REF|REFERENCE|DISCLOSURE|CASE|REQ)(?![A-Za-z])[\s/:#-]*$"),
-    (28, r"(?i)\b(?:UTR|VAT|PAYE|Co\.?\s*No\.?|Company\s+No\.?|PNR|PNCID|CRO|PPT|IMSI|ICCID|IMEI)(?![A-Za-z])[^0-9\n]{0,40}$"),
-    (28, r"(?i)\b(?:UTR|VAT|PAYE|VAT\s+number|Company\s+number|Disclosure\s+ref)\b[^\n]*\n\s*(?:GB\s*)?$"),
+    (48, r"\b(?:passport|national\s+insurance|NINO|NHS\s+(?:no\.?|number)|driving\s+licen[cs]e)\b[^0-9\n]{0,44}$"),
+    (28, r"\b(?:SAR|CD|CNX|HMRC|PND|NBTC|IR|URN|REF|REFERENCE|DISCLOSURE|CASE|REQ)(?![A-Za-z])[\s/:#-]*$"),
+    (28, r"\b(?:UTR|VAT|PAYE|Co\.?\s*No\.?|Company\s+No\.?|PNR|PNCID|CRO|PPT|IMSI|ICCID|IMEI)(?![A-Za-z])[^0-9\n]{0,40}$"),
+    (28, r"\b(?:UTR|VAT|PAYE|VAT\s+number|Company\s+number|Disclosure\s+ref)\b[^\n]*\n\s*(?:GB\s*)?$"),
 ]
-NO_PHONE_WITH = r"(?i)[A-Z]{2,}[-/][0-9]{4}[-/A-Z0-9]*$"
-NO_PHONE_NEAR = r"(?i)\b(?:ref|reference|case|disclosure|requirement)\b"
+NO_PHONE_WITH = r"[A-Z]{2,}[-/][0-9]{4}[-/A-Z0-9]*$"
+NO_PHONE_NEAR = r"\b(?:ref|reference|case|disclosure|requirement)\b"
 
 _R = {name: re.compile(shape) for name, shape in SHAPES.items()}
 #: Of a shape's words in lower case, those of which a text must hold one for any find; looking for them is much cheaper than for the shape. Shapes without such words aren't listed.
@@ -92,10 +95,29 @@ _DIGIT = re.compile(r"\d")
 NUMBERED = frozenset("date_numeric date_iso date_worded grading imei passport cro pnc nino nino_bare company_number sort_account account_sort account iban bank_account other_number phone postcode plate money ip".split())
 #: Letters that shapes without case take for i, s or k, though lower case leaves them.
 _ODD_CASE = "İıſ\u212a"
-_NO_PHONE = [(n, re.compile(shape)) for n, shape in NO_PHONE]
-_NO_PHONE_WITH, _NO_PHONE_NEAR = re.compile(NO_PHONE_WITH), re.compile(NO_PHONE_NEAR)
+
+
+class Caseless:
+    """A shape in either case. ASCII texts are put in lower case first, which leaves positions as they are and is much faster than to compare letters in either case."""
+
+    def __init__(self, shape: str):
+        self.shape, self.low = re.compile(f"(?i){shape}"), re.compile(shape.lower())
+
+    def found(self, text: str) -> bool:
+        return (self.low.search(text.lower()) if text.isascii() else self.shape.search(text)) is not None
+
+    def last(self, text: str) -> str | None:
+        """The last find as written."""
+        spans = [m.span() for m in (self.low.finditer(text.lower()) if text.isascii() else self.shape.finditer(text))]
+        return text[spans[-1][0] : spans[-1][1]] if spans else None
+
+
+_NO_PHONE = [(n, Caseless(shape)) for n, shape in NO_PHONE]
+#: How words begin of which each of NO_PHONE needs one, in lower case; looking for them is cheaper. They may begin within a word, as what is looked back on may.
+_NO_PHONE_WORDS = re.compile("passport|national|nino|nhs|driving|sar|cd|cnx|hmrc|pnd|nbtc|ir|urn|ref|disclosure|case|req|utr|vat|paye|co|pnr|pnc|cro|ppt|imsi|iccid|imei")
+_NO_PHONE_WITH, _NO_PHONE_NEAR = Caseless(NO_PHONE_WITH), Caseless(NO_PHONE_NEAR)
 _PLATE_AHEAD = re.compile(r"[A-Z]{2}\d{2}\s?[A-Z]{3}\b")
-_COLOUR, _MAKE = (re.compile(rf"(?i)\b(?:{'|'.join(words)})\b") for words in (COLOURS, [*MAKES, "Transit", "Sprinter"]))
+_COLOUR, _MAKE = (Caseless(rf"\b(?:{'|'.join(words)})\b") for words in (COLOURS, [*MAKES, "Transit", "Sprinter"]))
 _UK, _ES = re.compile(r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b"), re.compile(r"\b(?:0[1-9]|[1-4]\d|5[0-2])\d{3}\b")
 _ADDRESS_STOP = re.compile(r"(?i:[\s,;]*\b(?:tel(?:ephone)?|phone|mob(?:ile)?|fax|contact)\b)|\s+(?:and|who|which|but|where|while)\s+")
 _PREMISES_AT = re.compile(r"(?i)\b(?:\d{1,4}[a-z]?\s+[A-Za-z]|(?:Unit|Flat|Apartment)\b)")
@@ -120,8 +142,7 @@ class Ledger:
         self.begin[lo:hi], self.end[lo:hi] = [s], [e]
 
 
-@dataclass(frozen=True)
-class Find:
+class Find(NamedTuple):
     """What a pass has found: its span, its value, or the part from which a column makes one, and what else it tells."""
 
     s: int
@@ -253,11 +274,15 @@ def _others(text: str, shape: re.Pattern) -> Iterator[Find]:
 def _phones(text: str, shape: re.Pattern) -> Iterator[Find]:
     for m in shape.finditer(text):
         s, e = m.span()
-        before = text[max(0, s - 28) : s]
-        told = any(p.search(text[max(0, s - n) : s]) for n, p in _NO_PHONE) or _NO_PHONE_WITH.search(before + m[0])
+        back, before = text[max(0, s - 48) : s], text[max(0, s - 28) : s]
+        if not 9 <= sum(map(str.isdecimal, m[0])) <= 15:
+            continue
+        if (not back.isascii() or _NO_PHONE_WORDS.search(back.lower())) and any(p.found(text[max(0, s - n) : s]) for n, p in _NO_PHONE):
+            continue
         near = before + m[0] + text[e : e + 16]
-        if not told and not (_NO_PHONE_NEAR.search(near) and re.search("[-/]", near)) and 9 <= len(re.sub(r"\D", "", m[0])) <= 15:
-            yield Find(s, e, m[0])
+        if ("-" in near or "/" in near) and (_NO_PHONE_WITH.found(before + m[0]) or _NO_PHONE_NEAR.found(near)):
+            continue
+        yield Find(s, e, m[0])
 
 
 def _addresses(towns: frozenset[str]) -> Callable[[str, re.Pattern], Iterator[Find]]:
@@ -302,7 +327,7 @@ def _places(finder: Finder) -> Callable[[str, re.Pattern], Iterator[Find]]:
 def _plates(text: str, shape: re.Pattern) -> Iterator[Find]:
     for m in shape.finditer(text):
         back = text[max(0, m.start() - 44) : m.start()]
-        told = [found[-1] for found in (_COLOUR.findall(back), _MAKE.findall(back)) if found]
+        told = [found for found in (_COLOUR.last(back), _MAKE.last(back)) if found]
         yield Find(*m.span(), re.sub(r"\s+", "", m[0]), " ".join(told))
 
 
@@ -384,23 +409,90 @@ def looked_at(text: str, table: list[Pass]) -> Iterator[tuple[int, Pass]]:
             yield nth, p
 
 
-def candidates(texts: DataFrame, text: str, table: list[Pass]) -> DataFrame:
-    """texts with a column found: all finds of all passes, in their order, overlaps included."""
+class Known:
+    """A shape whose finds in a text are known by gaps, the lengths of what lies before each."""
+
+    def __init__(self, shape: re.Pattern):
+        self.shape, self.gaps = shape, []
+
+    def finditer(self, text: str) -> Iterator[re.Match]:
+        at = 0
+        for gap in self.gaps:
+            m = self.shape.match(text, at + gap)
+            if m is None:  # Arrow looks at what is behind a find as at a text of its own, so it takes the place right behind for the border of a word
+                yield from self.shape.finditer(text, at)
+                return
+            yield m
+            at = m.end()
+
+
+#: Texts in which Arrow's expressions and Python's may differ: those with letters, digits or blanks beyond ASCII. Marks that are none of these and often stand in texts are excepted.
+_BEYOND = r"[^\x00-\x7F£€·•’‘“”–—…«»]|[\x0b\x1c-\x1f]"
+#: Passes that look for finds in their own way, if Arrow's expressions tell the texts that may have any; and these expressions, where they aren't the pass's shape.
+_OWN = (_mails, _wallets)
+_QUICK = {_wallets: "|".join(re.sub(r"\(\?<?![^)]*\)", "", shape) for _, shape in WALLETS)}
+
+
+def looked_for(texts: pa.Array, table: list[Pass]) -> Iterator[tuple[int, Pass, list[int], list[list[int]] | None]]:
+    """(number, pass, texts in which it may find anything, for each of them the gaps of Known or None in all). Arrow searches all texts for a shape at once."""
+    there = pc.fill_null(pc.not_equal(texts, ""), False)
+    beyond = pc.and_(pc.fill_null(pc.match_substring_regex(texts, _BEYOND), False), there)
+    plain = np.flatnonzero(pc.and_not(there, beyond).to_numpy(zero_copy_only=False))
+    some = texts.take(pa.array(plain)) if len(plain) < len(texts) else texts
+    others: dict[int, list[int]] = {}
+    for i in np.flatnonzero(beyond.to_numpy(zero_copy_only=False)).tolist():
+        for nth, _ in looked_at(texts[i].as_py(), table):
+            others.setdefault(nth, []).append(i)
+    for nth, p in enumerate(table):
+        if nth in others:
+            yield nth, p, others[nth], None
+        quick = _QUICK.get(p.look, SHAPES[p.shape]) if p.look in _OWN or p.shape != "email" else None
+        found = np.arange(len(plain)) if quick is None else np.flatnonzero(pc.match_substring_regex(some, quick).to_numpy(zero_copy_only=False))
+        if not len(found):
+            continue
+        gaps = None
+        if quick is not None and p.look not in _OWN:
+            pieces = pc.split_pattern_regex(some.take(pa.array(found)) if len(found) < len(some) else some, quick)
+            length, begin = pc.utf8_length(pieces.values).to_pylist(), pieces.offsets.to_pylist()
+            gaps = [length[lo : hi - 1] for lo, hi in zip(begin, begin[1:])]
+        yield nth, p, plain[found].tolist(), gaps
+
+
+def candidates(texts: DataFrame, text: str, table: list[Pass], keep: bool = True) -> DataFrame:
+    """texts, without the text itself if it isn't to be kept, with a column found: all finds of all passes, in their order, overlaps included."""
     place = texts.columns.index(text)
-    schema = StructType([*texts.schema.fields, StructField("found", DataType.fromDDL(FOUND))])
+    schema = StructType([*(f for f in texts.schema.fields if keep or f.name != text), StructField("found", DataType.fromDDL(FOUND))])
+    kinds = pa.array([p.kind for p in table])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in b.column(place).to_pylist():
-                row = []
-                for nth, p in looked_at(t, table) if t else ():
-                    for f in p.look(t, _R[p.shape]):
-                        row.append({"nth": nth, "kind": p.kind, "s": f.s, "e": f.e, "raw": t[f.s : f.e], "value": f.value, "note": f.note, "again": f.again})
+            here = b.column(place)
+            written = here.to_pylist()
+            at, nths, raw, s, e, value, note, again = ([] for _ in range(8))
+            for nth, p, which, gaps in looked_for(here, table):
+                shape = _R[p.shape] if gaps is None else Known(_R[p.shape])
+                for k, i in enumerate(which):
+                    if gaps is not None:
+                        shape.gaps = gaps[k]
+                    t = written[i]
+                    for f in p.look(t, shape):
+                        at.append(i)
+                        nths.append(nth)
+                        raw.append(t[f[0] : f[1]])
+                        s.append(f[0])
+                        e.append(f[1])
+                        value.append(f[2])
+                        note.append(f[3])
+                        again.append(f[4])
                         if p.once:
                             break
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, _FOUND)], names=schema.names)
+            place_of = np.array(at, np.int64)
+            order = pa.array(np.argsort(place_of, kind="stable"))
+            nth = pa.array(nths, pa.int32())
+            fields = [nth, kinds.take(nth), *(pa.array(x, f.type) for x, f in zip((s, e, raw, value, note, again), list(_FOUND.value_type)[2:]))]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(place_of, minlength=len(written)))))
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([x.take(order) for x in fields], fields=list(_FOUND.value_type)), type=_FOUND)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if keep or k != place), found], names=schema.names)
 
     return texts.mapInArrow(look, schema)
 
@@ -409,7 +501,7 @@ def valued(found: Column, day: Column) -> Column:
     """Finds with their canonical values; those that have none are left out."""
     def value(c: Column) -> Column:
         return (
-            F.when(c["kind"] == "email", F.coalesce(contact.email_canonical(c["value"]), c["value"])).when(c["kind"] == "phone", contact.phone_e164(c["value"])["e164"])
+            F.when(c["kind"] == "email", F.coalesce(contact.email_canonical(c["value"]), c["value"])).when(c["kind"] == "phone", contact.e164(c["value"]))
             .when(c["kind"] == "relative", F.date_format(relative_day(c["value"], day), "yyyy-MM-dd")).otherwise(c["value"])
         )
 
@@ -417,39 +509,54 @@ def valued(found: Column, day: Column) -> Column:
     return F.filter(some, lambda c: c["value"].isNotNull())
 
 
-def stand(found: list[dict], table: list[Pass]) -> list[dict]:
-    """The finds that stand, pass by pass, as each claims its place."""
+def standing(places: Iterable[tuple[int, int, int]], table: list[Pass], told: Callable[[int], tuple[str, str, bool]] | None) -> list[int]:
+    """Which of the finds, given as (number of the pass, s, e), stand, pass by pass, as each claims its place. told: a vehicle's note and value and whether it speaks of one before; None where none does."""
     ledger, out, vehicles = Ledger(), [], []
-    for f in found:
-        p = table[f["nth"]]
-        if p.asks and not ledger.free(f["s"], f["e"]):
+    for i, (nth, s, e) in enumerate(places):
+        p = table[nth]
+        if p.asks and not ledger.free(s, e):
             continue
         if p.claims:
-            ledger.claim(f["s"], f["e"])
-        if f["kind"] == "vehicle":
+            ledger.claim(s, e)
+        if told and p.kind == "vehicle":
             # The BMW, after a BMW was told of, is no vehicle of its own.
-            name = f["value"].upper()
-            if f["again"] and any(name in v for v in vehicles):
+            note, value, again = told(i)
+            if again and any(value.upper() in v for v in vehicles):
                 continue
-            vehicles.append(f"{f['note']} {f['value']}".upper())
-        out.append(f)
+            vehicles.append(f"{note} {value}".upper())
+        out.append(i)
     return out
 
 
+def stand(found: list[dict], table: list[Pass]) -> list[dict]:
+    """The finds that stand, pass by pass, as each claims its place."""
+    return [found[i] for i in standing([(f["nth"], f["s"], f["e"]) for f in found], table, lambda i: (found[i]["note"], found[i]["value"], found[i]["again"]))]
+
+
 _OUT = pa.list_(pa.struct([(k, pa.string() if k in ("kind", "raw", "value", "note") else pa.int32()) for k in ("kind", "s", "e", "raw", "value", "note")]))
 
 
-def claimed(texts: DataFrame, text: str = "text", day: Column | None = None, names: list[str] | None = None, towns: list[str] | None = None) -> DataFrame:
-    """texts with a column found: an array of (kind, s, e, raw, value, note), the finds that stand in order of the text. See claims()."""
+def claimed(texts: DataFrame, text: str = "text", day: Column | None = None, names: list[str] | None = None, towns: list[str] | None = None, keep: bool = True) -> DataFrame:
+    """texts, without the text itself if it isn't to be kept, with a column found: an array of (kind, s, e, raw, value, note), the finds that stand in order of the text. See claims()."""
     table = passes(names, towns)
-    found = candidates(texts, text, table)
+    found = candidates(texts, text, table, keep)
     found = found.withColumn("found", valued(F.col("found"), F.lit(None).cast("date") if day is None else day))
     last = found.columns.index("found")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [sorted(({k: f[k] for k in ("kind", "s", "e", "raw", "value", "note")} for f in stand(x or [], table)), key=lambda f: f["s"]) for x in b.column(last).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(rows, _OUT)], names=b.schema.names)
+            lists = b.column(last)
+            begin, finds = lists.offsets.to_pylist(), lists.values
+            nth, s, e = (finds.field(k).to_pylist() for k in ("nth", "s", "e"))
+            note, value, again = (finds.field(k).to_pylist() for k in ("note", "value", "again")) if pc.any(finds.field("again")).as_py() else (None, None, None)
+            kept, ends = [], [0]
+            for lo, hi in zip(begin, begin[1:]):
+                told = note and (lambda i, lo=lo: (note[lo + i], value[lo + i], again[lo + i]))
+                kept += sorted([lo + i for i in standing(zip(nth[lo:hi], s[lo:hi], e[lo:hi]), table, told)], key=s.__getitem__)
+                ends.append(len(kept))
+            which = pa.array(kept, pa.int32())
+            out = pa.StructArray.from_arrays([finds.field(f.name).take(which).cast(f.type) for f in _OUT.value_type], fields=list(_OUT.value_type))
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out, type=_OUT)], names=b.schema.names)
 
     return found.mapInArrow(settle, StructType([*found.schema.fields[:last], StructField("found", DataType.fromDDL(STANDING))]))
 
@@ -461,4 +568,4 @@ def claims(texts: DataFrame, text: str = "text", day: Column | None = None, name
     as dictionary.keyed() makes them; the caller bounds their number.
     """
     others = [c for c in texts.columns if c != text]
-    return claimed(texts, text, day, names, towns).select(*others, F.explode("found").alias("found")).select(*others, "found.*")
+    return claimed(texts, text, day, names, towns, keep=False).select(*others, F.explode("found").alias("found")).select(*others, "found.*")

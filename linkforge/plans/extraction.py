@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkforge.functions import contact, dates, identifiers
 from linkforge.operators import claims, clauses, dictionary
 from linkforge.plans.register import query
-from linkforge.session import table
+from linkforge.session import spread, table
 
 # --- claims --------------------------------------------------------------------------------------
 
@@ -41,7 +41,8 @@ _CLAIM_SQL = [
     f"SELECT o_orderkey, '{kind}' AS kind, CAST(strpos(text, {raw}) - 1 AS INT) AS s, CAST(strpos(text, {raw}) - 1 + length({raw}) AS INT) AS e, {raw} AS raw, {value} AS value, {note} AS note FROM t" for kind, raw, value, note in _CLAIM_SQL))
 def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What passes claim in a text about each order; numbers behind SAR and a year beside a currency are left alone."""
-    texts = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "to_date(o_orderdate) AS day", f"{_order_text('spark')} AS text")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    texts = orders.selectExpr("o_orderkey", "to_date(o_orderdate) AS day", f"{_order_text('spark')} AS text")
     return claims.claims(texts, "text", F.col("day")).drop("day")
 
 

@@ -4,9 +4,11 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from linkforge.functions import contact
 from linkforge.operators import claims, clauses, dictionary
 
 NAMES = ["malaga", "seville", "bristol", "lisbon", "new york", "york", "new york city"]
@@ -84,6 +86,69 @@ def test_claims_as_a_query(spark):
     assert not [k for _, k, _ in [(r["doc_id"], r["kind"], r["value"]) for r in claims.claims(df.drop("found"), "text").collect()] if k == "relative"]
 
 
+BITS = ["12/03/2024", "+44 7700 900123", "geoff@mail.com", "IMEI 356807058241332", "passport 503842156 (Spain)", "SAR 07700900123", "account 41028833, sort code 09-01-26", "s/c 09-01-26 a/c 41028833", "NINO AB 12 34 56 C", "AB12 XYZ", "black BMW", "the BMW", "a White VAN",
+        "£1,200", "2024 GBP", "5 May 2023", "last Tuesday", "YESTERDAY", "14 Acacia Avenue, Bristol BS5 9TY", "10.0.0.1", "Geoff BAINES", "PNR K7T2QL", "XX-AB", "[2 A P]", "[2 · B · C]", "IBAN GB29NWBK60161331926819", "New York City", "Malaga airport", "2023-04-05", "07700 900 456", " ", "\n", "\x0b", "\x1c", "\u00a0",
+        "ref 12/345678-9", "case 07700-900-456", "0x" + "a1" * 20, "1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "é", "İ", "ı", "\u0661\u0662/03/2024", "•", "’", "Seán O’NEIL", "x", "1", "A", "-", "UTR 12345 67890", "CRO 123456/04A", "PNC ID 04/1234567B", "AC 98765432", "account no. 1234567", "Barclays a/c ending 4421", "Co No 01234567", "to\u212adayſ", "naïve"]
+
+
+def mixed(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice(BITS) + r.choice([" ", ", ", "", "", "\n"]) for _ in range(r.randrange(0, 9))) for _ in range(n)] + [None, ""]
+
+
+def test_shapes_found_by_arrow_equal_those_found_text_by_text():
+    table, texts = claims.passes(NAMES, ["bristol"]), mixed(3000, 5)
+    got = {}
+    for nth, p, which, gaps in claims.looked_for(pa.array(texts), table):
+        for k, i in enumerate(which):
+            shape = claims._R[p.shape]
+            if gaps is not None:
+                shape = claims.Known(shape)
+                shape.gaps = gaps[k]
+            if found := list(p.look(texts[i], shape)):
+                assert (i, nth) not in got
+                got[i, nth] = found
+    want = {(i, nth): found for i, t in enumerate(texts) if t for nth, p in enumerate(table) if (found := list(p.look(t, claims._R[p.shape])))}
+    assert got == want and {nth for _, nth in want} == set(range(34))
+    _, _, which, _ = next(x for x in claims.looked_for(pa.array(["nothing of note £5"] * 50), table) if x[1].kind == "money")
+    assert len(which) == 50 and [x[1].kind for x in claims.looked_for(pa.array(["nothing of note £5"] * 50), table)] == ["place", "money"]
+
+
+def test_caseless_shapes_equal_those_that_ignore_case():
+    r = random.Random(6)
+    bits = ["REF", "ref", "Reference ", "case", "SAR", "sar ", "UTR", "utr no ", "Passport ", "national  insurance", "x", " ", "-", "/", "1234", "AB-2024", "\n", "é", "Red", "navy", "MERCEDES-benz", "land Rover", "ſ", "CO. NO. ", "vat\nGB"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(0, 7)))
+        shapes = [*claims._NO_PHONE, (0, claims._NO_PHONE_WITH), (0, claims._NO_PHONE_NEAR), (0, claims._COLOUR), (0, claims._MAKE)]
+        for _, c in shapes:
+            plain = re.compile(f"(?i){c.shape.pattern.removeprefix('(?i)')}")
+            assert c.found(text) == bool(plain.search(text))
+            assert c.last(text) == ([m[0] for m in plain.finditer(text)] or [None])[-1]
+        if text.isascii() and any(c.found(text) for _, c in claims._NO_PHONE):
+            assert claims._NO_PHONE_WORDS.search(text.lower())
+
+
+def test_claims_of_many_texts_equal_those_of_each(spark):
+    texts = mixed(300, 7)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {}
+    for x in claims.claims(df, "text", F.lit("2024-05-15").cast("date"), ["new york city", "york"], ["bristol"]).collect():
+        got.setdefault(x["doc_id"], []).append((x["kind"], x["s"], x["e"], x["raw"], x["note"]))
+    kept = {r["doc_id"]: r for r in claims.claimed(df, "text", F.lit("2024-05-15").cast("date"), ["new york city", "york"], ["bristol"]).collect()}
+    for i, t in enumerate(texts):
+        assert kept[i]["text"] == t and [(f["kind"], f["s"], f["e"], f["raw"], f["note"]) for f in kept[i]["found"]] == got.get(i, [])
+        if t and "7700" not in t and "+" not in t:  # phones without a canonical form fall
+            stands, _, _ = claimed(t, ["new york city", "york"], ["bristol"])
+            assert [(f["kind"], f["s"], f["e"], f["raw"], f["note"]) for f in sorted(stands, key=lambda f: f["s"])] == got.get(i, [])
+
+
+def test_e164_alone_equals_that_of_the_struct(spark):
+    numbers = [None, "", "07700 900123", "+44 (0)7700-900123", "0044 7700 900123", "00 1 202 555 0100", "12345678", "123456789", "+1234567", "+12345678", "1234567890123456", "020 7946 0958", "abc", " 0161 496 0000 "]
+    df = spark.createDataFrame([(n,) for n in numbers], "n string")
+    rows = df.select(contact.e164(F.col("n")).alias("a"), contact.phone_e164(F.col("n"))["e164"].alias("b"), F.transform(F.array("n"), contact.e164)[0].alias("c")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] == [r["c"] for r in rows] and rows[2]["a"] == "+447700900123"
+
+
 def test_passes_stay_within_the_time_budget():
     text = ("Report on Geoff BAINES of 14 Acacia Avenue, Bristol BS5 9TY, seen 12/03/2024 in a black BMW, phone 07700 900123, paid £1,200. " * 8000)[:1_000_000]
     at = time.time()
