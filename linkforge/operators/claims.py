@@ -277,7 +277,12 @@ def _phones(text: str, shape: re.Pattern) -> Iterator[Find]:
         back, before = text[max(0, s - 48) : s], text[max(0, s - 28) : s]
         if not 9 <= sum(map(str.isdecimal, m[0])) <= 15:
             continue
-        if (not back.isascii() or _NO_PHONE_WORDS.search(back.lower())) and any(p.found(text[max(0, s - n) : s]) for n, p in _NO_PHONE):
+        if back.isascii():
+            low = back.lower()
+            told = _NO_PHONE_WORDS.search(low) and any(p.low.search(low[-n:]) for n, p in _NO_PHONE)
+        else:
+            told = any(p.found(back[-n:]) for n, p in _NO_PHONE)
+        if told:
             continue
         near = before + m[0] + text[e : e + 16]
         if ("-" in near or "/" in near) and (_NO_PHONE_WITH.found(before + m[0]) or _NO_PHONE_NEAR.found(near)):
@@ -533,6 +538,32 @@ def stand(found: list[dict], table: list[Pass]) -> list[dict]:
     return [found[i] for i in standing([(f["nth"], f["s"], f["e"]) for f in found], table, lambda i: (found[i]["note"], found[i]["value"], found[i]["again"]))]
 
 
+def settled_places(lists: pa.ListArray, table: list[Pass]) -> tuple[pa.Array, pa.Array]:
+    """(where each text's finds begin and end, which of all finds stand, in order of the text). Texts whose finds lie apart, none of which speaks of one before, need no ledger."""
+    begin, finds = lists.offsets.to_numpy(), lists.values
+    s, e, again = (finds.field(k).to_numpy(zero_copy_only=False) for k in ("s", "e", "again"))
+    row = np.repeat(np.arange(len(lists)), np.diff(begin))
+    s, e, again = (x[begin[0] : begin[-1]] for x in (s, e, again))
+    order = np.lexsort((s, row))
+    meet = (row[order][1:] == row[order][:-1]) & (e[order][:-1] > s[order][1:])
+    stands = np.ones(len(row), bool)
+    if len(some := np.unique(np.concatenate((row[order][1:][meet], row[again.astype(bool)])))):
+        nth = finds.field("nth")
+        for r in some.tolist():
+            lo, hi = int(begin[r]), int(begin[r + 1])
+            first = lo - int(begin[0])
+            mine = slice(first, first + hi - lo)
+            told = None
+            if again[mine].any():
+                note, value = (finds.field(k)[lo:hi].to_pylist() for k in ("note", "value"))
+                told = lambda i, note=note, value=value, back=again[mine]: (note[i], value[i], bool(back[i]))
+            stands[mine] = False
+            stands[[first + i for i in standing(zip(nth[lo:hi].to_pylist(), s[mine].tolist(), e[mine].tolist()), table, told)]] = True
+    which = order[stands[order]]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row[which], minlength=len(lists)))))
+    return pa.array(ends, pa.int32()), pa.array(which + begin[0])
+
+
 _OUT = pa.list_(pa.struct([(k, pa.string() if k in ("kind", "raw", "value", "note") else pa.int32()) for k in ("kind", "s", "e", "raw", "value", "note")]))
 
 
@@ -546,17 +577,9 @@ def claimed(texts: DataFrame, text: str = "text", day: Column | None = None, nam
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(last)
-            begin, finds = lists.offsets.to_pylist(), lists.values
-            nth, s, e = (finds.field(k).to_pylist() for k in ("nth", "s", "e"))
-            note, value, again = (finds.field(k).to_pylist() for k in ("note", "value", "again")) if pc.any(finds.field("again")).as_py() else (None, None, None)
-            kept, ends = [], [0]
-            for lo, hi in zip(begin, begin[1:]):
-                told = note and (lambda i, lo=lo: (note[lo + i], value[lo + i], again[lo + i]))
-                kept += sorted([lo + i for i in standing(zip(nth[lo:hi], s[lo:hi], e[lo:hi]), table, told)], key=s.__getitem__)
-                ends.append(len(kept))
-            which = pa.array(kept, pa.int32())
+            finds, ends, which = lists.values, *settled_places(lists, table)
             out = pa.StructArray.from_arrays([finds.field(f.name).take(which).cast(f.type) for f in _OUT.value_type], fields=list(_OUT.value_type))
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out, type=_OUT)], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.ListArray.from_arrays(ends, out, type=_OUT)], names=b.schema.names)
 
     return found.mapInArrow(settle, StructType([*found.schema.fields[:last], StructField("found", DataType.fromDDL(STANDING))]))
 

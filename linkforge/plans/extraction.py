@@ -106,7 +106,7 @@ _FACTS = [
 def told_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who did what to whom in a text about each order."""
     o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    rows = spread(o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).select("o_orderkey", "o_custkey", "n_name"))
     texts = rows.selectExpr("o_orderkey", _TOLD_TEXT.format(n=_proper("n_name", "spark")) + " AS text")
     names = [x for r in n.select("n_name").limit(dictionary.LIMIT).collect() if (x := dictionary.usable(r[0]))]  # LIMIT names at most
     return clauses.relations(claims.claimed(texts, "text", names=names)).drop("cue_s", "cue_e", "day")
@@ -120,7 +120,7 @@ _MEANT_TEXT = f"{_A} || ' met ' || {_C} || '. Then the ZOO saw ' || substring({_
        "SELECT o_orderkey, label, CAST(strpos(text, 'saw ' || sur) + 3 AS INT) AS s, CAST(strpos(text, 'saw ' || sur) + 3 + length(sur) AS INT) AS e FROM t UNION ALL SELECT o_orderkey, label, CAST(strpos(text, ' to him.') + 3 AS INT), CAST(strpos(text, ' to him.') + 6 AS INT) FROM t")
 def meant_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare surnames and pronouns with the persons they mean, in a text about each order."""
-    texts = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_MEANT_TEXT} AS text")
+    texts = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey", f"{_MEANT_TEXT} AS text")
     return clauses.mentioned(claims.claimed(texts))
 
 
@@ -132,7 +132,7 @@ _SIGNALS = [(0, 0, _A, "status", "ARRESTED"), (0, 0, _A, "warning", "WEAPONS"),
 @query(" UNION ALL ".join(f"SELECT o_orderkey, {n}::INT AS sentence, {who} AS person, '{kind}' AS kind, '{code}' AS code FROM orders WHERE o_orderkey % 4 = {k}" for k, n, who, kind, code in _SIGNALS))
 def told_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standings and warnings of the persons that a text about each order tells them of."""
-    texts = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_SIGNAL_TEXT} AS text")
+    texts = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey", f"{_SIGNAL_TEXT} AS text")
     return clauses.attributed(claims.claimed(texts))
 
 
